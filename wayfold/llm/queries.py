@@ -117,3 +117,45 @@ def p5_groups(spark, d):
     from . import groups
 
     return groups.grouped_rows(table(spark, d, "attribute_manifest"))
+
+
+@llm.add("p8_containers")
+def p8_containers(spark, d):
+    from . import packing
+
+    return packing.containers(table(spark, d, "documents"), table(spark, d, "pack_limits"))
+
+
+@llm.add("p8_fill")
+def p8_fill(spark, d):
+    from . import packing
+
+    return packing.fill_report(table(spark, d, "documents"), table(spark, d, "pack_limits"))
+
+
+@llm.add("p9_mix")
+def p9_mix(spark, d):
+    from . import mixing
+
+    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "source_targets"))
+
+
+@llm.add("p9_shares")
+def p9_shares(spark, d):
+    from . import mixing
+
+    return mixing.share_report(table(spark, d, "documents"), table(spark, d, "source_targets"))
+
+
+@llm.add("p10_found")
+def p10_found(spark, d):
+    from . import truncation
+
+    return truncation.truncated(table(spark, d, "documents"))
+
+
+@llm.add("p10_rates")
+def p10_rates(spark, d):
+    from . import truncation
+
+    return truncation.rates(table(spark, d, "documents"))
