@@ -21,10 +21,11 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import normal
+from ..session import Scratch
 
 FIELDS = ("body_type", "color", "crop_quality", "viewpoint")
 _TOKENS = re.compile(r"[^\W_]+")
@@ -96,6 +97,10 @@ def _vote(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     held: list[tuple] = []
     out: list[tuple] = []
 
+    def frame() -> pd.DataFrame:
+        names = ["content", "field", "value", "row", "n", "n_values", "latest_row", "latest_trust", "top_trust"]
+        return pd.DataFrame(out, columns=names).astype({"latest_row": "Int64"})
+
     def close() -> None:
         if not held:
             return
@@ -109,35 +114,52 @@ def _vote(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             share[level] = share.get(level, 0) + r[3]
         weights = tuple(4.0 ** -min(k, 400) * r[3] / share[k] for k, r in zip(levels, held, strict=True))
         chosen = held[consensus(tuple(r[2] for r in held), weights)]
-        out.append((chosen[0], chosen[1], chosen[2], chosen[6], len(held)))
+        out.append((chosen[0], chosen[1], chosen[2], chosen[6], chosen[3], len(held), *chosen[7:]))
 
     for pdf in frames:
-        for r in zip(pdf["content"], pdf["field"], pdf["value"], pdf["n"], pdf["trust"], pdf["reviewed"], pdf["row"], strict=True):
+        pdf["latest_row"] = pdf["latest_row"].astype("Int64").astype(object).where(pdf["latest_row"].notna(), None)
+        for r in zip(*[pdf[c] for c in ("content", "field", "value", "n", "trust", "reviewed", "row", "latest_row", "latest_trust", "top_trust")], strict=True):
             if (r[0], r[1]) != group:
                 close()
                 group, held = (r[0], r[1]), []
             held.append(r)
         if len(out) >= 10_000:
-            yield pd.DataFrame(out, columns=["content", "field", "value", "row", "n_values"])
-            out = []
+            yield frame()
+            out.clear()
     close()
-    yield pd.DataFrame(out, columns=["content", "field", "value", "row", "n_values"]).astype({"row": "int64", "n_values": "int32"})
+    yield frame()
+
+
+def _value(field: str) -> Column:
+    return normal.color(field) if field == "color" else normal.label(field)
+
+
+def crop_rows(manifest: DataFrame, trust: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """row, content (32 bytes; the hash of the text if it is no SHA-256), trust, reviewed, and the fields in normal form."""
+    rank = trust.select(normal.key("annotation_source").alias("source"), F.col("trust_rank").cast("int").alias("rank")).where("source is not null").groupBy("source").agg(F.max("rank").alias("rank"))
+    content = normal.digest("stage177_pixel_sha256")
+    rows = manifest.select(
+        F.col("stage177_row_number").cast("long").alias("row"), F.when(content.rlike("^[0-9a-f]{64}$"), F.unhex(content)).otherwise(F.unhex(F.sha2(content, 256))).alias("content"),
+        normal.key("annotation_source").alias("source"), F.col("reviewed_at_ms").cast("long").alias("reviewed"), *[_value(f).alias(f) for f in fields],
+    ).where("row is not null")
+    return rows.join(rank, "source", "left").select("row", "content", F.coalesce("rank", F.lit(0)).alias("trust"), "reviewed", *fields)
+
+
+def shared_rows(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows whose crop occurs in other rows too."""
+    known = rows.where("content is not null")
+    often = known.groupBy("content").agg(F.count("*").alias("n")).where("n > 1")
+    return scratch.keep(known.join(often, "content", "left_semi"), "shared")
 
 
-def field_values(manifest: DataFrame, trust: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+def field_values(shared: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """One row per crop, field and known value, with its support and the standing of its best row.
 
     content, field, value, n, best (trust, reviewed, -row), latest and latest_other (reviewed, row, trust) by ascending
     and descending row. The field '' with the value '' stands for the crop itself, so that no crop is lost.
     """
-    rank = trust.select(normal.key("annotation_source").alias("source"), F.col("trust_rank").cast("int").alias("rank")).where("source is not null").groupBy("source").agg(F.max("rank").alias("rank"))
-    value = lambda f: normal.color(f) if f == "color" else normal.label(f)
-    rows = manifest.select(
-        F.col("stage177_row_number").cast("long").alias("row"), normal.digest("stage177_pixel_sha256").alias("content"), normal.key("annotation_source").alias("source"),
-        F.col("reviewed_at_ms").cast("long").alias("reviewed"), *[value(f).alias(f) for f in fields],
-    ).where("content is not null and row is not null").join(rank, "source", "left").withColumn("trust", F.coalesce("rank", F.lit(0)))
     each = F.array(F.struct(F.lit("").alias("field"), F.lit("").alias("value")), *[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields])
-    long = rows.select("content", "row", "trust", "reviewed", F.explode(each).alias("x")).select("content", "row", "trust", "reviewed", "x.field", "x.value").where("value is not null")
+    long = shared.select("content", "row", "trust", "reviewed", F.explode(each).alias("x")).select("content", "row", "trust", "reviewed", "x.field", "x.value").where("value is not null")
     return long.groupBy("content", "field", "value").agg(
         F.count("*").alias("n"),
         F.max(F.struct("trust", F.coalesce("reviewed", F.lit(-1)).alias("reviewed"), (-F.col("row")).alias("minus_row"))).alias("best"),
@@ -146,44 +168,45 @@ def field_values(manifest: DataFrame, trust: DataFrame, fields: tuple[str, ...]
     )
 
 
-def chosen_values(manifest: DataFrame, trust: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """content, field, value, row (the best row that holds it), n_values, disputed: the outcome for each crop and field,
+def chosen_values(shared: DataFrame, scratch: Scratch, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """content, field, value, row (the best row that holds it), n (its rows), n_values: the outcome per crop and field,
     with what is known of the whole group: latest_row (null if several rows are the latest), latest_trust, top_trust.
     """
-    values = field_values(manifest, trust, fields)
-    group = F.expr("1")
-    from pyspark.sql import Window
-
     w = Window.partitionBy("content", "field")
-    known = values.select(
+    known = field_values(shared, fields).select(
         "content", "field", "value", "n", F.col("best.trust").alias("trust"), F.col("best.reviewed").alias("reviewed"), (-F.col("best.minus_row")).alias("row"),
-        F.count(group).over(w).alias("n_values"), F.max("latest").over(w).alias("latest"), F.max("latest_other").over(w).alias("other"), F.max("best.trust").over(w).alias("top_trust"),
+        F.count(F.lit(1)).over(w).cast("int").alias("n_values"), F.max("latest").over(w).alias("latest"), F.max("latest_other").over(w).alias("other"), F.max("best.trust").over(w).alias("top_trust"),
     ).withColumn("latest_row", F.when(F.col("latest.reviewed").isNotNull() & (F.col("latest.row") == -F.col("other.minus_row")), F.col("latest.row")))
-    known = known.withColumn("latest_trust", F.col("latest.trust")).drop("latest", "other")
-    single = known.where("n_values = 1").select("content", "field", "value", "row", F.col("n_values").cast("int").alias("n_values"), "latest_row", "latest_trust", "top_trust")
-    split = known.where("n_values > 1")
+    known = scratch.keep(known.withColumn("latest_trust", F.col("latest.trust")).drop("latest", "other"), "values")
+    facts = ["latest_row", "latest_trust", "top_trust"]
+    single = known.where("n_values = 1").select("content", "field", "value", "row", "n", "n_values", *facts)
     order = [F.col("content"), F.col("field"), F.desc("trust"), F.desc("reviewed"), F.desc("n"), F.col("row"), F.col("value")]
-    voted = split.select("content", "field", "value", "n", "trust", "reviewed", "row").sortWithinPartitions(*order).mapInPandas(_vote, "content string, field string, value string, row long, n_values int")
-    facts = split.groupBy("content", "field").agg(F.max("latest_row").alias("latest_row"), F.max("latest_trust").alias("latest_trust"), F.max("top_trust").alias("top_trust"))
-    return single.union(voted.join(facts, ["content", "field"]).select("content", "field", "value", "row", "n_values", "latest_row", "latest_trust", "top_trust"))
+    split = known.where("n_values > 1").repartition("content", "field").sortWithinPartitions(*order)
+    return single.union(split.select("content", "field", "value", "n", "trust", "reviewed", "row", *facts).mapInPandas(_vote, single.schema))
 
 
-def clear_cases(manifest: DataFrame, trust: DataFrame) -> DataFrame:
+def clear_cases(manifest: DataFrame, trust: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """stage177_row_number, field_name: the consensus is the value of the one latest row, which no other outranks."""
-    c = chosen_values(manifest, trust).where("n_values > 1 and latest_row = row and latest_trust = top_trust")
+    scratch = scratch or Scratch(manifest.sparkSession, "survivors")
+    shared = shared_rows(scratch.keep(crop_rows(manifest, trust), "crops"), scratch)
+    c = chosen_values(shared, scratch).where("n_values > 1 and latest_row = row and latest_trust = top_trust")
     return c.select(F.col("row").alias("stage177_row_number"), F.col("field").alias("field_name")).distinct()
 
 
-def survivors(manifest: DataFrame, trust: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+def survivors(manifest: DataFrame, trust: DataFrame, fields: tuple[str, ...] = FIELDS, scratch: Scratch | None = None) -> DataFrame:
     """One row per crop: pixel_sha256, the representative's row number, n_rows, the fields, and n_disputed fields.
 
     Rows without a hash follow as crops of their own, with pixel_sha256 null and their own values.
     """
-    values = field_values(manifest, trust, fields).where("field = ''").select("content", (-F.col("best.minus_row")).alias("representative"), F.col("n").alias("n_rows"))
-    chosen = chosen_values(manifest, trust, fields).where("field <> ''")
-    wide = chosen.groupBy("content").agg(*[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in fields], F.count_if(F.col("n_values") > 1).cast("int").alias("n_disputed"))
-    grouped = values.join(wide, "content", "left").select(F.col("content").alias("pixel_sha256"), "representative", "n_rows", *fields, F.coalesce("n_disputed", F.lit(0)).alias("n_disputed"))
-    value = lambda f: normal.color(f) if f == "color" else normal.label(f)
-    alone = manifest.where(normal.digest("stage177_pixel_sha256").isNull() & F.col("stage177_row_number").isNotNull())
-    alone = alone.select(F.lit(None).cast("string").alias("pixel_sha256"), F.col("stage177_row_number").cast("long").alias("representative"), F.lit(1).cast("long").alias("n_rows"), *[value(f).alias(f) for f in fields], F.lit(0).alias("n_disputed"))
+    scratch = scratch or Scratch(manifest.sparkSession, "survivors")
+    rows = scratch.keep(crop_rows(manifest, trust, fields), "crops")
+    shared = shared_rows(rows, scratch)
+    chosen = chosen_values(shared, scratch, fields)
+    of = lambda f, c: F.max(F.when(F.col("field") == f, F.col(c)))
+    wide = chosen.groupBy("content").agg(of("", "row").alias("representative"), of("", "n").alias("n_rows"), *[of(f, "value").alias(f) for f in fields], F.count_if(F.col("n_values") > 1).cast("int").alias("n_disputed"))
+    names = ["representative", "n_rows", *fields, "n_disputed"]
+    grouped = wide.select(F.lower(F.hex("content")).alias("pixel_sha256"), *names)
+    # A row that shares its crop with no other survives as it is.
+    alone = rows.join(shared.select("content").distinct(), "content", "left_anti")
+    alone = alone.select(F.lower(F.hex("content")).alias("pixel_sha256"), F.col("row").alias("representative"), F.lit(1).cast("long").alias("n_rows"), *fields, F.lit(0).alias("n_disputed"))
     return grouped.union(alone)
