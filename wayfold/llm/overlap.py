@@ -39,7 +39,10 @@ _MATCH_DDL = "train_code binary, eval_code binary, distance int, span int"
 
 
 def records(manifest: DataFrame) -> DataFrame:
-    """row, split, side, dataset, content (64 hexadecimal digits), near (long); only rows of a known split."""
+    """row, split, side, dataset, content (32 bytes), near (8 bytes); only rows of a known split.
+
+    A content hash that is no SHA-256 is represented by the SHA-256 of its text.
+    """
     split = normal.split_name("split")
     content = normal.digest("stage177_pixel_sha256")
     return manifest.select(
@@ -47,8 +50,8 @@ def records(manifest: DataFrame) -> DataFrame:
         split.alias("split"),
         F.when(split == "train", TRAIN).when(split.isin("validation", "test"), EVALUATION).alias("side"),
         F.coalesce(normal.key("source_dataset"), F.lit("unknown")).alias("dataset"),
-        F.when(content.rlike("^[0-9a-f]{64}$"), content).otherwise(F.sha2(content, 256)).alias("content"),
-        normal.bits64("stage177_dhash64").alias("near"),
+        F.when(content.rlike("^[0-9a-f]{64}$"), F.unhex(content)).otherwise(F.unhex(F.sha2(content, 256))).alias("content"),
+        F.unhex(F.lpad(F.hex(normal.bits64("stage177_dhash64")), 16, "0")).alias("near"),
     ).where("side is not null")
 
 
@@ -225,31 +228,21 @@ def code_matches(codes: DataFrame, scratch: Scratch, radius: int = RADIUS, refin
 
 def codes_of(found: DataFrame) -> DataFrame:
     """The distinct codes of both kinds on either side."""
-    pixel = F.unhex("content")
-    near = F.unhex(F.lpad(F.hex("near"), 16, "0"))
-    return found.select("side", F.explode(F.array_compact(F.array(pixel, near))).alias("code")).distinct()
+    return found.select("side", F.explode(F.array_compact(F.array("content", "near"))).alias("code")).distinct()
 
 
-def matched_codes(manifest: DataFrame, scratch: Scratch | None = None, **how) -> DataFrame:
-    """kind ('content' or 'near'), train_key, eval_key (as in records(), in text), distance, span."""
-    scratch = scratch or Scratch(manifest.sparkSession, "overlap")
-    m = code_matches(codes_of(records(manifest)), scratch, **how)
-    text = lambda c: F.lower(F.hex(c))
-    m = m.select(
-        F.when(F.length("train_code") == 32, "content").otherwise("near").alias("kind"),
-        text("train_code").alias("train_key"), text("eval_code").alias("eval_key"), "distance", "span",
-    )
-    return scratch.keep(m, "matches")
-
-
-def _near_key(c: str = "near") -> Column:
-    return F.lower(F.lpad(F.hex(c), 16, "0"))
+def matched_codes(found: DataFrame, scratch: Scratch, **how) -> DataFrame:
+    """kind ('content' or 'near'), train_key, eval_key (as in records()), distance, span."""
+    m = code_matches(codes_of(found), scratch, **how)
+    kind = F.when(F.length("train_code") == 32, "content").otherwise("near").alias("kind")
+    return scratch.keep(m.select(kind, F.col("train_code").alias("train_key"), F.col("eval_code").alias("eval_key"), "distance", "span"), "matches")
 
 
 def row_pairs(manifest: DataFrame, scratch: Scratch | None = None, **how) -> DataFrame:
     """row_a, row_b (row_a < row_b): each pair of a train row and an evaluation row that match, once."""
-    m = matched_codes(manifest, scratch, **how)
-    r = records(manifest).select("row", "side", "content", _near_key().alias("near"))
+    scratch = scratch or Scratch(manifest.sparkSession, "overlap")
+    r = scratch.keep(records(manifest).select("row", "side", "content", "near"), "records")
+    m = matched_codes(r, scratch, **how)
     t = r.where(F.col("side") == TRAIN).select(F.col("row").alias("t"), F.col("content").alias("t_content"), F.col("near").alias("t_near"))
     e = r.where(F.col("side") == EVALUATION).select(F.col("row").alias("e"), F.col("content").alias("e_content"), F.col("near").alias("e_near"))
     content, near = m.where("kind = 'content'"), m.where("kind = 'near'")
@@ -267,16 +260,16 @@ def overlap_report(manifest: DataFrame, scratch: Scratch | None = None, **how) -
     than any other; a pair that agrees by both hashes counts in both columns.
     """
     scratch = scratch or Scratch(manifest.sparkSession, "overlap")
-    m = matched_codes(manifest, scratch, **how)
-    r = records(manifest)
+    r = scratch.keep(records(manifest), "records")
+    m = matched_codes(r, scratch, **how)
     per = lambda kind, c: (
         m.where(F.col("kind") == kind)
         .join(r.where(F.col("side") == TRAIN).groupBy(c.alias("train_key")).agg(F.count("*").alias("n")), "train_key")
         .groupBy("eval_key").agg(F.sum("n").alias(f"{kind}_pairs"))
     )
-    e = r.where(F.col("side") == EVALUATION).groupBy("split", "dataset", "content", _near_key().alias("near_key")).agg(F.count("*").alias("n"))
+    e = r.where(F.col("side") == EVALUATION).groupBy("split", "dataset", "content", F.col("near").alias("near_key")).agg(F.count("*").alias("n"))
     e = e.join(per("content", F.col("content")).withColumnRenamed("eval_key", "content"), "content", "left")
-    e = e.join(per("near", _near_key()).withColumnRenamed("eval_key", "near_key"), "near_key", "left")
+    e = e.join(per("near", F.col("near")).withColumnRenamed("eval_key", "near_key"), "near_key", "left")
     same, near = F.coalesce("content_pairs", F.lit(0)), F.coalesce("near_pairs", F.lit(0))
     total = lambda c, name: F.sum(c).cast("long").alias(name)
     return e.groupBy("split", F.col("dataset").alias("source_dataset")).agg(
