@@ -46,7 +46,8 @@ _GREETING = re.compile(
     re.I,
 )
 _BROKEN = re.compile(r"�+\s*$|\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?$|&(?:#\d{0,5}|[a-zA-Z]{1,7})$|<[a-zA-Z/][^<>\n]{0,60}$|%[0-9A-Fa-f]?$")
-_SENTENCE = re.compile(r"[.!?](?:[\"'”’»)\]]*)(?=\s|$)|[。！？](?:[”’」』）]*)")
+_DANGLING = re.compile(r"[,;、，；]\s*$")
+_SENTENCE = re.compile(r"(?<!\.)[.!?](?!\.)(?:[\"'”’»)\]]*)(?=\s|$)|[。！？](?:[”’」』）]*)")
 _TOKEN = re.compile(r"[㐀-鿿぀-ヿ]|[^\W_㐀-鿿぀-ヿ]+(?:[.:,'/-][^\W_㐀-鿿぀-ヿ]+)*")
 _DIGIT = re.compile(r"\d")
 SHORT = 8
@@ -115,7 +116,7 @@ def structure(text: str) -> tuple[str, str]:
         return "complete", "blank"
     if _BROKEN.search(body):
         return "broken", "bytes, escape or markup"
-    line = re.split(r"[\r\n]", body)[-1]
+    line = body[max(body.rfind("\n"), body.rfind("\r")) + 1 :]
     if _NOTE.match(line) or _SEPARATOR.match(line) or _GREETING.match(line) or _SIGNATURE.match(line):
         return "complete", "closing line"
     mark = _CUT_MARK.search(line)
@@ -141,6 +142,8 @@ def structure(text: str) -> tuple[str, str]:
         return "complete", "terminated"
     if end != line.rstrip() and end != line:
         return "complete", "closed"  # an end in a closed quote or bracket
+    if _DANGLING.search(line):
+        return "broken", "comma at the end"
     last = _SENTENCE.split(line)[-1].strip()
     return ("marked" if marked else "open"), last
 
@@ -159,44 +162,54 @@ _DDL = "kind string, doc_id long, source string, key string, tail string, n long
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per text one row (kind is its verdict; n is 1 if a fragment is the whole text), and counters of sentence ends, standing fragments and openings."""
-    counts: Counter = Counter()
+    sentences: dict[str, int] = {}
+    alone: dict[tuple[int, str], int] = {}
 
     def rows(items: list[tuple]) -> pa.RecordBatch:
         cols = list(zip(*items, strict=True)) if items else [[] for _ in _SCHEMA]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _SCHEMA, strict=True)], schema=_SCHEMA)
 
     def flush() -> pa.RecordBatch:
-        out = rows([(kind, None, None, key, None, n, None, None) for (kind, key), n in counts.items()])
-        counts.clear()
-        return out
+        ends, stands, opens, wholes = Counter(), Counter(), Counter(), Counter()
+        for (whole, key), n in alone.items():
+            (wholes if whole else stands)[key] += n
+        for part, n in sentences.items():  # each wording once, however often it occurs
+            head = _TOKEN.findall(part[:160])
+            if not head:
+                continue
+            ends[_tail(_TOKEN.findall(part[-60:]) if len(part) > 160 else head)] += n
+            start = ""
+            for word in head[: min(SHORT, len(head) - 1)]:
+                start = f"{start} {word}" if start else word
+                opens[start] += n
+            if len(head) <= SHORT:
+                stands[" ".join(head)] += n
+        sentences.clear()
+        alone.clear()
+        return rows([(kind, None, None, key, None, n, None, None) for kind, c in (("ends", ends), ("stands", stands), ("opens", opens), ("wholes", wholes)) for key, n in c.items()])
 
     for batch in batches:
         items = []
         for doc, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             verdict, rest = structure(text)
-            words = tokens(rest[-400:] if len(rest) > 400 else rest) if verdict in ("open", "marked") else []
+            words = tokens(rest[-400:]) if verdict in ("open", "marked") else []
             key = " ".join(words) if 0 < len(words) <= SHORT else None
-            alone = int(bool(words) and text.strip().startswith(rest) and "\n" not in text.strip())
-            items.append((verdict, doc, source, key if words else rest, _tail(words) if words else None, alone, len(text), len(text.encode("utf-8", "surrogatepass"))))
+            whole = int(bool(words) and text.strip().startswith(rest) and "\n" not in text.strip())
+            items.append((verdict, doc, source, key if words else rest, _tail(words) if words else None, whole, len(text), len(text.encode("utf-8", "surrogatepass"))))
             if key:
-                counts["stands", key] += 1
-            for line in re.split(r"[\r\n]+", text):
+                alone[whole, key] = alone.get((whole, key), 0) + 1
+            mark = _CUT_MARK.search(text[-40:])
+            body = text[: len(text) - len(mark.group())] if mark else text
+            for line in _DIGIT.sub("0", body.lower()).splitlines():
                 start = 0
                 for m in _SENTENCE.finditer(line):
-                    part, start = line[start : m.start()], m.end()
-                    head = tokens(part[:160])
-                    foot = tokens(part[-60:]) if len(part) > 160 else head
-                    if not head:
-                        continue
-                    counts["ends", _tail(foot if len(part) > 160 else head)] += 1
-                    for k in range(1, min(SHORT + 1, len(head))):
-                        counts["opens", " ".join(head[:k])] += 1
-                    if len(head) <= SHORT:
-                        counts["stands", " ".join(head)] += 1
+                    part = line[start : m.start()].strip()
+                    start = m.end()
+                    sentences[part] = sentences.get(part, 0) + 1
         yield rows(items)
-        if len(counts) > 200_000:
+        if len(sentences) + len(alone) > 100_000:
             yield flush()
-    if counts:
+    if sentences or alone:
         yield flush()
 
 
@@ -211,36 +224,40 @@ def judged(documents: DataFrame, scratch: Scratch | None = None, limit_count: in
     verdicts = ("complete", "broken", "open", "marked")
     docs = seen.where(F.col("kind").isin(*verdicts))
     counts = seen.where(~F.col("kind").isin(*verdicts)).groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    ends = counts.where("kind = 'ends'").select(F.col("key").alias("tail"), F.col("n").alias("n_ends"))
-    stands = counts.where("kind = 'stands'").select("key", F.col("n").alias("n_stands"))
-    opens = counts.where("kind = 'opens'").select("key", F.col("n").alias("n_opens"))
+    count = lambda kind, key: counts.where(F.col("kind") == kind).select(F.col("key").alias(key), F.col("n").alias(f"n_{kind}"))
+    doubt = docs.where("kind in ('open', 'marked')").withColumn("parent", F.regexp_replace("key", " ?[^ ]+$", ""))
+    for kind, key in (("ends", "tail"), ("stands", "key"), ("wholes", "key"), ("opens", "key")):
+        doubt = doubt.join(count(kind, key), key, "left")
+    doubt = doubt.join(count("opens", "parent").withColumnRenamed("n_opens", "n_parent"), "parent", "left")
+    n_ends, n_stands, n_wholes, n_opens, n_parent = (F.coalesce(c, F.lit(0)) for c in ("n_ends", "n_stands", "n_wholes", "n_opens", "n_parent"))
+    # A short fragment is a remark of its own if it is the whole of several texts, or if it stands alone often (as a
+    # closing formula does), and if sentences rarely go on from it, or from what precedes its last word, which may be
+    # part of a word.
+    whole = (F.col("n") == 1) & (n_wholes >= 3) & (n_wholes > n_opens) & (n_wholes * 200 >= n_parent)
+    formula = (n_stands >= 3) & (n_stands > n_opens) & (n_stands * 10 >= n_parent) & (F.col("parent") != "")
+    doubt = doubt.withColumn("remark", F.col("key").isNotNull() & (whole | formula))
+    doubt = scratch.keep(doubt.withColumn("known_end", (n_ends >= 2) & (F.col("key").isNull() | (n_opens == 0) | (n_ends > n_opens))), "doubt")
     # Lengths at which a source is cut off: many of its texts have just that length, and most of those stop short.
     per_source = docs.groupBy("source").agg(F.count_if(F.col("kind") == "open").alias("all_open"), F.count("*").alias("all"))
-    sizes = docs.select("source", "kind", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("size")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("size")))).alias("x"))
-    sizes = sizes.groupBy("source", "x.unit", "x.size").agg(F.count_if(F.col("kind") == "open").alias("n_open"), F.count("*").alias("n"))
+    short = (F.col("kind") == "open") & ~F.col("remark")
+    sizes = docs.select("doc_id", "source", "kind", "chars", "bytes", F.lit(False).alias("remark")).where("kind in ('complete', 'broken')")
+    sizes = sizes.union(doubt.select("doc_id", "source", "kind", "chars", "bytes", "remark"))
+    each = F.explode(F.array(*[F.struct(F.lit(u).alias("unit"), F.col(u).alias("size")) for u in ("chars", "bytes")]))
+    sizes = sizes.select("source", short.alias("short"), each.alias("x")).groupBy("source", "x.unit", "x.size").agg(F.count_if("short").alias("n_short"), F.count("*").alias("n"))
     near = Window.partitionBy("source", "unit").orderBy("size").rangeBetween(-20, 20)
     sizes = sizes.withColumn("around", F.sum("n").over(near) - F.col("n"))
-    limits = sizes.where((F.col("n_open") >= limit_count) & (F.col("n_open") * 2 > F.col("n")) & (F.col("n") * 8 > F.col("around"))).select("source", "unit", "size", F.lit(True).alias("limit"))
-    doubt = docs.where("kind in ('open', 'marked')").join(per_source, "source")
+    limits = sizes.where((F.col("n_short") >= limit_count) & (F.col("n_short") * 2 > F.col("n")) & (F.col("n") * 8 > F.col("around"))).select("source", "unit", "size", F.lit(True).alias("limit"))
+    doubt = doubt.join(per_source, "source")
     for unit in ("chars", "bytes"):
         doubt = doubt.join(limits.where(F.col("unit") == unit).select("source", F.col("size").alias(unit), F.col("limit").alias(f"{unit}_limit")), ["source", unit], "left")
-    doubt = doubt.withColumn("parent", F.regexp_replace("key", " ?[^ ]+$", ""))
-    doubt = doubt.join(ends, "tail", "left").join(stands, "key", "left").join(opens, "key", "left")
-    doubt = doubt.join(opens.select(F.col("key").alias("parent"), F.col("n_opens").alias("n_parent")), "parent", "left")
-    n_ends, n_stands, n_opens, n_parent = (F.coalesce(c, F.lit(0)) for c in ("n_ends", "n_stands", "n_opens", "n_parent"))
     at_limit = F.coalesce("chars_limit", "bytes_limit").isNotNull()
-    # A short fragment is a remark of its own if others stand alone like it and sentences rarely go on from it, or from
-    # what precedes its last word, which may be part of a word; a single word must be the whole text.
-    remark = F.col("key").isNotNull() & (n_stands >= 3) & (n_stands > n_opens) & (n_stands * 10 >= n_parent) & ((F.col("parent") != "") | (F.col("n") == 1))
     rarely_ended = F.col("all_open") * 2 > F.col("all")  # sources that leave out terminators as a rule
-    known_end = (n_ends >= 2) & (F.col("key").isNull() | (n_opens == 0) | (n_ends > n_opens))
     reason = (
-        F.when(F.col("tail").isNull(), F.lit(None))
+        F.when(F.col("tail").isNull() | F.col("remark"), F.lit(None))
         .when(at_limit, F.lit("field limit"))
-        .when(remark, F.lit(None))
-        .when(known_end, F.lit(None))
         .when(F.col("kind") == "marked", F.lit("cut mark in a sentence"))
-        .when(rarely_ended & (n_opens == 0), F.lit(None))
+        .when(F.col("known_end"), F.lit(None))
+        .when(rarely_ended & (F.coalesce("n_opens", F.lit(0)) == 0), F.lit(None))
         .otherwise(F.lit("no end of sentence"))
     )
     doubted = doubt.select("doc_id", "source", reason.alias("reason"))
