@@ -1,6 +1,6 @@
 """Collects the core queries: importing this module fills the register."""
 
-from . import analytics, pipeline, relational  # noqa: F401
+from . import analytics, pipeline, relational, stateful  # noqa: F401
 from .registry import core
 
 __all__ = ["core"]
