@@ -31,18 +31,19 @@ def hash_to_min(pairs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     edges = pairs.select("a", "b").where("a <> b")
     both = F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("u")), F.struct(F.col("b").alias("v"), F.col("a").alias("u")), F.struct(F.col("a").alias("v"), F.col("a").alias("u")), F.struct(F.col("b").alias("v"), F.col("b").alias("u"))))
     cluster = scratch.keep(edges.select(both.alias("x")).select("x.v", "x.u").distinct(), "clusters")
+    if cluster.isEmpty():
+        return cluster.select(F.col("v").alias("vertex"), F.col("u").alias("group_id"))
     for _ in range(MAX_ROUNDS):
-        least = scratch.keep(cluster.groupBy("v").agg(F.min("u").alias("m")), "least")
-        known = cluster.join(least, "v")
+        least = cluster.groupBy("v").agg(F.min("u").alias("m"))
         seen = Observation()
         # A cluster is at rest if it is {its least member}, or belongs to that member.
-        known = known.observe(seen, F.count_if((F.col("v") != F.col("m")) & (F.col("u") != F.col("m"))).alias("moving"))
+        known = cluster.join(least, "v").observe(seen, F.count_if((F.col("v") != F.col("m")) & (F.col("u") != F.col("m"))).alias("moving"))
         sent = F.explode(F.array(F.struct(F.col("m").alias("v"), F.col("u").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u"))))
         after = scratch.keep(known.select(sent.alias("x")).select("x.v", "x.u").distinct(), "clusters")
         if not seen.get["moving"]:
+            scratch.drop(after)
             return least.select(F.col("v").alias("vertex"), F.col("m").alias("group_id"))
         scratch.drop(cluster)
-        scratch.drop(least)
         cluster = after
     raise RuntimeError(f"clusters still change after {MAX_ROUNDS} rounds")
 
