@@ -194,7 +194,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             verdict, rest = structure(text)
             words = tokens(rest[-400:]) if verdict in ("open", "marked") else []
             key = " ".join(words) if 0 < len(words) <= SHORT else None
-            whole = int(bool(words) and text.strip().startswith(rest) and "\n" not in text.strip())
+            whole = int(bool(words) and len(text.strip()) - len(rest) <= 12 and text.strip().startswith(rest))
             items.append((verdict, doc, source, key if words else rest, _tail(words) if words else None, whole, len(text), len(text.encode("utf-8", "surrogatepass"))))
             if key:
                 alone[whole, key] = alone.get((whole, key), 0) + 1
@@ -238,7 +238,6 @@ def judged(documents: DataFrame, scratch: Scratch | None = None, limit_count: in
     doubt = doubt.withColumn("remark", F.col("key").isNotNull() & (whole | formula))
     doubt = scratch.keep(doubt.withColumn("known_end", (n_ends >= 2) & (F.col("key").isNull() | (n_opens == 0) | (n_ends > n_opens))), "doubt")
     # Lengths at which a source is cut off: many of its texts have just that length, and most of those stop short.
-    per_source = docs.groupBy("source").agg(F.count_if(F.col("kind") == "open").alias("all_open"), F.count("*").alias("all"))
     short = (F.col("kind") == "open") & ~F.col("remark")
     sizes = docs.select("doc_id", "source", "kind", "chars", "bytes", F.lit(False).alias("remark")).where("kind in ('complete', 'broken')")
     sizes = sizes.union(doubt.select("doc_id", "source", "kind", "chars", "bytes", "remark"))
@@ -247,17 +246,20 @@ def judged(documents: DataFrame, scratch: Scratch | None = None, limit_count: in
     near = Window.partitionBy("source", "unit").orderBy("size").rangeBetween(-20, 20)
     sizes = sizes.withColumn("around", F.sum("n").over(near) - F.col("n"))
     limits = sizes.where((F.col("n_short") >= limit_count) & (F.col("n_short") * 2 > F.col("n")) & (F.col("n") * 8 > F.col("around"))).select("source", "unit", "size", F.lit(True).alias("limit"))
-    doubt = doubt.join(per_source, "source")
     for unit in ("chars", "bytes"):
         doubt = doubt.join(limits.where(F.col("unit") == unit).select("source", F.col("size").alias(unit), F.col("limit").alias(f"{unit}_limit")), ["source", unit], "left")
-    at_limit = F.coalesce("chars_limit", "bytes_limit").isNotNull()
-    rarely_ended = F.col("all_open") * 2 > F.col("all")  # sources that leave out terminators as a rule
+    doubt = doubt.withColumn("at_limit", F.coalesce("chars_limit", "bytes_limit").isNotNull())
+    # What is usual in a source: how many of its texts lack a terminator, apart from remarks and those cut at a limit.
+    all_ = docs.groupBy("source").agg(F.count("*").alias("all"))
+    lacking = doubt.groupBy("source").agg(F.count_if((F.col("kind") == "open") & ~F.col("remark") & ~F.col("at_limit")).alias("lacking"), F.count_if("at_limit").alias("cut"))
+    usual = all_.join(lacking, "source").select("source", (F.col("lacking") * 2 > F.col("all") - F.col("cut")).alias("rarely_ended"))
+    doubt = doubt.join(usual, "source")
     reason = (
         F.when(F.col("tail").isNull() | F.col("remark"), F.lit(None))
-        .when(at_limit, F.lit("field limit"))
+        .when(F.col("at_limit"), F.lit("field limit"))
         .when(F.col("kind") == "marked", F.lit("cut mark in a sentence"))
         .when(F.col("known_end"), F.lit(None))
-        .when(rarely_ended & (F.coalesce("n_opens", F.lit(0)) == 0), F.lit(None))
+        .when(F.col("rarely_ended") & (F.coalesce("n_opens", F.lit(0)) == 0), F.lit(None))
         .otherwise(F.lit("no end of sentence"))
     )
     doubted = doubt.select("doc_id", "source", reason.alias("reason"))
