@@ -639,3 +639,51 @@ def s10(spark, d):
 @core.add("s11_reclaimable", f"SELECT message_id, task_id, delivered_at_ms FROM camera_task_commands WHERE delivered_at_ms IS NOT NULL AND {NOW} - delivered_at_ms >= 30000")
 def s11(spark, d):
     return table(spark, d, "camera_task_commands").where(F.col("delivered_at_ms").isNotNull() & (F.lit(NOW) - F.col("delivered_at_ms") >= 30_000)).select("message_id", "task_id", "delivered_at_ms")
+
+
+@core.add("s5_json_documents", "SELECT task_id, version, algorithms[1] AS first_algorithm, len(algorithms) AS n FROM camera_tasks")
+def s5(spark, d):
+    """A document per row, indented over several lines, read back as nested objects."""
+    at = _scratch(spark, "documents")
+    body = F.to_json(F.struct("task_id", "version", "algorithms"), {"pretty": "true"})
+    t = table(spark, d, "camera_tasks")
+    t.select(body.alias("value")).repartitionByRange(t.count() or 1, "value").write.text(at)  # a file per task of the task table
+    docs = files.json_document(spark, at, "task_id string, version int, algorithms array<string>").where("task_id is not null")
+    return docs.select("task_id", "version", F.get("algorithms", 0).alias("first_algorithm"), F.size("algorithms").cast("long").alias("n"))
+
+
+@core.add("s6_box_files", "SELECT count(*) AS lines, count(*) FILTER (source_sequence % 11 <> 0) AS valid, CAST(sum(source_sequence % 10) FILTER (source_sequence % 11 <> 0) AS BIGINT) AS classes FROM camera_frames WHERE source_sequence IS NOT NULL")
+def s6(spark, d):
+    at = _scratch(spark, "boxes")
+    s = F.col("source_sequence")
+    line = F.concat_ws(" ", (s % 10).cast("string"), F.lit("0.5 0.5 0.25"), F.when(s % 11 != 0, "0.25"))
+    table(spark, d, "camera_frames").where("source_sequence is not null").select(line.alias("value")).repartition(32).write.text(at)
+    b = files.box_lines(spark, at)
+    return b.agg(F.count("*").alias("lines"), F.count_if("valid").alias("valid"), F.sum(F.when(F.col("valid"), F.col("class_id"))).alias("classes"))
+
+
+@core.add(
+    "k2_multi_table_insert",
+    """WITH e AS (SELECT event_id, min(created_at_ms) AS c FROM vehicle_track_results WHERE event_id IS NOT NULL GROUP BY event_id)
+    SELECT 'vision_events' AS table_name, count(*) AS n, CAST(sum(c % 1000) AS BIGINT) AS checksum FROM e UNION ALL SELECT 'vehicle_track_results', count(*), CAST(sum(c % 1000) AS BIGINT) FROM e UNION ALL SELECT 'callback_outbox', count(*), CAST(sum(c % 1000) AS BIGINT) FROM e""",
+)
+def k2(spark, d):
+    """Three tables from one written batch: the batch is materialised once, and each table replaces its own folder."""
+    at = _scratch(spark, "batch")
+    batch = table(spark, d, "vehicle_track_results").where("event_id is not null").groupBy("event_id").agg(F.min("created_at_ms").alias("c"))
+    batch.write.parquet(f"{at}/batch")
+    kept = spark.read.schema(batch.schema).parquet(f"{at}/batch")
+    names = ("vision_events", "vehicle_track_results", "callback_outbox")
+    for n in names:
+        kept.write.mode("overwrite").parquet(f"{at}/{n}")
+    out = None
+    for n in names:
+        one = spark.read.schema(batch.schema).parquet(f"{at}/{n}").agg(F.count("*").alias("n"), F.sum(F.col("c") % 1000).alias("checksum")).select(F.lit(n).alias("table_name"), "n", "checksum")
+        out = one if out is None else out.union(one)
+    return out
+
+
+@core.add("k4_report", """SELECT '{"frames":' || count(*) || ',"tasks":' || count(DISTINCT task_id) || '}' AS report FROM camera_frames""")
+def k4(spark, d):
+    g = table(spark, d, "camera_frames").agg(F.count("*").alias("frames"), F.count_distinct("task_id").alias("tasks"))
+    return g.select(F.to_json(F.struct("frames", "tasks")).alias("report"))

@@ -10,6 +10,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _made: dict[str, str] = {}
+_scratch: list[tuple[SparkSession, str]] = []
+
+
+def _clear_scratch() -> None:
+    """Removes the scratch tables when Python ends; results are lazy, so they are needed until then."""
+    for spark, root in _scratch:
+        try:
+            remove(spark, root)
+        except Exception:  # noqa: BLE001  the session may have ended already
+            return
+
+
+atexit.register(_clear_scratch)
 
 
 def local_session(app: str = "wayfold", cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -53,6 +66,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/wayfold-{purpose}-{uuid.uuid4().hex[:12]}"
         self.count = 0
+        _scratch.append((spark, self.root))
 
     def path(self, name: str) -> str:
         self.count += 1
