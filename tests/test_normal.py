@@ -1,3 +1,6 @@
+import pathlib
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,12 +39,10 @@ def test_digest_and_names(spark):
 
 
 def test_nothing_else_needs_llm():
-    import pathlib
-
     root = pathlib.Path(normal.__file__).parents[1]
     for p in root.rglob("*.py"):
-        if "llm" not in p.parts:
-            assert "llm" not in p.read_text().replace("wayfold.llm", "llm") or p.name == "catalog.py", p
+        if "llm" not in p.relative_to(root).parts:
+            assert not re.search(r"(from|import)\s+\S*\bllm\b", p.read_text()), p
 
 
 def test_columns_do_not_clash(spark):
