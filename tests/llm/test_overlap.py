@@ -81,15 +81,3 @@ def test_a_hash_of_a_third_of_all_rows_is_counted_not_paired(spark):
     t = sum(1 for i in range(3000) if i % 3 and i % 2)
     e = sum(1 for i in range(3000) if i % 3 and not i % 2)
     assert [(x["n_same_rows"], x["n_same_pairs"]) for x in r] == [(e, t * e)]
-
-
-def test_shared_folder_is_taken_from_the_session(spark, monkeypatch, tmp_path):
-    from wayfold import session
-
-    assert session.shared_folder(spark)  # local: a folder of its own
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}/shared/") if False else None
-    monkeypatch.setattr(session, "_made", {})
-    s = session.Scratch(spark, "x")
-    kept = s.keep(spark.range(3), "t")
-    assert kept.count() == 3
-    s.drop(kept)

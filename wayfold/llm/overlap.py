@@ -211,9 +211,10 @@ def code_matches(codes: DataFrame, scratch: Scratch, radius: int = RADIUS, refin
     counts = keyed.groupBy("seed", "value").agg(F.count_if(F.col("side") == EVALUATION).alias("n_eval"), F.count_if(F.col("side") == TRAIN).alias("n_train"))
     counts = scratch.keep(counts.where("n_eval > 0 and n_train > 0").coalesce(1), "block-values")
     planned = keyed.join(F.broadcast(counts), ["seed", "value"])
-    fine = F.when(F.col("seed") == CONTENT, F.lit(None)).otherwise(F.lit(None))
+    fine = None
     for b in range(5):
-        fine = F.when(F.col("seed") == b, F.array(*[F.struct(F.lit(s).alias("seed"), ((F.col("value").cast("long") * 2048) + v).alias("value")) for s, v in pieces(F.col("bits"), b)])).otherwise(fine)
+        keys = F.array(*[F.struct(F.lit(s).alias("seed"), (F.col("value").cast("long") * 2048 + v).alias("value")) for s, v in pieces(F.col("bits"), b)])
+        fine = (F if fine is None else fine).when(F.col("seed") == b, keys)
     plain = F.array(F.struct(F.col("seed"), F.col("value").cast("long").alias("value")))
     refine = (F.col("seed") < CONTENT) & (F.col("n_eval") > refine_over)
     salts = F.when(~refine, F.ceil(F.col("n_train") / F.lit(salt_over))).otherwise(F.lit(1)).cast("int")

@@ -28,6 +28,9 @@ from ..functions import normal
 from ..session import Scratch
 
 FIELDS = ("body_type", "color", "crop_quality", "viewpoint")
+#: What a survivor is built from, where the columns exist: labels, flags (as true or false) and keys.
+FLAGS = ("blur", "occluded", "truncated", "night", "body_type_supervised", "color_supervised")
+KEYS = ("stage177_scene_label", "camera_id", "video_id", "track_group", "source_group", "source_frame_id", "source_license", "review_status")
 _TOKENS = re.compile(r"[^\W_]+")
 
 
@@ -131,6 +134,8 @@ def _vote(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _value(field: str) -> Column:
+    if field in FLAGS:
+        return normal.flag(field).cast("string")
     return normal.color(field) if field == "color" else normal.label(field)
 
 
@@ -193,11 +198,13 @@ def clear_cases(manifest: DataFrame, trust: DataFrame, scratch: Scratch | None =
     return c.select(F.col("row").alias("stage177_row_number"), F.col("field").alias("field_name")).distinct()
 
 
-def survivors(manifest: DataFrame, trust: DataFrame, fields: tuple[str, ...] = FIELDS, scratch: Scratch | None = None) -> DataFrame:
+def survivors(manifest: DataFrame, trust: DataFrame, fields: tuple[str, ...] | None = None, scratch: Scratch | None = None) -> DataFrame:
     """One row per crop: pixel_sha256, the representative's row number, n_rows, the fields, and n_disputed fields.
 
-    Rows without a hash follow as crops of their own, with pixel_sha256 null and their own values.
+    fields: by default those of FIELDS, FLAGS and KEYS that the manifest has. Rows without a hash follow as crops of their
+    own, with pixel_sha256 null and their own values.
     """
+    fields = fields or tuple(f for f in FIELDS + FLAGS + KEYS if f in manifest.columns)
     scratch = scratch or Scratch(manifest.sparkSession, "survivors")
     rows = scratch.keep(crop_rows(manifest, trust, fields), "crops")
     shared = shared_rows(rows, scratch)
