@@ -59,7 +59,7 @@ def test_fusion_conflicts():
 
 
 def test_guarded_fusion():
-    f = lambda o, w=3, s=0.55, m=0.10: T.fuse_guarded(o, w, s, m)
+    f = lambda o, w=3, s=0.55, m=0.10: list(T.fuse_guarded(o, w, s, m))
     assert f(seen(*["sedan"] * 5)) == ["sedan"] * 5
     assert f(seen("suv", "suv", ("sedan", 0.95, 0.05), "suv")) == ["suv"] * 4
     assert f(seen("suv", *["sedan"] * 4), w=1) == ["suv", "suv", "unknown", "sedan", "sedan"]
@@ -68,14 +68,14 @@ def test_guarded_fusion():
 
 def test_frontier_hold():
     o = [("suv", 0.96, 1.0), ("unknown", 0, 0), ("unknown", 0, 0)]
-    assert T.fuse_held(o, 5, 1, (0.5, 0.1), (0.6, 0.2), 2, hold=1) == ["suv", "suv", "unknown"]
+    assert list(T.fuse_held(o, 5, 1, (0.5, 0.1), (0.6, 0.2), 2, hold=1)) == ["suv", "suv", "unknown"]
 
 
 def test_short_tracks_never_have_lower_thresholds():
     o = [("suv", 0.6, 1.0)] * 2
     how = dict(window=5, least=1, entry=(0.5, 0.1), switch=(0.6, 0.2), patience=2)
-    assert T.fuse_by_length(o, 3, {"suv": 0.5}, {"suv": 0.7}, 0.1, 1, **how) == ["unknown"] * 2
-    assert T.fuse_by_length(o * 3, 3, {"suv": 0.5}, {"suv": 0.55}, 0.1, 1, **how) == ["suv"] * 6
+    assert list(T.fuse_by_length(o, 3, {"suv": 0.5}, {"suv": 0.7}, 0.1, 1, **how)) == ["unknown"] * 2
+    assert list(T.fuse_by_length(o * 3, 3, {"suv": 0.5}, {"suv": 0.55}, 0.1, 1, **how)) == ["suv"] * 6
 
 
 @settings(max_examples=60, deadline=None)
@@ -94,13 +94,27 @@ def test_optimal_matching_keeps_its_gate():
 
 def test_small_folds():
     assert T.suppress([(0, 0, 1, 1), (0, 0, 1, 0.9), (0, 0, 1, 1)], [0.5, 0.9, 0.4], [0, 0, 1], 0.5) == [1, 2]
-    assert T.fps_windows([1, 501, 1001, 1501, 2100]) == [(1, 1001, 3.0), (1001, 2100, 2 * 1000 / 1099)]
-    assert T.at_cadence([0, 50, 120, 130, 500, 510], 100) == [0, 2, 4]
-    assert T.within_budget([5, 9, 3, 2], 10, 9) == [0, 2, 3]
+    assert list(T.fps_windows([1, 501, 1001, 1501, 2100])) == [(1, 1001, 3.0), (1001, 2100, 2 * 1000 / 1099)]
+    assert list(T.at_cadence([0, 50, 120, 130, 500, 510], 100)) == [0, 2, 4]
+    assert list(T.within_budget([5, 9, 3, 2], 10, 9)) == [0, 2, 3]
     assert T.separate_windows([1, 2, 3, 9], 3, 10) == [1, 9]
-    assert T.leases([(0, "acquire", "a", 10), (5, "acquire", "b", 10), (6, "refresh", "a", 10), (17, "refresh", "a", 10), (18, "acquire", "b", 10), (19, "release", "a", 0), (20, "release", "b", 0)]) == [1, 0, 2, 0, 1, 0, 1]
+    assert list(T.leases([(0, "acquire", "a", 10), (5, "acquire", "b", 10), (6, "refresh", "a", 10), (17, "refresh", "a", 10), (18, "acquire", "b", 10), (19, "release", "a", 0), (20, "release", "b", 0)])) == [1, 0, 2, 0, 1, 0, 1]
     assert T.three_means(np.array([0.0, 1, 10, 11, 20, 21])) == [0.5, 10.5, 20.5]
+    assert T.three_means(np.array([0.0, 10, 20]), np.array([1, 5, 2])) == [0.0, 10.0, 20.0]
     assert T.detection_outcomes([((0, 0, 1, 1), 0.5), ((0, 0, 1, 0.95), 0.9)], [(0, 0, 1, 1), (0.9, 0.9, 1, 1)], 0.5) == ["fp", "tp", "fn"]
     assert T.match_greedy([(0, 0, 1, 1)], [(0, 0, 1, 0.5), (0, 0, 1, 0.9)], 0.3)[0][:2] == (0, 1)
     assert T.predict((0, 0, 1, 1), (1, 0, 2, 1), 2.0, 4.0) == (3, 0, 4, 1)
-    assert T.follow_in_order([(0, [(0, 0, 1, 1)]), (1, [(0, 0, 1, 0.9), (0.5, 0.5, 0.6, 0.6)]), (9, [(0, 0, 1, 1)])]) == [[1], [1, 2], [3]]
+    assert list(T.follow_in_order([(0, [(0, 0, 1, 1)]), (1, [(0, 0, 1, 0.9), (0.5, 0.5, 0.6, 0.6)]), (9, [(0, 0, 1, 1)])])) == [[1], [1, 2], [3]]
+
+
+def test_streamed_fold_equals_a_plain_one(spark):
+    d = spark.createDataFrame([(k, i, (i * 7) % 5) for k in ("a", "b", "c") for i in range(100)], "k string, i int, v int").repartition(5)
+
+    def fold(rows):
+        total = 0
+        for k, i, v in rows:
+            total += int(v)
+            yield k, int(i), total
+
+    out = {(r["k"], r["i"]): r["total"] for r in T.streamed(d, ["k"], ["i"], fold, "k string, i int, total long").collect()}
+    assert out == {(k, i): sum((j * 7) % 5 for j in range(i + 1)) for k in "abc" for i in range(100)}

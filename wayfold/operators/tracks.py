@@ -1,14 +1,16 @@
 """Order-dependent work on one track, run or frame at a time: tracking, matching, fusion, queues.
 
-Every function here folds over the rows of one group in order. The grouped form hands a group to Python in Arrow batches;
-groups are single tracks, runs or frames, whose size the camera bounds. The same folds serve the streaming jobs.
+Every function here folds over the rows of one group in order, most of them lazily, so that the grouped form can stream
+sorted partitions through Python in Arrow batches and hold no more than the fold's own state: a run or a camera with a
+third of all rows needs no more memory than any other. The same folds serve the streaming jobs.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
 from collections import deque
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -143,26 +145,26 @@ class Tracker:
         return gone
 
 
-def follow_in_order(frames: Iterable[tuple[int, list[tuple]]], least: float = 0.15, most_gap: int = 4) -> list[list[int]]:
-    """Tracks by detection order: each box takes the free track it overlaps most, of those seen at most `most_gap` samples ago."""
-    tracks: list[list] = []
-    out = []
+def follow_in_order(frames: Iterable[tuple[int, list[tuple]]], least: float = 0.15, most_gap: int = 4) -> Iterator[list[int]]:
+    """Tracks by detection order: each box takes the free track it overlaps most, of those seen at most `most_gap` samples
+    ago. Gives the tracks of each frame's boxes; older tracks are forgotten."""
+    tracks: dict[int, tuple[tuple, int]] = {}
+    count = 0
     for at, boxes in frames:
-        used: set[int] = set()
+        tracks = {i: t for i, t in tracks.items() if at - t[1] <= most_gap}
+        free = set(tracks)
         ids = []
         for b in boxes:
-            options = [(overlap(t[0], b), -i) for i, t in enumerate(tracks) if i not in used and at - t[1] <= most_gap]
-            best = max(options, default=(0.0, 0))
-            if options and best[0] >= least:
-                i = -best[1]
+            score, best = max(((overlap(tracks[i][0], b), -i) for i in free), default=(0.0, 0))
+            if free and score >= least:
+                i = -best
+                free.discard(i)
             else:
-                i = len(tracks)
-                tracks.append([b, at])
-            tracks[i][0], tracks[i][1] = b, at
-            used.add(i)
-            ids.append(i + 1)
-        out.append(ids)
-    return out
+                count += 1
+                i = count
+            tracks[i] = (b, at)
+            ids.append(i)
+        yield ids
 
 
 # ---- fusion of labels along a track
@@ -187,13 +189,13 @@ def leading(scores: dict[str, float]) -> tuple[str, float, float]:
     return ranked[0][0], ranked[0][1] / total, (ranked[0][1] - second) / total
 
 
-def fuse_window(observations: list[tuple[str, float, float]], window: int, share: float, margin: float) -> list[str]:
+def fuse_window(observations: Iterable[tuple[str, float, float]], window: int, share: float, margin: float) -> Iterator[str]:
     """Per observation the label that leads its trailing window by share and margin, else 'unknown'."""
-    out = []
-    for i in range(len(observations)):
-        label, s, m = leading(scores_of(observations[max(0, i - window + 1) : i + 1]))
-        out.append(label if label != UNKNOWN and s >= share and m >= margin else UNKNOWN)
-    return out
+    history: deque = deque(maxlen=window)
+    for o in observations:
+        history.append(o)
+        label, s, m = leading(scores_of(history))
+        yield label if label != UNKNOWN and s >= share and m >= margin else UNKNOWN
 
 
 @dataclass
@@ -213,21 +215,22 @@ class Challenge:
         return self.count
 
 
-def fuse_guarded(observations, window: int, share: float, margin: float, confirmations: int = 3, unknown_after: int = 2, override: float = 1.15) -> list[str]:
+def fuse_guarded(observations: Iterable, window: int, share: float, margin: float, confirmations: int = 3, unknown_after: int = 2, override: float = 1.15) -> Iterator[str]:
     """As fuse_window, but a label once held is given up only to one that outweighs it by `override` in that many windows
     running; from the `unknown_after`-th conflicting window on, until then, the outcome is 'unknown'."""
     held: str | None = None
     challenge = Challenge()
-    out = []
-    for i in range(len(observations)):
-        scores = scores_of(observations[max(0, i - window + 1) : i + 1])
+    history: deque = deque(maxlen=window)
+    for o in observations:
+        history.append(o)
+        scores = scores_of(history)
         label, s, m = leading(scores)
         if s < share or m < margin:
             label = UNKNOWN
         if held is None or label == held:
             held = held or (label if label != UNKNOWN else None)
             challenge.clear()
-            out.append(held or UNKNOWN)
+            yield held or UNKNOWN
             continue
         if label == UNKNOWN:
             challenge.label, challenge.count = None, 0
@@ -239,11 +242,10 @@ def fuse_guarded(observations, window: int, share: float, margin: float, confirm
             if challenge.by(label) >= confirmations:
                 held = label
                 challenge.clear()
-        out.append(held if challenge.conflicts < unknown_after else UNKNOWN)
-    return out
+        yield held if challenge.conflicts < unknown_after else UNKNOWN
 
 
-def fuse_held(observations, window: int, least: int, entry: tuple[float, float], switch: tuple[float, float], patience: int, hold: int | None = None) -> list[str]:
+def fuse_held(observations: Iterable, window: int, least: int, entry: tuple[float, float], switch: tuple[float, float], patience: int, hold: int | None = None) -> Iterator[str]:
     """A label enters by share and margin `entry` and gives way to one that leads by `switch` in `patience` windows running;
     other conflicts give 'unknown'. With `hold`, an unknown observation repeats the held label up to that many times, and
     never counts as evidence; without it, it is judged like any other."""
@@ -251,44 +253,42 @@ def fuse_held(observations, window: int, least: int, entry: tuple[float, float],
     held: str | None = None
     challenge = Challenge()
     silent = 0
-    out = []
     for o in observations:
         history.append(o)
         if hold is not None:
             silent = silent + 1 if o[0] == UNKNOWN else 0
             if silent:
-                out.append(held if held and silent <= hold else UNKNOWN)
+                yield held if held and silent <= hold else UNKNOWN
                 continue
         weighed = [x for x in history if x[0] != UNKNOWN and x[1] > 0 and x[2] > 0]
         label, s, m = leading(scores_of(weighed))
         enters = s >= entry[0] and m >= entry[1]
         if label == UNKNOWN:
-            out.append(UNKNOWN)
+            yield UNKNOWN
         elif held is None:
             if len(weighed) >= least and enters:
                 held = label
                 challenge.clear()
-            out.append(held or UNKNOWN)
+            yield held or UNKNOWN
         elif label == held:
             challenge.clear()
-            out.append(held if enters else UNKNOWN)
+            yield held if enters else UNKNOWN
         elif len(weighed) >= least and s >= switch[0] and m >= switch[1]:
             if challenge.by(label) >= patience:
                 held = label
                 challenge.clear()
-            out.append(held)
+            yield held
         else:
             challenge.clear()
-            out.append(UNKNOWN)
-    return out
+            yield UNKNOWN
 
 
-def fuse_by_length(observations, short: int, short_limits: dict[str, float], long_limits: dict[str, float], least_quality: float, short_hold: int, **how) -> list[str]:
+def fuse_by_length(observations, short: int, short_limits: dict[str, float], long_limits: dict[str, float], least_quality: float, short_hold: int, **how) -> Iterator[str]:
     """Different thresholds for short and long tracks; short ones never have lower ones. Labels below their threshold
     become 'unknown' before fuse_held."""
     brief = len(observations) <= short
     limits = {k: max(v, long_limits.get(k, 1.01)) for k, v in short_limits.items()} if brief else long_limits
-    passed = [(lab if lab != UNKNOWN and c >= limits.get(lab, 1.01) and (not brief or q >= least_quality) else UNKNOWN, c, q) for lab, c, q in observations]
+    passed = ((lab if lab != UNKNOWN and c >= limits.get(lab, 1.01) and (not brief or q >= least_quality) else UNKNOWN, c, q) for lab, c, q in observations)
     return fuse_held(passed, hold=short_hold if brief else 0, **how)
 
 
@@ -430,39 +430,36 @@ class AdmissionQueue:
         return best
 
 
-def fps_windows(times: list[int], least: int = 1000) -> list[tuple[int, int, float]]:
+def fps_windows(times: Iterable[int], least: int = 1000) -> Iterator[tuple[int, int, float]]:
     """(start, end, frames per second) of windows that close at the first frame `least` ms or more after their start, where
     the next one starts. The very first frame counts in the first window; later windows begin after their first frame."""
-    out, start, frames = [], None, 0
+    start, frames = None, 0
     for t in times:
         frames += 1
         start = t if start is None else start
         if t - start >= least:
-            out.append((start, t, frames * 1000.0 / (t - start)))
+            yield start, t, frames * 1000.0 / (t - start)
             start, frames = t, 0
-    return out
 
 
-def at_cadence(times: list[int], interval: int) -> list[int]:
+def at_cadence(times: Iterable[int], interval: int) -> Iterator[int]:
     """Positions taken at fixed due times: the first frame at or after each; due times that passed meanwhile are skipped."""
-    out, due = [], None
+    due = None
     for i, t in enumerate(times):
         if due is None or t >= due:
-            out.append(i)
+            yield i
             due = t + interval if due is None else due + interval * ((t - due) // interval + 1)
-    return out
 
 
-def within_budget(sizes: list[int], budget: int, most: int) -> list[int]:
+def within_budget(sizes: Iterable[int], budget: int, most: int) -> Iterator[int]:
     """Positions taken in order while they fit; what does not fit is skipped, not the end."""
-    out, used = [], 0
+    taken, used = 0, 0
     for i, s in enumerate(sizes):
-        if len(out) == most:
-            break
+        if taken == most:
+            return
         if used + s <= budget:
-            out.append(i)
-            used += s
-    return out
+            yield i
+            taken, used = taken + 1, used + s
 
 
 def separate_windows(starts: list[int], length: int, most: int) -> list[int]:
@@ -478,33 +475,33 @@ def separate_windows(starts: list[int], length: int, most: int) -> list[int]:
     return out
 
 
-def leases(commands: Iterable[tuple[int, str, str, int]]) -> list[int]:
+def leases(commands: Iterable[tuple[int, str, str, int]]) -> Iterator[int]:
     """Outcome of each (time, action, holder, ttl): 1 newly held or released, 2 renewed, 0 refused."""
-    holder, until, out = None, -1, []
+    holder, until = None, -1
     for at, action, who, ttl in commands:
         live = holder is not None and at < until
         if action == "release":
             mine = live and holder == who
-            out.append(1 if mine else 0)
             holder = None if mine else holder
-        elif live and holder != who:
-            out.append(0)
-        elif action == "refresh" and not live:
-            out.append(0)
+            yield int(mine)
+        elif live and holder != who or action == "refresh" and not live:
+            yield 0
         else:
-            out.append(2 if live else 1)
             holder, until = who, at + ttl
-    return out
+            yield 2 if live else 1
 
 
-def three_means(values: np.ndarray, rounds: int = 100) -> list[float]:
-    """Centres of three clusters of numbers, from the least, the median and the greatest."""
+def three_means(values: np.ndarray, weights: np.ndarray | None = None, rounds: int = 100) -> list[float]:
+    """Centres of three clusters of rising numbers with whole weights, from the least, the median and the greatest."""
     if not len(values):
         return []
-    centres = np.array([values.min(), np.median(values), values.max()], float)
+    weights = np.ones(len(values)) if weights is None else np.asarray(weights, float)
+    upto = np.cumsum(weights)
+    middle = [values[np.searchsorted(upto, q, side="right").clip(0, len(values) - 1)] for q in ((upto[-1] - 1) / 2 - 1e-9, upto[-1] / 2)]
+    centres = np.array([values[0], sum(middle) / 2, values[-1]], float)
     for _ in range(rounds):
         nearest = np.abs(values[:, None] - centres[None, :]).argmin(1)
-        new = np.array([values[nearest == k].mean() if (nearest == k).any() else centres[k] for k in range(3)])
+        new = np.array([np.average(values[nearest == k], weights=weights[nearest == k]) if (nearest == k).any() else centres[k] for k in range(3)])
         if np.allclose(new, centres):
             break
         centres = new
@@ -526,15 +523,39 @@ def detection_outcomes(predictions: list[tuple[tuple, float]], truths: list[tupl
 
 
 def per_group(rows: DataFrame, keys: list[str], order: list[str], fold: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """Applies a fold to each group, in order."""
+    """Applies a fold to each group as a whole, in order; for groups that are small by nature."""
     return rows.groupBy(*keys).applyInPandas(lambda pdf: fold(pdf.sort_values(order, kind="stable")), schema)
 
 
-def fused(rows: DataFrame, track: str, position: str, fuse: Callable[[list[tuple[str, float, float]]], list[str]], kind: str = "long") -> DataFrame:
+def streamed(rows: DataFrame, keys: list[str], order: list[str], fold: Callable[[Iterator[tuple]], Iterable[tuple]], schema: str) -> DataFrame:
+    """Folds each group lazily: the fold takes an iterator over the group's rows, in order, and gives rows of the schema.
+
+    Rows come as tuples of the columns. Nothing but what the fold holds is kept, so a group may be of any size.
+    """
+    names = [f.split()[0] for f in schema.split(", ")]
+    at = [rows.columns.index(k) for k in keys]
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        each = (r for pdf in frames for r in zip(*[pdf[c] for c in pdf.columns], strict=True))
+        out: list[tuple] = []
+        for _, group in itertools.groupby(each, key=lambda r: tuple(r[i] for i in at)):
+            for row in fold(group):
+                out.append(row)
+                if len(out) >= 10_000:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
+        if out:
+            yield pd.DataFrame(out, columns=names)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+
+
+def fused(rows: DataFrame, track: str, position: str, fuse: Callable[[Iterable[tuple[str, float, float]]], Iterable[str]], kind: str = "long") -> DataFrame:
     """track, position, label: rows (track, position, label, confidence, quality) fused track by track."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen = list(zip(pdf["label"], pdf["confidence"], pdf["quality"], strict=True))
-        return pd.DataFrame({track: pdf[track], position: pdf[position], "label": fuse(seen)})
+    def fold(group: Iterator[tuple]) -> Iterator[tuple]:
+        places, seen = itertools.tee(group)
+        for r, label in zip(places, fuse(o[2:5] for o in seen), strict=True):
+            yield r[0], r[1], label
 
-    return per_group(rows.select(track, position, "label", "confidence", "quality"), [track], [position], fold, f"{track} {kind}, {position} long, label string")
+    return streamed(rows.select(track, position, "label", "confidence", "quality"), [track], [position], fold, f"{track} {kind}, {position} long, label string")

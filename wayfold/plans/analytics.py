@@ -503,16 +503,25 @@ def t17(spark, d):
 # ---- sets and near matches
 
 
+_HUMAN = f"CASE WHEN starts_with({spell.key('annotation_source')}, 'human') THEN 0 ELSE 1 END"
+
+
 @core.add(
     "u1_union_priority",
-    f"""WITH m AS (SELECT stage177_row_number AS row_number, CASE {SPLIT} WHEN 'test' THEN 0 WHEN 'validation' THEN 1 WHEN 'train' THEN 2 ELSE 3 END AS s, CASE WHEN starts_with({spell.key('annotation_source')}, 'human') THEN 0 ELSE 1 END AS h, image_path FROM attribute_manifest)
-    SELECT row_number, row_number() OVER (ORDER BY s, h, image_path) AS priority FROM m QUALIFY priority <= 1000""",
+    f"""WITH m AS (SELECT stage177_row_number AS row_number, {SPLIT} AS s, {_HUMAN} AS h, image_path, video_id FROM attribute_manifest), r AS (SELECT *, CASE s WHEN 'test' THEN 0 WHEN 'validation' THEN 1 WHEN 'train' THEN 2 ELSE 3 END AS p FROM m)
+    SELECT row_number, row_number() OVER (PARTITION BY video_id ORDER BY p, h, image_path) AS priority FROM r""",
 )
 def u1(spark, d):
+    """The union of the manifests of each split, in one order of priority: held-out rows first, then human labels, then paths."""
     s = normal.split_name("split")
-    m = manifest(spark, d).select("row_number", F.when(s == "test", 0).when(s == "validation", 1).when(s == "train", 2).otherwise(3).alias("s"), F.when(normal.key("annotation_source").startswith("human"), 0).otherwise(1).alias("h"), "image_path")
-    top = m.where("s < 2").unionByName(m.where("s >= 2")).orderBy("s", "h", "image_path").limit(1000)  # a top-k: the thousand first
-    return top.select("row_number", F.row_number().over(Window.orderBy("s", "h", "image_path")).cast("long").alias("priority"))
+    m = manifest(spark, d).select("row_number", "video_id", s.alias("s"), F.when(normal.key("annotation_source").startswith("human"), 0).otherwise(1).alias("h"), "image_path")
+    parts = [(F.col("s") == "test", 0), (F.col("s") == "validation", 1), (F.col("s") == "train", 2), (F.col("s").isNull() | ~F.col("s").isin("test", "validation", "train"), 3)]
+    both = None
+    for condition, p in parts:
+        one = m.where(condition).withColumn("p", F.lit(p))
+        both = one if both is None else both.unionByName(one)
+    w = Window.partitionBy("video_id").orderBy("p", "h", "image_path")
+    return both.select("row_number", F.row_number().over(w).cast("long").alias("priority"))
 
 
 @core.add(

@@ -6,6 +6,8 @@ a second one. Observations of labels are those of analytics.py.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Window
@@ -211,19 +213,23 @@ def j14(spark, d):
     return both.withColumn("x", X.iou(box("a"), box("c"))).where("x >= 0.3").select("run_id", "s", "i", "j", F.round("x", 6).alias("iou"))
 
 
-def _track_fold(pdf: pd.DataFrame) -> pd.DataFrame:
-    t, rows = T.Tracker(least_hits=2, timeout=60_000), []
-    for r in pdf.itertuples():
-        ids, gone = t.frame(int(r.s), int(r.t), [tuple(map(float, b)) for b in r.boxes])
-        rows += [(r.run_id, int(x.id), x.first, x.last, x.hits, "exit" if x.confirmed else "dropped") for x in gone]
-    last = int(pdf["t"].max())
-    rows += [(pdf["run_id"].iloc[0], int(x.id), x.first, x.last, x.hits, "run_stop" if x.confirmed else "dropped") for x in t.stop(last)]
-    return pd.DataFrame(rows, columns=["run_id", "track", "first_ms", "last_ms", "hits", "reason"])
+def _box_list(boxes) -> list[tuple]:
+    return [tuple(map(float, b)) for b in boxes]
+
+
+def _track_fold(frames):
+    t, run, last = T.Tracker(least_hits=2, timeout=60_000), None, 0
+    for run, s, at, boxes in frames:
+        last = max(last, int(at))
+        for x in t.frame(int(s), int(at), _box_list(boxes))[1]:
+            yield run, x.id, x.first, x.last, x.hits, "exit" if x.confirmed else "dropped"
+    for x in t.stop(last):
+        yield run, x.id, x.first, x.last, x.hits, "run_stop" if x.confirmed else "dropped"
 
 
 @core.add("r2_tracks")
 def r2(spark, d):
-    return T.per_group(_boxes(spark, d), ["run_id"], ["s"], _track_fold, "run_id string, track long, first_ms long, last_ms long, hits int, reason string")
+    return T.streamed(_boxes(spark, d), ["run_id"], ["s"], _track_fold, "run_id string, track long, first_ms long, last_ms long, hits int, reason string")
 
 
 @core.add("r1_rejected_frames", f"WITH {_FRAMES}, o AS (SELECT run_id, s, max(s) OVER (PARTITION BY run_id ORDER BY t, s DESC, frame_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM f) SELECT run_id, count(*) AS frames, count(*) FILTER (s <= seen) AS rejected FROM o GROUP BY run_id")
@@ -239,12 +245,13 @@ def r3(spark, d):
 
 @core.add("r27_tracks_in_order")
 def r27(spark, d):
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = T.follow_in_order((i, [tuple(map(float, b)) for b in boxes]) for i, boxes in enumerate(pdf["boxes"]))
-        rows = [(run, int(s), k, int(i)) for run, s, found in zip(pdf["run_id"], pdf["s"], ids, strict=True) for k, i in enumerate(found)]
-        return pd.DataFrame(rows, columns=["run_id", "s", "box", "track"])
+    def fold(frames):
+        rows, again = itertools.tee(frames)
+        for (run, s, _, _), ids in zip(rows, T.follow_in_order((i, _box_list(r[3])) for i, r in enumerate(again)), strict=True):
+            for k, i in enumerate(ids):
+                yield run, int(s), k, i
 
-    return T.per_group(_boxes(spark, d), ["run_id"], ["s"], fold, "run_id string, s long, box int, track long")
+    return T.streamed(_boxes(spark, d), ["run_id"], ["s"], fold, "run_id string, s long, box int, track long")
 
 
 @core.add("j15_greedy_matching")
@@ -262,39 +269,37 @@ def j16(spark, d):
 
 
 def _matched(spark, d, match):
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        frames = [[tuple(map(float, b)) for b in boxes] for boxes in pdf["boxes"]]
-        rows = [(run, int(s), i, j, round(float(x), 6)) for run, s, a, b in zip(pdf["run_id"], pdf["s"], frames, frames[1:], strict=False) for i, j, x in match(a, b)]
-        return pd.DataFrame(rows, columns=["run_id", "s", "i", "j", "iou"])
+    def fold(frames):
+        for (run, s, _, a), (_, _, _, b) in itertools.pairwise(frames):
+            for i, j, x in match(_box_list(a), _box_list(b)):
+                yield run, int(s), i, j, round(float(x), 6)
 
-    return T.per_group(_boxes(spark, d), ["run_id"], ["s"], fold, "run_id string, s long, i int, j int, iou double")
+    return T.streamed(_boxes(spark, d), ["run_id"], ["s"], fold, "run_id string, s long, i int, j int, iou double")
 
 
 @core.add("j17_detection_outcomes")
 def j17(spark, d):
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for run, s, boxes in zip(pdf["run_id"], pdf["s"], pdf["boxes"], strict=True):
-            truth = [tuple(map(float, b)) for b in boxes]
+    def fold(frames):
+        for run, s, _, boxes in frames:
+            truth = _box_list(boxes)
             guesses = [((b[0] + (s % 10) / 40, b[1], min(1.0, b[2] + (s % 10) / 40), b[3]), 1 / (1 + k)) for k, b in enumerate(truth) if (s + k) % 7]
-            rows += [(run, int(s), o) for o in T.detection_outcomes(guesses, truth, 0.5)]
-        return pd.DataFrame(rows, columns=["run_id", "s", "outcome"])
+            for o in T.detection_outcomes(guesses, truth, 0.5):
+                yield run, int(s), o
 
-    found = T.per_group(_boxes(spark, d), ["run_id"], ["s"], fold, "run_id string, s long, outcome string")
+    found = T.streamed(_boxes(spark, d), ["run_id"], ["s"], fold, "run_id string, s long, outcome string")
     return found.groupBy("run_id").agg(*[F.count_if(F.col("outcome") == o).alias(o) for o in ("tp", "fp", "fn")])
 
 
 @core.add("x5_suppression")
 def x5(spark, d):
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for run, s, boxes in zip(pdf["run_id"], pdf["s"], pdf["boxes"], strict=True):
-            all_ = [tuple(map(float, b)) for b in boxes for _ in range(2)]
-            moved = [(b[0] + 0.02 * (k % 2), b[1], b[2] + 0.02 * (k % 2), b[3]) for k, b in enumerate(all_)]
-            rows += [(run, int(s), int(k)) for k in T.suppress(moved, [((s + 3 * k) % 10) / 10 for k in range(len(moved))], [k // 2 % 2 for k in range(len(moved))], 0.5)]
-        return pd.DataFrame(rows, columns=["run_id", "s", "kept"])
+    def fold(frames):
+        for run, s, _, boxes in frames:
+            twice = [b for b in _box_list(boxes) for _ in range(2)]
+            moved = [(b[0] + 0.02 * (k % 2), b[1], b[2] + 0.02 * (k % 2), b[3]) for k, b in enumerate(twice)]
+            for k in T.suppress(moved, [((s + 3 * k) % 10) / 10 for k in range(len(moved))], [k // 2 % 2 for k in range(len(moved))], 0.5):
+                yield run, int(s), k
 
-    return T.per_group(_boxes(spark, d), ["run_id"], ["s"], fold, "run_id string, s long, kept int")
+    return T.streamed(_boxes(spark, d), ["run_id"], ["s"], fold, "run_id string, s long, kept int")
 
 
 # ---- fusion
@@ -341,19 +346,19 @@ def r8(spark, d):
 @core.add("r9_length_policy")
 def r9(spark, d):
     limits = {"click": 0.3, "view": 0.4, "purchase": 0.2, "signup": 0.5}
-    return T.fused(_seen(spark, d), "track", "position", lambda o: T.fuse_by_length(o, 40, {k: 0.45 for k in limits}, limits, 0.1, 1, window=5, least=1, entry=(0.5, 0.1), switch=(0.6, 0.2), patience=2))
+    return T.fused(_seen(spark, d), "track", "position", lambda o: T.fuse_by_length(list(o), 40, {k: 0.45 for k in limits}, limits, 0.1, 1, window=5, least=1, entry=(0.5, 0.1), switch=(0.6, 0.2), patience=2))
 
 
 @core.add("r5_track_labels")
 def r5(spark, d):
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = T.Aggregator({"label": 0.25})
-        for r in pdf.itertuples():
-            a.add(int(r.position) + 1, float(r.quality), label=(r.label, float(r.confidence)))
+    def fold(seen):
+        a, track = T.Aggregator({"label": 0.25}), None
+        for track, position, label, confidence, quality in seen:
+            a.add(int(position) + 1, float(quality), label=(label, float(confidence)))
         label, confidence, stable = a.outcome("label")
-        return pd.DataFrame([(int(pdf["track"].iloc[0]), label, round(confidence, 6), stable, a.heads["label"].switches)], columns=["track", "label", "confidence", "stable", "switches"])
+        yield track, label, round(confidence, 6), stable, a.heads["label"].switches
 
-    return T.per_group(_seen(spark, d), ["track"], ["position"], fold, "track long, label string, confidence double, stable boolean, switches int")
+    return T.streamed(_seen(spark, d), ["track"], ["position"], fold, "track long, label string, confidence double, stable boolean, switches int")
 
 
 @core.add("r4_collecting_tracks", f"WITH {OBS}, n AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY pos) AS i FROM obs) SELECT track, count(*) AS collected FROM n WHERE i >= 3 AND i <= 20 GROUP BY track")
@@ -366,15 +371,19 @@ def r4(spark, d):
 def c6(spark, d):
     grid = spark.createDataFrame([(w, s) for w in (1, 3, 5) for s in (0.4, 0.6)], "window int, share double")
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen = list(zip(pdf["label"], pdf["confidence"], pdf["quality"], strict=True))
-        w, s = int(pdf["window"].iloc[0]), float(pdf["share"].iloc[0])
-        out = T.fuse_window(seen, w, s, 0.05)
-        known = [x for x in out if x != "unknown"]
-        switches = sum(a != b for a, b in zip(known, known[1:], strict=False))
-        return pd.DataFrame([(w, s, len(out), len(known), switches)], columns=["window", "share", "n", "emitted", "switches"])
-
-    each = T.per_group(_seen(spark, d).join(F.broadcast(grid)), ["window", "share", "track"], ["position"], fold, "window int, share double, n long, emitted long, switches long")
+    def fold(seen):
+        seen, first = itertools.tee(seen)
+        head = next(first)
+        n = emitted = switches = 0
+        held = None
+        del first
+        for label in T.fuse_window((r[2:5] for r in seen), int(head[5]), float(head[6]), 0.05):
+            n += 1
+            if label != "unknown":
+                emitted, switches, held = emitted + 1, switches + (held is not None and label != held), label
+        yield int(head[5]), float(head[6]), n, emitted, switches
+
+    each = T.streamed(_seen(spark, d).join(F.broadcast(grid)), ["window", "share", "track"], ["position"], fold, "window int, share double, n long, emitted long, switches long")
     return each.groupBy("window", "share").agg(F.sum("n").alias("n"), F.sum("emitted").alias("emitted"), F.sum("switches").alias("switches"))
 
 
@@ -383,36 +392,52 @@ def c6(spark, d):
 
 @core.add("t7_admission_queue")
 def t7(spark, d):
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        q = T.AdmissionQueue(16)
-        for r in pdf.itertuples():
-            q.offer(r.label + str(r.pos % 40), int(r.pos) + 1, int(r.c) * 10 + int(r.q) % 10)
-        return pd.DataFrame([(int(pdf["track"].iloc[0]), k, v[0], v[1]) for k, v in sorted(q.held.items())], columns=["track", "key", "sequence", "quality"])
+    def fold(seen):
+        q, track = T.AdmissionQueue(16), None
+        for track, pos, label, c, quality in seen:
+            q.offer(f"{label}{pos % 40}", int(pos) + 1, int(c) * 10 + int(quality) % 10)
+        for k, v in sorted(q.held.items()):
+            yield track, k, v[0], v[1]
 
-    return T.per_group(obs(spark, d), ["track"], ["pos"], fold, "track long, key string, sequence long, quality long")
+    return T.streamed(obs(spark, d), ["track"], ["pos"], fold, "track long, key string, sequence long, quality long")
 
 
-def _by_run(spark, d, fold, schema):
-    f = _frames(spark, d).groupBy("run_id", "s").agg(F.min("t").alias("t"))
-    return T.per_group(f, ["run_id"], ["t", "s"], fold, schema)
+def _by_run(spark, d):
+    return _frames(spark, d).groupBy("run_id", "s").agg(F.min("t").alias("t"))
 
 
 @core.add("r10_rate_windows")
 def r10(spark, d):
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [(pdf["run_id"].iloc[0], a, b, round(x, 6)) for a, b, x in T.fps_windows(pdf["t"].tolist(), 60_000)]
-        return pd.DataFrame(rows, columns=["run_id", "start_ms", "end_ms", "fps"])
+    def fold(frames):
+        runs, again = itertools.tee(frames)
+        run = next(runs)[0]
+        del runs
+        for a, b, x in T.fps_windows((int(r[2]) for r in again), 60_000):
+            yield run, a, b, round(x, 6)
+
+    return T.streamed(_by_run(spark, d), ["run_id"], ["t", "s"], fold, "run_id string, start_ms long, end_ms long, fps double")
+
 
-    return _by_run(spark, d, fold, "run_id string, start_ms long, end_ms long, fps double")
+def _picked(pick):
+    """A fold that keeps the rows at the positions which pick, given an iterator over the rows, yields in rising order."""
+
+    def fold(rows):
+        rows, again = itertools.tee(rows)
+        taken = pick(again)
+        wanted = next(taken, None)
+        for i, r in enumerate(rows):
+            if wanted is None:
+                return
+            if i == wanted:
+                yield r
+                wanted = next(taken, None)
+
+    return fold
 
 
 @core.add("r11_cadence")
 def r11(spark, d):
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken = T.at_cadence(pdf["t"].tolist(), 300_000)
-        return pdf.iloc[taken][["run_id", "s", "t"]]
-
-    return _by_run(spark, d, fold, "run_id string, s long, t long")
+    return T.streamed(_by_run(spark, d), ["run_id"], ["t", "s"], _picked(lambda rows: T.at_cadence((int(r[2]) for r in rows), 300_000)), "run_id string, s long, t long")
 
 
 @core.add("r12_latest_per_trigger", f"WITH {_FRAMES} SELECT run_id, t // 60000 AS trigger, max(s) AS s, count(*) - 1 AS replaced FROM f GROUP BY 1, 2")
@@ -431,12 +456,13 @@ def r14(spark, d):
 def r19(spark, d):
     c = table(spark, d, "camera_task_commands").where("task_id is not null and create_time_ms is not null and message_id is not null").select("task_id", "message_id", "command_kind", F.coalesce("worker_consumer", F.lit("none")).alias("who"), F.col("create_time_ms").alias("t")).distinct()
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        acts = ["release" if k.strip().lower().endswith("stop") else "acquire" for k in pdf["command_kind"].fillna("")]
-        out = T.leases(zip(pdf["t"], acts, pdf["who"], [600_000] * len(pdf), strict=True))
-        return pd.DataFrame({"task_id": pdf["task_id"], "message_id": pdf["message_id"], "outcome": out})
+    def fold(commands):
+        rows, again = itertools.tee(commands)
+        acts = ((int(t), "release" if (kind or "").strip().lower().endswith("stop") else "acquire", who, 600_000) for _, _, kind, who, t in again)
+        for r, outcome in zip(rows, T.leases(acts), strict=True):
+            yield r[0], r[1], outcome
 
-    return T.per_group(c, ["task_id"], ["t", "message_id", "who"], fold, "task_id string, message_id string, outcome int")
+    return T.streamed(c, ["task_id"], ["t", "message_id", "who"], fold, "task_id string, message_id string, outcome int")
 
 
 @core.add("r24_photometric_clusters")
@@ -445,7 +471,7 @@ def r24(spark, d):
     m = table(spark, d, "attribute_manifest").select("source_dataset", F.round(F.col("stage177_mean_luma").try_cast("double")).alias("l")).where("l is not null").groupBy("source_dataset", "l").agg(F.count("*").alias("n"))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        centres = T.three_means(np.repeat(pdf["l"].to_numpy(), np.minimum(pdf["n"].to_numpy(), 1000)))
+        centres = T.three_means(pdf["l"].to_numpy(), pdf["n"].to_numpy())
         return pd.DataFrame([(pdf["source_dataset"].iloc[0], i, round(x, 6)) for i, x in enumerate(centres)], columns=["source_dataset", "cluster", "centre"])
 
     return T.per_group(m, ["source_dataset"], ["l"], fold, "source_dataset string, cluster int, centre double")
@@ -453,12 +479,10 @@ def r24(spark, d):
 
 @core.add("w10_greedy_budget")
 def w10(spark, d):
-    f = table(spark, d, "camera_frames").where("size_bytes is not null").select("task_id", "frame_id", "capture_time_ms", "size_bytes").dropDuplicates(["frame_id"])
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.iloc[T.within_budget(pdf["size_bytes"].tolist(), 5_000_000, 200)][["task_id", "frame_id", "size_bytes"]]
-
-    return T.per_group(f, ["task_id"], ["capture_time_ms", "frame_id"], fold, "task_id string, frame_id string, size_bytes long")
+    f = table(spark, d, "camera_frames").where("size_bytes is not null and frame_id is not null").groupBy("task_id", "frame_id").agg(F.min("size_bytes").alias("size_bytes"), F.min("capture_time_ms").alias("t"))
+    fold = _picked(lambda rows: T.within_budget((int(r[2]) for r in rows), 5_000_000, 200))
+    out = T.streamed(f, ["task_id"], ["t", "frame_id"], lambda rows: (r[:3] for r in fold(rows)), "task_id string, frame_id string, size_bytes long")
+    return out
 
 
 @core.add("w4_separate_windows")
@@ -468,7 +492,7 @@ def w4_windows(spark, d):
         starts = [a for a, b in zip(s, s[2:], strict=False) if b - a == 2]
         return pd.DataFrame([(pdf["run_id"].iloc[0], int(x)) for x in T.separate_windows(starts, 3, 10)], columns=["run_id", "start"])
 
-    return _by_run(spark, d, fold, "run_id string, start long")
+    return T.per_group(_by_run(spark, d), ["run_id"], ["t", "s"], fold, "run_id string, start long")
 
 
 @core.add("t13_ranked_caps")
@@ -477,27 +501,24 @@ def t13(spark, d):
     from ..functions import normal
 
     m = table(spark, d, "attribute_manifest").select(F.col("stage177_row_number").alias("row_number"), normal.label("body_type").alias("label"), F.col("source_dataset").alias("source"), normal.bits64("stage177_dhash64").alias("bits"), F.sha2("image_path", 256).alias("h")).where("label is not null and bits is not null")
-    # The caps bound what a label keeps, so the fold holds at most class_cap hashes; rows beyond them only pass through.
-    best = R.first_per(m, ["label"], [F.col("h"), F.col("row_number")], 2000)
+    # The caps bound what the fold holds of a label, whatever its number of rows.
+    near = lambda a, b: ((a ^ b) & 0xFFFFFFFFFFFFFFFF).bit_count() <= 3
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept, per, out = [], {}, []
-        for r in pdf.itertuples():
+    def fold(ranked):
+        kept, per = [], {}
+        for row, label, source, bits, _ in ranked:
             if len(kept) >= 200:
                 reason = "class_cap"
-            elif per.get(r.source, 0) >= 60:
+            elif per.get(source, 0) >= 60:
                 reason = "source_cap"
-            elif any(int(r.bits ^ k).bit_count() <= 3 if (r.bits ^ k) >= 0 else int((r.bits ^ k) & 0xFFFFFFFFFFFFFFFF).bit_count() <= 3 for k in kept):
+            elif any(near(int(bits), k) for k in kept):
                 reason = "near_duplicate"
             else:
-                reason, per[r.source] = "kept", per.get(r.source, 0) + 1
-                kept.append(r.bits)
-            out.append((r.row_number, r.label, reason))
-        return pd.DataFrame(out, columns=["row_number", "label", "reason"])
+                reason, per[source] = "kept", per.get(source, 0) + 1
+                kept.append(int(bits))
+            yield int(row), label, reason
 
-    ranked = T.per_group(best, ["label"], ["h", "row_number"], fold, "row_number long, label string, reason string")
-    rest = m.join(best.select("row_number"), "row_number", "left_anti").select("row_number", "label", F.lit("class_cap").alias("reason"))
-    return ranked.union(rest)
+    return T.streamed(m, ["label"], ["h", "row_number"], fold, "row_number long, label string, reason string")
 
 
 @core.add("t9_seeded_split")
@@ -539,15 +560,13 @@ def _rarity(counts: dict[tuple[str, str], int], shares: tuple = (("train", 0.7),
 @core.add("t12_bounded_plan")
 def t12(spark, d):
     """Scarce strata first, up to a quota each, then the rest in order, within a number of frames and of bytes."""
-    f = table(spark, d, "camera_frames").where("size_bytes is not null").dropDuplicates(["frame_id"])
-    s = F.concat_ws("x", "width", "height")
-    ranked = f.select("task_id", "frame_id", "size_bytes", s.alias("stratum"), F.row_number().over(Window.partitionBy("task_id", s).orderBy(F.sha2("frame_id", 256))).alias("k"))
+    stratum = F.concat_ws("x", F.min("width"), F.min("height")).alias("stratum")
+    f = table(spark, d, "camera_frames").where("size_bytes is not null and frame_id is not null").groupBy("task_id", "frame_id").agg(stratum, F.min("size_bytes").alias("size_bytes"))
+    w = Window.partitionBy("task_id", "stratum").orderBy(F.sha2("frame_id", 256))
+    ranked = f.select("task_id", "stratum", "frame_id", "size_bytes", F.row_number().over(w).alias("k"))
     order = ranked.withColumn("late", (F.col("k") > 40).cast("int"))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.iloc[T.within_budget(pdf["size_bytes"].tolist(), 20_000_000, 120)][["task_id", "stratum", "frame_id"]]
-
-    return T.per_group(order, ["task_id"], ["late", "k", "stratum", "frame_id"], fold, "task_id string, stratum string, frame_id string")
+    fold = _picked(lambda rows: T.within_budget((int(r[3]) for r in rows), 20_000_000, 120))
+    return T.streamed(order, ["task_id"], ["late", "k", "stratum", "frame_id"], lambda rows: (r[:3] for r in fold(rows)), "task_id string, stratum string, frame_id string")
 
 
 # ---- sources and sinks
