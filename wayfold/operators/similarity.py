@@ -8,17 +8,23 @@ from pyspark.sql import functions as F
 from ..session import Scratch
 
 
-def blocks(bits: str, radius: int, exact: bool = True) -> Column:
-    """Keys (block, value) of which two hashes within the radius share one. With exact=False four 16-bit bands, which at
-    radius 4 miss pairs that differ in every band."""
+def block_bounds(radius: int, exact: bool = True) -> list[tuple[int, int]]:
+    """(start, width) of the blocks of bits of which two hashes within the radius have one in common.
+
+    With exact=False four 16-bit bands, which at radius 4 miss pairs that differ in every band.
+    """
     n = radius + 1 if exact else 4
     out, start, left = [], 0, 64
     for i in range(n):
         width = -(-left // (n - i))
-        mask = F.lit((1 << width) - 1) if width < 64 else F.lit(-1)
-        out.append(F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(F.col(bits), start).bitwiseAND(mask).alias("value")))
+        out.append((start, width))
         start, left = start + width, left - width
-    return F.array(*out)
+    return out
+
+
+def block_value(bits: str, start: int, width: int) -> Column:
+    mask = F.lit((1 << width) - 1) if width < 64 else F.lit(-1)
+    return F.shiftrightunsigned(F.col(bits), start).bitwiseAND(mask)
 
 
 def hamming_pairs(left: DataFrame, right: DataFrame, radius: int, exact: bool = True) -> DataFrame:
@@ -27,14 +33,16 @@ def hamming_pairs(left: DataFrame, right: DataFrame, radius: int, exact: bool =
     Only distinct hashes are joined, on equal blocks of bits; a pair is taken from the first block it shares, so no
     duplicates have to be removed afterwards. left and right: a column bits (long); nulls match nothing.
     """
-    a = left.where("bits is not null").select("bits").distinct().select(F.col("bits").alias("left_bits"), F.explode(blocks("bits", radius, exact)).alias("k"))
-    b = right.where("bits is not null").select("bits").distinct().select(F.col("bits").alias("right_bits"), F.explode(blocks("bits", radius, exact)).alias("k"))
-    a, b = a.select("left_bits", "k.block", "k.value"), b.select("right_bits", "k.block", "k.value")
+    bounds = block_bounds(radius, exact)
+    keys = F.explode(F.array(*[F.struct(F.lit(i).alias("block"), block_value("bits", *at).alias("value")) for i, at in enumerate(bounds)]))
+    keyed = lambda side, name: side.where("bits is not null").select("bits").distinct().select(F.col("bits").alias(name), keys.alias("k")).select(name, "k.block", "k.value")
     apart = F.col("left_bits").bitwiseXOR(F.col("right_bits"))
-    j = a.join(b, ["block", "value"]).withColumn("distance", F.bit_count(apart)).where(F.col("distance") <= radius)
-    # blocks of the difference that are 0 are the blocks in which the pair agrees
-    first = F.array_position(F.transform(blocks("_apart", radius, exact), lambda s: s["value"] == 0), True) - 1
-    return j.withColumn("_apart", apart).where(first == F.col("block")).select("left_bits", "right_bits", "distance")
+    j = keyed(left, "left_bits").join(keyed(right, "right_bits"), ["block", "value"]).withColumn("_apart", apart).withColumn("distance", F.bit_count("_apart")).where(F.col("distance") <= radius)
+    # the first block in which a pair agrees is the first of which the difference has no bits
+    first = F.lit(len(bounds) - 1)
+    for i in range(len(bounds) - 2, -1, -1):
+        first = F.when(block_value("_apart", *bounds[i]) == 0, i).otherwise(first)
+    return j.where(first == F.col("block")).select("left_bits", "right_bits", "distance")
 
 
 def components(edges: DataFrame, scratch: Scratch | None = None, most: int = 100) -> DataFrame:
