@@ -16,7 +16,6 @@ from ..functions import predicates as P
 from ..functions import scalar as X
 from ..operators import calibration as C
 from ..operators import consensus as V
-from ..operators import relational as R
 from ..operators import sampling as S
 from ..operators import similarity as H
 from ..sources.tables import table
@@ -577,9 +576,6 @@ def j13(spark, d):
     return _labelled(spark, d).select("color", "left_bits", "right_bits")
 
 
-_ORDERED = f"o AS (SELECT bits, row_number() OVER (ORDER BY bits) AS i FROM h)"
-
-
 @core.add("u3_leader_dedup")
 def u3(spark, d):
     b = _bits(spark, d).where("bits is not null").select("bits").distinct()

@@ -706,3 +706,40 @@ def k2(spark, d):
 def k4(spark, d):
     g = table(spark, d, "camera_frames").agg(F.count("*").alias("frames"), F.count_distinct("task_id").alias("tasks"))
     return g.select(F.to_json(F.struct("frames", "tasks")).alias("report"))
+
+
+@core.add("s9_archive_members", "SELECT task_id AS archive, 'task.csv' AS member, 'version,' || version AS text FROM camera_tasks")
+def s9(spark, d):
+    """An archive per task, with one member that is allowed and two that are not, packed and read again."""
+    import io
+    import zipfile
+
+    def pack(frames):
+        for pdf in frames:
+            out = []
+            for task, version in zip(pdf["task_id"], pdf["version"], strict=True):
+                held = io.BytesIO()
+                with zipfile.ZipFile(held, "w") as z:
+                    for name in ("task.csv", "../task.csv", "task.txt"):
+                        z.writestr(name, f"version,{version}")
+                out.append((task, held.getvalue()))
+            yield pd.DataFrame(out, columns=["path", "content"])
+
+    packed = table(spark, d, "camera_tasks").select("task_id", "version").mapInPandas(pack, "path string, content binary")
+    return files.members_of(packed).select("archive", "member", F.decode("content", "UTF-8").alias("text"))
+
+
+@core.add(
+    "v10_content_pins",
+    """SELECT 'vision_events' AS table_name, count(*) AS n, bit_xor(CAST('0x' || substr(sha256(event_id || '|' || created_at_ms), 1, 15) AS BIGINT)) AS pin FROM vision_events WHERE event_id IS NOT NULL AND created_at_ms IS NOT NULL
+    UNION ALL SELECT 'camera_frames', count(*), bit_xor(CAST('0x' || substr(sha256(frame_id || '|' || save_time_ms), 1, 15) AS BIGINT)) FROM camera_frames WHERE frame_id IS NOT NULL AND save_time_ms IS NOT NULL""",
+)
+def v10(spark, d):
+    """A pin of a table's content that depends on neither order nor files."""
+    out = None
+    for name, key, at in (("vision_events", "event_id", "created_at_ms"), ("camera_frames", "frame_id", "save_time_ms")):
+        digest = F.conv(F.substring(F.sha2(F.concat_ws("|", key, F.col(at).cast("string")), 256), 1, 15), 16, 10).cast("long")
+        t = table(spark, d, name).where(F.col(key).isNotNull() & F.col(at).isNotNull())
+        one = t.agg(F.count("*").alias("n"), F.bit_xor(digest).alias("pin")).select(F.lit(name).alias("table_name"), "n", "pin")
+        out = one if out is None else out.union(one)
+    return out

@@ -95,7 +95,12 @@ def track_xml(spark: SparkSession, path: str, row_tag: str = "sequence") -> Data
 
 
 def archive_members(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".csv",), largest: int = 64 << 20) -> DataFrame:
-    """archive, member, content of zip and tar files, for allowed members only.
+    """archive, member, content of the zip and tar files in a folder; see members_of()."""
+    return members_of(spark.read.format("binaryFile").load(path).select("path", "content"), suffixes, largest)
+
+
+def members_of(archives: DataFrame, suffixes: tuple[str, ...] = (".csv",), largest: int = 64 << 20) -> DataFrame:
+    """archive, member, content of archives (path, content), for allowed members only.
 
     Allowed are regular files with one of the suffixes, of at most `largest` bytes, whose path is relative and has no
     '..'. An archive is read by one task, as its format demands.
@@ -119,7 +124,7 @@ def archive_members(spark: SparkSession, path: str, suffixes: tuple[str, ...] =
             rows = [(p, n, c) for p, data in zip(pdf["path"], pdf["content"], strict=True) for n, c in members(p, data)]
             yield pd.DataFrame(rows, columns=["archive", "member", "content"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "archive string, member string, content binary")
+    return archives.select("path", "content").mapInPandas(run, "archive string, member string, content binary")
 
 
 # ---- sinks
