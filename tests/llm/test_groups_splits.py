@@ -119,3 +119,13 @@ def test_annealing_never_worsens():
     energy = lambda s: sum((sizes[s == k].sum() - share[k] * sizes.sum()) ** 2 for k in range(3))
     out = splits.anneal(sizes, labels, share * sizes.sum(), share[:, None] * labels.sum(0), start, 1)
     assert energy(out) < energy(start) / 1000
+
+
+def test_repeated_rows(spark):
+    twice = [{"stage177_row_number": i, "image_path": f"p/{i}.jpg", "camera_id": "c", "split": "train" if i == 1 else "test", "stage177_near_duplicate_of": "p/1.jpg"} for i in (1, 2, 3) for _ in range(2)]
+    m = manifest(spark, twice)
+    assert rows(groups.linked_rows(m)) == [(1, 1), (2, 1), (3, 1)]
+    assert rows(groups.grouped_rows(m)) == [(1, 1, 3), (2, 1, 3), (3, 1, 3)]
+    assert rows(splits.torn_rows(m)) == [(1,), (2,), (3,)]
+    targets = spark.createDataFrame([("train", 0.5), ("test", 0.5)], "split string, target_share double")
+    assert splits.assigned_rows(m, targets).count() == 6
