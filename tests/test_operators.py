@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import pytest
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 from wayfold.functions import predicates as P
 from wayfold.functions import scalar as X
 from wayfold.operators import calibration, consensus, relational, sampling, similarity
+from wayfold.plans.catalog import core
 
 from .conftest import rows
 
@@ -63,6 +65,35 @@ def test_joint_thresholds():
         calibration.joint_thresholds([("a", 5, 0, 0.5)], 0.9)
 
 
+def test_joint_thresholds_against_brute_force():
+    rng = random.Random(3)
+    for _ in range(300):
+        options = []
+        for label in "abc":
+            n = c = 0
+            for step in range(6, 0, -1):
+                more = rng.randint(1, 6)
+                n, c = n + more, c + rng.randint(0, more)
+                options.append((label, n, c, step / 8))
+        precision = rng.choice([0.5, 0.7, 0.9, 5 / 7, 1.0])
+        sums = [tuple(map(sum, zip(*o, strict=True))) for o in itertools.product(*[[(0, 0, 1.01), *[o[1:] for o in options if o[0] == label]] for label in "abc"])]
+        want = max(((n, c / n, round(t, 6)) for n, c, t in sums if n and c / n >= precision), default=None)
+        try:
+            best = calibration.joint_thresholds(options, precision)
+            assert (best["selected"], best["precision"], round(sum(best["thresholds"].values()), 6)) == want
+        except ValueError:
+            assert want is None
+
+
+def test_joint_thresholds_takes_every_threshold(spark, tmp_path):
+    # at 45 nine of ten are right, at 40 five of twelve: only a grid of ones finds 45
+    told = [(50, True)] * 5 + [(45, True)] * 4 + [(45, False)] + [(40, False)] * 12
+    ids = {True: 0, False: 14}  # (id * 7) % 100 < k says whether the event is right
+    spark.createDataFrame([(1, ids[ok], "view", f'{{"k": {k}}}') for k, ok in told], "user_id long, event_id long, event_type string, props string").write.parquet(f"{tmp_path}/events.parquet")
+    got = core.queries["c4_joint_thresholds"](spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in got] == [("view", 0.45, 10, 0.9)]
+
+
 def test_gate_and_pareto(spark):
     d = spark.createDataFrame([("white", 0.60, 0.50), ("black", 0.90, 0.95), ("white", 0.80, 0.50), ("red", 0.99, None), ("unknown", 1.0, 0.1)], "label string, c double, t double")
     assert [r[0] for r in d.select(P.gated("label", "c", "t")).collect()] == ["white", "unknown", "white", "unknown", "unknown"]

@@ -7,6 +7,7 @@ a join of candidates with rows. Scores are grouped first, so the windows run ove
 from __future__ import annotations
 
 import itertools
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,21 +48,32 @@ def joint_thresholds(options: list[tuple[str, int, int, float]], precision: floa
     """The most rows that per-class thresholds can select together at the given precision, by an exact dynamic program.
 
     options: label, selected, correct, threshold, as sweep() gives them per class; a class may also select nothing, with
-    threshold 1.01. The state is the number selected, with the most correct; equals go to the stricter thresholds. This
-    runs on the driver: its input has one row per class and step of a threshold grid, whatever the number of rows.
+    threshold 1.01. The state is the number selected, with the most correct; equals go to the stricter thresholds. A state
+    is kept only if none that selects more has as much to spare (correct - precision * selected): whatever the other
+    classes add, it would end behind that one. This runs on the driver: its input has one row per class and step of a
+    threshold grid, whatever the number of rows.
     """
     by_label: dict[str, dict[tuple[int, int], float]] = {}
     for label, selected, correct, threshold in options:
         o = by_label.setdefault(label, {(0, 0): 1.01})
         o[selected, correct] = max(threshold, o.get((selected, correct), 0.0))
+    # whole numbers, so nothing is rounded; 0.9 means nine tenths, as it does where c / n is compared with it below
+    exact = Fraction(precision).limit_denominator(10**6)
+    over, under = (exact if float(exact) == precision else Fraction(precision)).as_integer_ratio()
+    spare = lambda selected, correct: correct * under - selected * over
+    labels = sorted(by_label)
+    # the most that the classes after each can still add to what is spare
+    ahead = list(itertools.accumulate((max(spare(*o) for o in by_label[label]) for label in reversed(labels[1:])), initial=0))[::-1]
     states: dict[int, tuple[int, float, tuple]] = {0: (0, 0.0, ())}
-    for label in sorted(by_label):
+    for label, to_come in zip(labels, ahead, strict=False):
         after: dict[int, tuple[int, float, tuple]] = {}
         for (done, (right, strict, path)), ((s, c), t) in itertools.product(states.items(), by_label[label].items()):
-            new = (right + c, strict + t, (*path, (label, t)))
-            if done + s not in after or new[:2] > after[done + s][:2]:
-                after[done + s] = new
-        states = after
+            if done + s not in after or (right + c, strict + t) > after[done + s][:2]:
+                after[done + s] = (right + c, strict + t, (*path, (label, t)))
+        states, most = {}, -to_come - 1
+        for n in sorted(after, reverse=True):
+            if (left := spare(n, after[n][0])) > most:
+                states[n], most = after[n], left
     good = [(n, c / n, strict, path) for n, (c, strict, path) in states.items() if n and c / n >= precision]
     if not good:
         raise ValueError("no thresholds reach the precision")
