@@ -1,4 +1,7 @@
+import pytest
+
 from wayfold.operators import deliveries
+from wayfold.plans.catalog import core
 
 from .conftest import rows
 
@@ -59,3 +62,22 @@ def test_hot_identifier(spark):
     hot = [("hot", i % 7, i, None, i, "x", f"b{i % 5}") for i in range(3000)] + [(f"c{i}", 1, 1, 1, i, "x", "b1") for i in range(100)]
     out = {r["message_key"]: (r["n_copies"], r["attempt"]) for r in deliveries.kept_once(table(spark, hot), *deliveries.OUTBOX).collect()}
     assert len(out) == 101 and out["hot"] == (3000, 6)
+
+
+@pytest.mark.parametrize(("name", "source"), [("p3_outbox_messages", "callback_outbox"), ("p3_commands_messages", "camera_task_commands")])
+def test_the_whole_message_is_kept(spark, name, source):
+    at = "/root/testdata/sf0.001"
+    messages = spark.read.parquet(f"{at}/{source}.parquet")
+    out = core.queries[name](spark, at)
+    assert set(out.columns) == {"message_key", "n_copies", *messages.columns}
+    # no message is put together from several copies
+    assert out.select(*messages.columns).exceptAll(messages).count() == 0
+    short = core.queries[name.replace("messages", "once")](spark, at)
+    assert rows(out.select(*short.columns)) == rows(short)
+
+
+def test_copies_that_tie_on_the_order_are_told_apart(spark):
+    tied = spark.createDataFrame([(*DATA[0], "k", 1), (*DATA[0], "k", 0), (*DATA[0], "k", 3)], SCHEMA)
+    for copies in (tied, tied.orderBy("copy")):
+        out = deliveries.kept_once(copies, *deliveries.OUTBOX, ("copy",)).first()
+        assert (out["n_copies"], out["copy"]) == (3, 3)

@@ -25,6 +25,12 @@ from ..session import Scratch
 #: Per table: the identifier, and the columns by which the winning copy is the greatest.
 OUTBOX = ("event_id", ("attempt", "updated_at_ms", "delivered_at_ms", "outbox_id", "status", "ingest_batch"))
 COMMANDS = ("message_id", ("delivered_at_ms", "definition_version", "create_time_ms", "worker_consumer", "ingest_batch"))
+#: What else a message holds; copies that tie on the ordering columns are told apart by these, in turn.
+OUTBOX_REST = ("event_id", "callback_profile", "next_attempt_at_ms", "last_attempt_at_ms", "last_http_status", "last_error_code", "response_body_hash", "created_at_ms")
+COMMANDS_REST = (
+    "message_id", "command_kind", "task_id", "run_id", "camera_profile", "frame_interval_ms", "output_mode", "jpeg_quality", "retention_days", "target_infer_fps",
+    "algorithm_profile", "callback_profile", "origin", "algorithms",
+)
 
 
 class DeliveryStore:

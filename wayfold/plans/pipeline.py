@@ -38,6 +38,16 @@ def p3_commands_once(spark, d):
     return deliveries.kept_once(table(spark, d, "camera_task_commands"), *deliveries.COMMANDS)
 
 
+@core.add("p3_outbox_messages", _kept("callback_outbox", deliveries.OUTBOX[0], deliveries.OUTBOX[1] + deliveries.OUTBOX_REST))
+def p3_outbox_messages(spark, d):
+    return deliveries.kept_once(table(spark, d, "callback_outbox"), *deliveries.OUTBOX, deliveries.OUTBOX_REST)
+
+
+@core.add("p3_commands_messages", _kept("camera_task_commands", deliveries.COMMANDS[0], deliveries.COMMANDS[1] + deliveries.COMMANDS_REST))
+def p3_commands_messages(spark, d):
+    return deliveries.kept_once(table(spark, d, "camera_task_commands"), *deliveries.COMMANDS, deliveries.COMMANDS_REST)
+
+
 _REFS = f"""refs AS (SELECT 'vision_events' AS t, 'f' AS g, {spell.key('evidence_frame_id')} AS k, {spell.key('event_id')} AS e, created_at_ms AS c FROM vision_events
     UNION ALL SELECT 'security_alert_events', 'f', {spell.key('evidence_frame_id')}, {spell.key('event_id')}, created_at_ms FROM security_alert_events
     UNION ALL SELECT 'vehicle_track_results', 'v', {spell.key('event_id')}, {spell.key('event_id')}, created_at_ms FROM vehicle_track_results),
