@@ -90,3 +90,31 @@ def test_empty_ties_and_repeats(spark):
     assert S.survivors(manifest(spark, tie), no_trust).first()["color"] == "blue"
     again = [{"stage177_row_number": 1, "stage177_pixel_sha256": sha(1), "color": "red", "reviewed_at_ms": 5}] * 2 + [{"stage177_pixel_sha256": sha(1), "color": "blue", "reviewed_at_ms": 4}]
     assert rows(S.clear_cases(manifest(spark, again), trust(spark))) == [(1, "color")]
+
+
+def test_every_column_of_the_manifest_survives(spark):
+    at = "/root/testdata/sf0.001"
+    whole = spark.read.parquet(f"{at}/attribute_manifest.parquet")
+    out = S.survivors(whole, spark.read.parquet(f"{at}/annotation_trust.parquet"))
+    assert set(whole.columns) - set(out.columns) == {"stage177_row_number", "stage177_pixel_sha256"}  # these have names of their own
+    paths = {r["stage177_row_number"]: (r["image_path"], r["reviewed_at_ms"]) for r in whole.collect()}
+    assert all(paths[r["representative"]] == (r["image_path"], r["reviewed_at_ms"]) for r in out.collect())
+
+
+def test_carried_columns_and_settled_flags(spark):
+    names = "stage177_row_number long, stage177_pixel_sha256 string, body_type string, color string, color_supervised string, annotation_source string, reviewed_at_ms long, split string, image_path string, stage177_dhash64 string, stage177_mean_luma string, stage177_near_duplicate_of string, stage177_read_error string, stage177_label_conflict string"
+    data = [
+        (1, sha(1), "suv", "red", "no", "bronze", 9, "val", "a.jpg", "00FF", "7.25", "x.jpg", "", "True"),
+        (2, sha(1), "suv", "blue", "yes", "gold", 1, "validation", "B.jpg", "", None, " ", None, "True"),
+        (3, sha(2), "suv", "red", None, "gold", 1, "train", "c.jpg", None, "1", None, None, "False"),
+        (4, sha(2), "suv", "blue", None, "gold", 2, "test", "d.jpg", None, "2", None, None, "False"),
+        (5, sha(3), "suv", "red", None, "gold", 2, "test", "e.jpg", None, "2", None, "OSError", "False"),
+    ]
+    out = {r["representative"]: r for r in S.survivors(spark.createDataFrame(data, names), trust(spark)).collect()}
+    assert set(out) == {2, 4, 5}
+    carried = lambda r: tuple(r[c] for c in ("image_path", "annotation_source", "reviewed_at_ms", "split", "stage177_dhash64", "stage177_mean_luma", "stage177_near_duplicate_of", "stage177_read_error"))
+    assert carried(out[2]) == ("B.jpg", "gold", 1, "validation", "00000000000000ff", 7.25, None, None)
+    assert carried(out[4]) == ("d.jpg", "gold", 2, "test", None, 2.0, None, None)
+    assert carried(out[5]) == ("e.jpg", "gold", 2, "test", None, 2.0, None, "OSError")
+    # the one unsupervised color of crop 1 is no conflict; a read error leaves no eligible row
+    assert {k: tuple(r[f] for f in S.SETTLED) for k, r in out.items()} == {2: (False, True, True), 4: (True, False, False), 5: (False, False, False)}

@@ -30,7 +30,13 @@ from ..session import Scratch
 FIELDS = ("body_type", "color", "crop_quality", "viewpoint")
 #: What a survivor is built from, where the columns exist: labels, flags (as true or false) and keys.
 FLAGS = ("blur", "occluded", "truncated", "night", "body_type_supervised", "color_supervised")
-KEYS = ("stage177_scene_label", "camera_id", "video_id", "track_group", "source_group", "source_frame_id", "source_license", "review_status")
+KEYS = ("stage177_scene_label", "camera_id", "video_id", "track_group", "source_group", "source_frame_id", "source_license", "review_status", "split", "source_dataset", "source_manifest", "review_method")
+#: What belongs to one row and is not voted on, but comes from the best row as it stands there (null where missing) ...
+CARRIED = ("image_path", "annotation_source", "reviewed_at_ms", "stage177_exact_duplicate_of", "stage177_near_duplicate_of", "stage177_read_error")
+#: ... or, as it is measured on the picture, from the best row that has it: the hash as 16 digits, the luma as a number.
+MEASURED = ("stage177_dhash64", "stage177_mean_luma")
+#: The dealt flags are unreliable; they are settled anew for the survivor.
+SETTLED = ("stage177_label_conflict", "stage177_dedup_eligible", "stage177_effective_representative")
 _TOKENS = re.compile(r"[^\W_]+")
 
 
@@ -136,18 +142,62 @@ def _vote(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _value(field: str) -> Column:
     if field in FLAGS:
         return normal.flag(field).cast("string")
+    if field == "split":
+        return normal.split_name(field)
+    if field == "source_manifest":
+        return normal.path(field)
     return normal.color(field) if field == "color" else normal.label(field)
 
 
-def crop_rows(manifest: DataFrame, trust: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """row, content (32 bytes; the hash of the text if it is no SHA-256), trust, reviewed, and the fields in normal form."""
+def _own(manifest: DataFrame) -> dict[str, Column]:
+    """What a row has of CARRIED and MEASURED, and the labels it was supervised for, by the name _own.<column> takes."""
+    has = manifest.columns
+    own = {c: F.when(normal.key(F.col(c).cast("string")).isNotNull(), F.col(c)) for c in CARRIED if c in has}
+    if "annotation_source" in own:
+        own["annotation_source"] = normal.key("annotation_source")
+    if "stage177_dhash64" in has:
+        own["stage177_dhash64"] = F.lower(F.lpad(F.hex(normal.bits64("stage177_dhash64")), 16, "0"))
+    if "stage177_mean_luma" in has:
+        own["stage177_mean_luma"] = F.col("stage177_mean_luma").try_cast("double")
+    for head in ("body_type", "color"):
+        flag = f"{head}_supervised"  # a row without the flag counts as supervised
+        counts = normal.key(flag).isNull() | F.coalesce(normal.flag(flag), F.lit(False)) if flag in has else F.lit(True)
+        own[f"signed_{head}"] = F.when(counts, _value(head))
+    return own
+
+
+def _carried(rows: DataFrame, best: bool) -> list[Column]:
+    """CARRIED, MEASURED and SETTLED as columns of a group of rows (best) or of single rows."""
+    names = rows.schema["own"].dataType.names
+    standing = (F.col("trust"), F.coalesce("reviewed", F.lit(-1)), -F.col("row"))
+    of_best = lambda c, known=None: F.max(F.when(F.lit(True) if known is None else known, F.struct(*standing, c.alias("own")))).getField("own")
+    own = {n: F.col(f"own.{n}") for n in names}
+    differ = lambda c: F.coalesce(F.min(c) != F.max(c), F.lit(False)) if best else F.lit(False)
+    conflict = differ(own["signed_body_type"]) | differ(own["signed_color"])
+    read = F.lit(True)
+    out = []
+    for n in (*CARRIED, *MEASURED):
+        if n in names:
+            c = own[n] if not best else of_best(own[n], own[n].isNotNull() if n in MEASURED else None)
+            out.append(c.alias(n))
+            read = c.isNull() if n == "stage177_read_error" else read
+    kept = read & ~conflict
+    return out + [c.alias(n) for n, c in zip(SETTLED, (conflict, kept, kept), strict=True)]
+
+
+def crop_rows(manifest: DataFrame, trust: DataFrame, fields: tuple[str, ...] = FIELDS, own: bool = False) -> DataFrame:
+    """row, content (32 bytes; the hash of the text if it is no SHA-256), trust, reviewed, and the fields in normal form.
+
+    own: with a struct of what belongs to the row itself, for _carried().
+    """
     rank = trust.select(normal.key("annotation_source").alias("source"), F.col("trust_rank").cast("int").alias("rank")).where("source is not null").groupBy("source").agg(F.max("rank").alias("rank"))
     content = normal.digest("stage177_pixel_sha256")
     rows = manifest.select(
         F.col("stage177_row_number").cast("long").alias("row"), F.when(content.rlike("^[0-9a-f]{64}$"), F.unhex(content)).otherwise(F.unhex(F.sha2(content, 256))).alias("content"),
         normal.key("annotation_source").alias("source"), F.col("reviewed_at_ms").cast("long").alias("reviewed"), *[_value(f).alias(f) for f in fields],
+        *([F.struct(*[c.alias(n) for n, c in _own(manifest).items()]).alias("own")] if own else []),
     ).where("row is not null")
-    return rows.join(rank, "source", "left").select("row", "content", F.coalesce("rank", F.lit(0)).alias("trust"), "reviewed", *fields)
+    return rows.join(rank, "source", "left").select("row", "content", F.coalesce("rank", F.lit(0)).alias("trust"), "reviewed", *fields, *(["own"] if own else []))
 
 
 def shared_rows(rows: DataFrame, scratch: Scratch) -> DataFrame:
@@ -199,21 +249,25 @@ def clear_cases(manifest: DataFrame, trust: DataFrame, scratch: Scratch | None =
 
 
 def survivors(manifest: DataFrame, trust: DataFrame, fields: tuple[str, ...] | None = None, scratch: Scratch | None = None) -> DataFrame:
-    """One row per crop: pixel_sha256, the representative's row number, n_rows, the fields, and n_disputed fields.
+    """One row per crop: pixel_sha256, the representative's row number, n_rows, the fields, n_disputed fields, then CARRIED,
+    MEASURED and SETTLED.
 
+    A crop is in conflict if its rows hold two body types or two colors that they were supervised for; it is eligible and
+    represented by the survivor if it is not in conflict and its best row was read without error.
     fields: by default those of FIELDS, FLAGS and KEYS that the manifest has. Rows without a hash follow as crops of their
     own, with pixel_sha256 null and their own values.
     """
     fields = fields or tuple(f for f in FIELDS + FLAGS + KEYS if f in manifest.columns)
     scratch = scratch or Scratch(manifest.sparkSession, "survivors")
-    rows = scratch.keep(crop_rows(manifest, trust, fields), "crops")
+    rows = scratch.keep(crop_rows(manifest, trust, fields, own=True), "crops")
     shared = shared_rows(rows, scratch)
     chosen = chosen_values(shared, scratch, fields)
     of = lambda f, c: F.max(F.when(F.col("field") == f, F.col(c)))
     wide = chosen.groupBy("content").agg(of("", "row").alias("representative"), of("", "n").alias("n_rows"), *[of(f, "value").alias(f) for f in fields], F.count_if(F.col("n_values") > 1).cast("int").alias("n_disputed"))
-    names = ["representative", "n_rows", *fields, "n_disputed"]
-    grouped = wide.select(F.lower(F.hex("content")).alias("pixel_sha256"), *names)
+    carried = shared.groupBy("content").agg(*_carried(shared, True))
+    names = ["representative", "n_rows", *fields, "n_disputed", *[c for c in carried.columns if c != "content"]]
+    grouped = wide.join(carried, "content").select(F.lower(F.hex("content")).alias("pixel_sha256"), *names)
     # A row that shares its crop with no other survives as it is.
     alone = rows.join(shared.select("content").distinct(), "content", "left_anti")
-    alone = alone.select(F.lower(F.hex("content")).alias("pixel_sha256"), F.col("row").alias("representative"), F.lit(1).cast("long").alias("n_rows"), *fields, F.lit(0).alias("n_disputed"))
+    alone = alone.select(F.lower(F.hex("content")).alias("pixel_sha256"), F.col("row").alias("representative"), F.lit(1).cast("long").alias("n_rows"), *fields, F.lit(0).alias("n_disputed"), *_carried(rows, False))
     return grouped.union(alone)
