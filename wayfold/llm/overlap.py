@@ -2,7 +2,8 @@
 
 Records are identified by a content hash (equal or not) and by a 64-bit perceptual hash (near if at most `radius` bits
 differ). Shards of a compressed full-text index hold the codes of the evaluation records; the codes of the training
-records stream through backward search, which finds the maximal matches, and each matched span is checked bit by bit.
+records stream through backward search. Content hashes are matched whole; for perceptual hashes only the seed symbol (two
+in refined shards) is searched for, and the records found are compared bit by bit, which also gives the matched span.
 
 How it scales. Only distinct codes are searched, so a code that holds a third of all rows costs as much as any other.
 With radius + 1 blocks of bits, two codes in reach agree in one block at least; a code goes to the shards of its blocks
