@@ -5,6 +5,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from wayfold.operators import tracks as T
+from wayfold.plans.catalog import core
+
+from .conftest import rows
 
 
 def seen(*labels, c=0.95, q=1.0):
@@ -118,3 +121,10 @@ def test_streamed_fold_equals_a_plain_one(spark):
 
     out = {(r["k"], r["i"]): r["total"] for r in T.streamed(d, ["k"], ["i"], fold, "k string, i int, total long").collect()}
     assert out == {(k, i): sum((j * 7) % 5 for j in range(i + 1)) for k in "abc" for i in range(100)}
+
+
+def test_photometric_clusters_are_those_of_the_values_themselves(spark, tmp_path):
+    m = [("a", x) for x in ("10.40", "20.40", "30.40", "30.40", "dark", None)]
+    spark.createDataFrame(m, "source_dataset string, stage177_mean_luma string").write.parquet(f"{tmp_path}/attribute_manifest.parquet")
+    got = core.queries["r24_photometric_clusters"](spark, str(tmp_path))
+    assert rows(got) == [("a", 0, 10.4), ("a", 1, 20.4), ("a", 2, 30.4)]

@@ -502,7 +502,7 @@ def three_means(values: np.ndarray, weights: np.ndarray | None = None, rounds: i
     for _ in range(rounds):
         nearest = np.abs(values[:, None] - centres[None, :]).argmin(1)
         new = np.array([np.average(values[nearest == k], weights=weights[nearest == k]) if (nearest == k).any() else centres[k] for k in range(3)])
-        if np.allclose(new, centres):
+        if np.allclose(new, centres, rtol=0, atol=1e-9):
             break
         centres = new
     return sorted(map(float, centres))

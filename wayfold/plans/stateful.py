@@ -467,8 +467,8 @@ def r19(spark, d):
 
 @core.add("r24_photometric_clusters")
 def r24(spark, d):
-    # one number per source and whole value of luma, so a group is bounded by the range of luma
-    m = table(spark, d, "attribute_manifest").select("source_dataset", F.round(F.col("stage177_mean_luma").try_cast("double")).alias("l")).where("l is not null").groupBy("source_dataset", "l").agg(F.count("*").alias("n"))
+    # one number per source and value of luma, so a group is bounded by the range of luma in steps of a hundredth
+    m = table(spark, d, "attribute_manifest").select("source_dataset", F.col("stage177_mean_luma").try_cast("double").alias("l")).where("l is not null").groupBy("source_dataset", "l").agg(F.count("*").alias("n"))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         centres = T.three_means(pdf["l"].to_numpy(), pdf["n"].to_numpy())
