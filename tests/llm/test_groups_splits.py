@@ -129,3 +129,12 @@ def test_repeated_rows(spark):
     assert rows(splits.torn_rows(m)) == [(1,), (2,), (3,)]
     targets = spark.createDataFrame([("train", 0.5), ("test", 0.5)], "split string, target_share double")
     assert splits.assigned_rows(m, targets).count() == 6
+
+
+def test_repeated_rows_with_three_keys(spark):
+    # row 4 alone links the others, row 2 by its middle key, and occurs twice
+    links = {"stage177_row_number": 4, "track_group": "t", "source_group": "s", "camera_id": "c", "split": "train"}
+    ends = [{"track_group": "t", "split": "train"}, {"source_group": "s", "split": "test"}, {"camera_id": "c", "split": "train"}]
+    m = manifest(spark, [*ends, links, links])
+    assert rows(splits.torn_rows(m)) == [(1,), (2,), (3,), (4,)]
+    assert {r["set_id"] for r in splits.row_sets(m).collect()} == {1}

@@ -37,9 +37,10 @@ def row_sets(manifest: DataFrame, keys: tuple[str, ...] = KEYS, scratch: Scratch
     ).where("row is not null")
     held = rows.select("row", F.explode(F.array(*[F.struct(F.lit(i).alias("kind"), F.col(k).alias("key")) for i, k in enumerate(keys)])).alias("x")).select("row", "x.kind", "x.key").where("key is not null")
     names = held.groupBy("kind", "key").agg(F.min("row").alias("name"))
-    named = held.join(names, ["kind", "key"]).groupBy("row").agg(F.min("name").alias("low"), F.max("name").alias("high"), F.sum("name").alias("total"), F.count("*").alias("n"))
-    named = scratch.keep(named.withColumn("middle", F.when(F.col("n") == 3, F.col("total") - F.col("low") - F.col("high")).otherwise(F.col("high"))), "names")
-    edges = named.select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("middle").alias("b")), F.struct(F.col("low").alias("a"), F.col("high").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
+    # The names of a row as a set: a row that occurs twice has no more of them than once.
+    named = held.join(names, ["kind", "key"]).groupBy("row").agg(F.min("name").alias("low"), F.collect_set("name").alias("names"))
+    named = scratch.keep(named, "names")
+    edges = named.select(F.col("low").alias("a"), F.explode("names").alias("b")).where("a <> b").distinct()
     groups = hash_to_min(edges, scratch)
     of_row = named.select("row", F.col("low").alias("vertex")).join(groups, "vertex", "left").select("row", F.coalesce("group_id", "vertex").alias("found"))
     base = rows.select("row", "split", "label")
