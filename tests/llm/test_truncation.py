@@ -1,7 +1,9 @@
 import random
+import re
 
 import pytest
 
+from wayfold.llm import grams
 from wayfold.llm import truncation as T
 
 SCHEMA = "doc_id long, text string, source string, kind string, key string, n int"
@@ -23,14 +25,68 @@ def docs(spark, data):
     ],
 )
 def test_structure(text, verdict):
-    assert T.structure(text)[0] == verdict
+    shape = T.structure(text)
+    assert ("broken" if shape.open else shape.verdict) == verdict
+
+
+WHOLE = [
+    ("He said (see the\nappendix for the details.", True), ('He wrote "this is\nunfinished and ends.', True), ("A “quoted start\nthat goes on and ends.", True), ("<p>Hello <b>world.", True),
+    ("Run this:\n```\nmake all\nmake test", True), ('Data:\n{\n "a": 1,\n "b": 2', True), ("function f() {\n  return 1;", True), ("Text <!-- a remark", True), ("See <a href=\"http://x", True), ("{\n\n  a: 1.", True),
+    ("He said (see the\nappendix) for the details.", False), ('He wrote "this is\nfinished" and ends.', False), ("<p>Hello <b>world</b>.", False), ("<p>Hello<br>world.", False), ("Run this:\n```\nmake (all\n```", False), ('Data:\n{\n "a": "}",\n "b": 2\n}', False),
+    ("A slip (here.\n\nThe next paragraph ends.", False), ('"One paragraph.\n\n"The next," they said.', False), ("We met R&D and AT&T", False), ("It rose by 50%", False), ("http://x/a%2Fb%2", True), ("if a<b then stop.", False), ("{name} was here.", False),
+    ("- one (of\n- two", True), ("Open (\n-- operator 4", False), ("It ended. (more)", False), ("It ended.\n[...]", False), ("Er sagte „nein“ (laut).", False),
+]
+
+
+@pytest.mark.parametrize(("text", "cut"), WHOLE)
+def test_the_whole_text_is_followed(text, cut):
+    shape = T.structure(text)
+    assert bool(shape.open or shape.verdict == "broken") == cut
+
+
+def test_the_whole_text_decides(spark):
+    got = {r["doc_id"]: r["truncated"] for r in T.judged(docs(spark, [(i, t, "a") for i, (t, _) in enumerate(WHOLE)])).collect()}
+    assert [WHOLE[i][0] for i, cut in got.items() if WHOLE[i][1] and not cut] == []
 
 
 def test_stack():
-    assert T.open_pairs("a (b [c] d") == ["("]
-    assert T.open_pairs('a "b (c" d') == []
-    assert T.open_pairs("a) b (c)") == []
-    assert T.open_pairs('"a \\" b') == ['"']
+    kinds = lambda text: [k for k, _ in T.open_items(text)[0]]
+    assert kinds("a (b [c] d") == ["("]
+    assert kinds('a "b (c" d') == []
+    assert kinds("a) b (c)") == []
+    assert kinds('"a \\" b') == ['"']
+    assert kinds("<div><b>x</b><i>y</div> <u>") == ["<"]
+    assert kinds("{ ( \n\n [") == ["{", "["]
+
+
+def test_open_items_that_are_usual_in_a_source_say_nothing(spark):
+    data = [(i, f"Option {i} is shown as a) or (b and works.", "menus") for i in range(40)] + [(100, "Option 3 is shown as (b and works.", "other")]
+    assert {r["doc_id"] for r in T.truncated(docs(spark, data)).collect()} == {100}
+
+
+def test_words_as_the_pattern_cuts_them():
+    """The array form against the pattern that states what a word and a sentence is."""
+    word = re.compile(r"[\u3400-\u9fff\u3040-\u30ff]|[^\W_\u3400-\u9fff\u3040-\u30ff]+(?:[.:,'/-][^\W_\u3400-\u9fff\u3040-\u30ff]+)*")
+    rng = random.Random(5)
+    for _ in range(300):
+        text = "".join(rng.choice("ab1 .!?'-:\n。路口)\"_É") for _ in range(rng.randrange(40)))
+        w = grams.words([text, "next one."])
+        got = [int((w.terminated[w.sentence[w.text[w.sentence] == 0]]).sum()), int((w.text[w.sentence] == 0).sum())]
+        done = total = 0
+        for line in text.lower().splitlines():
+            start = 0
+            for m in T._SENTENCE.finditer(line):
+                done += len(word.findall(line[start : m.start()]))
+                start = m.end()
+            total += len(word.findall(line))
+        assert got == [done, total], text
+
+
+def test_a_tail_that_mostly_goes_on_is_no_end(spark):
+    """However often sentences end with these words, they must do so more often than they go on."""
+    base = [(i, f"Unit {i} failed, which the desk of the north gate noted.", "log") for i in range(200)] + [(300 + i, f"Unit {i} was sent to the desk of the north gate.", "log") for i in range(20)]
+    cut = "Somebody said that unit four failed badly, which the desk of the north gate"
+    assert {r["doc_id"] for r in T.truncated(docs(spark, [*base, (999, cut, "log")])).collect()} == {999}
 
 
 def corpus(n=1500, seed=1):
