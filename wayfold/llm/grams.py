@@ -8,6 +8,7 @@ are taken for one with a chance of about 2^-64 each.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -30,10 +31,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 @lru_cache(maxsize=1)
 def _classes() -> tuple[np.ndarray, np.ndarray]:
     """The class of every code point, and the code points with all digits made 0."""
-    every = list(map(chr, range(0x110000)))
-    kind = np.fromiter((_WORD if c.isalnum() else _BLANK if c.isspace() else 0 for c in every), np.uint8, len(every))
-    same = np.arange(len(every), dtype=np.uint32)
-    same[np.fromiter((c.isdecimal() for c in every), bool, len(every))] = ord("0")
+    every = "".join(map(chr, range(0x34000)))  # no letters, digits or blanks are assigned beyond
+    kind = np.zeros(0x110000, np.uint8)
+    same = np.arange(0x110000, dtype=np.uint32)
+    for pattern, k in ((r"[^\W_]+", _WORD), (r"\s+", _BLANK)):
+        for m in re.finditer(pattern, every):
+            kind[m.start() : m.end()] = k
+    for m in re.finditer(r"\d+", every):
+        same[m.start() : m.end()] = ord("0")
     for first, last in ((0x3400, 0x9FFF), (0x3040, 0x30FF)):
         kind[first : last + 1] = _SIGN
     for chars, k in ((".:,'/-", _JOINT), (".!?", _STOP), ("。！？", _WIDE_STOP), ("\"'”’»)]", _CLOSER), ("」』）", _CLOSER)):
@@ -44,6 +49,17 @@ def _classes() -> tuple[np.ndarray, np.ndarray]:
     return kind, same
 
 
+@lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of the factor and of its inverse."""
+    out = []
+    for base in (_FACTOR, _INVERSE):
+        x = np.full(n, base, np.uint64)
+        x[0] = 1
+        out.append(np.multiply.accumulate(x))
+    return out[0], out[1]
+
+
 @dataclass
 class Words:
     """hash, signs (is a Chinese or Japanese sign), sentence of each word; text and terminated of each sentence."""
@@ -76,11 +92,8 @@ def words(texts: list[str]) -> Words:
     out_at = np.flatnonzero(~inside)
     end = np.where(sign[at], at + 1, out_at[np.searchsorted(out_at, at)])
     value = mix(digit_free[code].astype(np.uint64) + np.uint64(1))
-    power = np.full(n, _FACTOR, np.uint64)
-    back = np.full(n, _INVERSE, np.uint64)
-    if n:
-        power[0] = back[0] = 1
-    power, back = np.multiply.accumulate(power), np.multiply.accumulate(back)
+    power, back = _powers(1 << max(10, n.bit_length()))
+    power, back = power[:n], back[:n]
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value * power, dtype=np.uint64)))
     hashes = mix((sums[end] - sums[at]) * back[at]) if len(at) else np.zeros(0, np.uint64)
     # Sentence ends: a single stop before closers and a blank, a wide stop, or the end of a line.
@@ -101,21 +114,28 @@ def words(texts: list[str]) -> Words:
     return Words(hashes, sign[at], number[at] if len(at) else np.zeros(0, np.int64), text, ends[bounds])
 
 
-def tails(w: Words, size: int, sign_size: int) -> np.ndarray:
-    """For each word the hash of the last `size` words of its sentence up to it (`sign_size` if it is a sign)."""
+def tails(w: Words, sizes: tuple[tuple[int, int], ...]) -> list[np.ndarray]:
+    """Per pair (size, sign size), rising, for each word the hash of so many last words of its sentence up to it; the
+    second size is for words that are signs. Tails of different pairs never have the same hash, even if they are equal."""
     n = len(w.hash)
-    out = mix(w.hash)
+    out, result = mix(w.hash), []
     lead = np.full(n, True)  # so far all words looked at belong to the sentence
-    for back in range(1, max(size, sign_size)):
-        before = np.zeros(n, np.uint64)
-        same = np.zeros(n, bool)
-        same[back:] = w.sentence[back:] == w.sentence[:-back] if n > back else False
-        before[back:] = w.hash[:-back] if n > back else 0
-        before = np.where(same, before, np.where(lead, START, np.uint64(0)))
-        wanted = np.where(w.signs, sign_size, size) > back
-        out = np.where(wanted, mix(out * _FACTOR + before), out)
-        lead &= same
-    return out
+    any_signs = bool(w.signs.any())
+    back = 1
+    for at, (size, sign_size) in enumerate(sizes):
+        while back < (max(size, sign_size) if any_signs else size):
+            before = np.zeros(n, np.uint64)
+            same = np.zeros(n, bool)
+            if n > back:
+                same[back:] = w.sentence[back:] == w.sentence[:-back]
+                before[back:] = w.hash[:-back]
+            before = np.where(same, before, np.where(lead, START, np.uint64(0)))
+            longer = mix(out * _FACTOR + before)
+            out = np.where(np.where(w.signs, sign_size, size) > back, longer, out) if any_signs else longer
+            lead &= same
+            back += 1
+        result.append(mix(out + np.uint64(at)))
+    return result
 
 
 def openings(w: Words, most: int) -> tuple[np.ndarray, list[np.ndarray]]:

@@ -59,8 +59,9 @@ _PERCENT = re.compile(r"%[0-9A-Fa-f]?$")
 _OPEN_TAG = re.compile(r"<(?:/?[a-zA-Z][\w:-]*(?:\s+[\w:-]+(?:\s*=\s*(?:\"[^\"<>]*\"?|'[^'<>]*'?|[^\s\"'<>]*))?)*\s*/?|/|!-{0,2})$")
 _DANGLING = re.compile(r"[,;、，；]\s*$")
 _SENTENCE = re.compile(r"(?<!\.)[.!?](?!\.)(?:[\"'”’»)\]]*)(?=\s|$)|[。！？](?:[”’」』）]*)")
-#: What the automaton stops at; everything between is passed over.
-_EVENT = re.compile(r"```+|~~~+|<!--|-->|<(/?)([a-zA-Z][\w:-]*)(?:\s[^<>]*)?>|(\r\n|\n|\r)[ \t]*(?:\r\n|\n|\r)|\\.|[()\[\]{}（）【】「」『』«»〔〕《》\"“”„]", re.S)
+#: What the automaton stops at; everything between is passed over. Candidates are found by their first sign.
+_CANDIDATE = re.compile(r"[`~<\n\r\\()\[\]{}（）【】「」『』«»〔〕《》\"“”„]")
+_EVENT = re.compile(r"```+|~~~+|<!--|<(/?)([a-zA-Z][\w:-]*)(?:\s[^<>]*)?>|(\r\n|\n|\r)[ \t]*(?:\r\n|\n|\r)|\\.|[()\[\]{}（）【】「」『』«»〔〕《》\"“”„]", re.S)
 
 
 @dataclass(frozen=True)
@@ -102,7 +103,7 @@ def open_items(text: str) -> tuple[list[tuple[str, int]], set[str]]:
     """
     stack: list[tuple[str, int]] = []
     met: set[str] = set()
-    inside = ""  # the fence, comment or straight quote that hides all else
+    inside = ""  # the fence or straight quote that hides all else
 
     def push(kind: str, at: int) -> None:
         stack.append((kind, at))
@@ -114,11 +115,16 @@ def open_items(text: str) -> tuple[list[tuple[str, int]], set[str]]:
             while stack.pop()[0] not in kinds:
                 pass
 
-    for m in _EVENT.finditer(text):
-        at, sign = m.start(), m.group()
+    done = 0
+    for candidate in _CANDIDATE.finditer(text):
+        at = candidate.start()
+        m = _EVENT.match(text, at) if at >= done else None
+        if not m:
+            continue
+        done, sign = m.end(), m.group()
         fence = sign[:3] in ("```", "~~~") and not text[max(text.rfind("\n", 0, at), text.rfind("\r", 0, at)) + 1 : at].strip()
         if inside and inside != '"':
-            if sign == "-->" if inside == "<!--" else fence and sign.startswith(inside):
+            if fence and sign.startswith(inside):
                 stack.pop()
                 inside = ""
         elif m.group(3):
@@ -139,8 +145,12 @@ def open_items(text: str) -> tuple[list[tuple[str, int]], set[str]]:
             push(sign[:3], at)
             inside = sign
         elif sign == "<!--":
+            end = text.find("-->", done)
             push(sign, at)
-            inside = sign
+            if end < 0:
+                break
+            stack.pop()
+            done = end + 3
         elif m.group(2):
             name = m.group(2).lower()
             if m.group(1):
@@ -227,7 +237,8 @@ def _half_escaped(line: str) -> bool:
 
 
 def _cut_mark(line: str) -> str:
-    m = _CUT_MARK.search(line)
+    """The cut mark at the end of a line, with the blanks before it, or ''."""
+    m = _CUT_MARK.search(line) if line[-1:] in (".", "…", "]", ")", ">") or line[-1:].isspace() else None
     return m.group() if m and m.group().strip() else ""
 
 
@@ -272,12 +283,11 @@ def _verdicts(b: Baselines):
     return run
 
 
-def _both_tails(w: grams.Words, b: Baselines) -> tuple[np.ndarray, np.ndarray]:
-    """The short and the long tail of each word; the long one under hashes of its own, as the two may be equal."""
-    return grams.tails(w, b.tail_words, b.tail_signs), grams.mix(grams.tails(w, b.long_words, b.long_signs) + np.uint64(1))
+def _both_tails(w: grams.Words, b: Baselines) -> list[np.ndarray]:
+    return grams.tails(w, ((b.tail_words, b.tail_signs), (b.long_words, b.long_signs)))
 
 
-def _counters(marks: bytes, b: Baselines, chunk: int = 1_000_000):
+def _counters(marks: bytes, b: Baselines, chunk: int = 120_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each wording in doubt, over all terminated sentences: how many end with it, go on after it (as a tail), are
         just it, and begin with it and go on."""
