@@ -118,3 +118,39 @@ def test_carried_columns_and_settled_flags(spark):
     assert carried(out[5]) == ("e.jpg", "gold", 2, "test", None, 2.0, None, "OSError")
     # the one unsupervised color of crop 1 is no conflict; a read error leaves no eligible row
     assert {k: tuple(r[f] for f in S.SETTLED) for k, r in out.items()} == {2: (False, True, True), 4: (True, False, False), 5: (False, False, False)}
+
+
+def crop_of(values, name="a"):
+    """Rows of one crop from (color, source, day of review)."""
+    return [{"stage177_pixel_sha256": sha(name), "color": c, "annotation_source": s, "reviewed_at_ms": None if d is None else d * 86_400_000} for c, s, d in values]
+
+
+def test_the_vote_can_overrule_the_top_row(spark):
+    # gold has the highest trust, but is old; the latest row is ranked below it and has support
+    data = crop_of([("red", "gold", 1000), ("blue", "silver", 1400), ("blue", "silver", 1390), ("blue", "bronze", 1300)])
+    out = S.survivors(manifest(spark, data), trust(spark)).first()
+    assert (out["color"], out["representative"], out["n_disputed"]) == ("blue", 1, 1)
+    assert S.clear_cases(manifest(spark, data), trust(spark)).count() == 0  # gold outranks the latest row
+    # the latest row is of low rank and alone: the trusted rows, not much older, add up
+    data = crop_of([("red", "gold", 1398), ("red", "silver", 1399), ("blue", "bronze", 1400)])
+    assert S.survivors(manifest(spark, data), trust(spark)).first()["color"] == "red"
+
+
+def test_one_clear_row_outweighs_any_number_of_others(spark):
+    data = crop_of([("blue", "gold", 1400), *[("red", s, d) for s in ("gold", "silver", "bronze", None) for d in (*range(1380, 1400), None)] * 5])
+    assert S.survivors(manifest(spark, data), trust(spark)).first()["color"] == "blue"
+    assert rows(S.clear_cases(manifest(spark, data), trust(spark))) == [(1, "color")]
+
+
+def test_votes_over_many_values_are_held_in_blocks(spark):
+    data = crop_of([(f"shade {i} of red", "gold", 1000 + i) for i in range(60)]) + crop_of([("x", "gold", 3), ("y", "bronze", 9)], "b")
+    whole, blocks = (S.survivors(manifest(spark, data), trust(spark), voters=v).collect() for v in (500, 7))
+    color = lambda out: {r["pixel_sha256"]: r["color"] for r in out}
+    assert color(whole) == color(blocks) and color(whole)[sha("a")] == "shade 59 of red"
+    assert rows(S.clear_cases(manifest(spark, data), trust(spark))) == [(60, "color")]
+
+
+def test_identifiers_come_from_the_best_row_that_has_one(spark):
+    data = [r | {"camera_id": c, "track_group": f"T{i}"} for i, (r, c) in enumerate(zip(crop_of([("red", "gold", 5), ("red", "silver", 9), ("red", "silver", 7)]), (" ", "CAM-2", "cam-3"), strict=True))]
+    out = S.survivors(manifest(spark, data), trust(spark)).first()
+    assert (out["camera_id"], out["track_group"], out["color"], out["n_disputed"]) == ("cam-2", "t0", "red", 0)

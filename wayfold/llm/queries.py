@@ -60,6 +60,57 @@ def p2_survivors(spark, d):
     return survivors.survivors(table(spark, d, "attribute_manifest"), table(spark, d, "annotation_trust"))
 
 
+def _flag(c: str) -> str:
+    return f"(CASE WHEN {spell.key(c)} IN ('1', 'true', 'yes', 'y', 'on') THEN 'true' WHEN {spell.key(c)} IN ('0', 'false', 'no', 'n', 'off') THEN 'false' END)"
+
+
+def _crop_fields() -> dict[str, str]:
+    """The fields that are voted on, in normal form."""
+    from .survivors import FIELDS, FLAGS, WORDS
+
+    special = {"color": spell.color("color"), "split": spell.split_name("split")} | {f: _flag(f) for f in FLAGS}
+    return {f: special.get(f, spell.key(f)) for f in FIELDS + FLAGS + WORDS}
+
+
+_SIGNED = {c: f"(CASE WHEN coalesce({_flag(f'{c}_supervised')}, CASE WHEN {spell.key(f'{c}_supervised')} IS NULL THEN 'true' END) = 'true' THEN {v} END)" for c, v in (("body_type", spell.key("body_type")), ("color", spell.color("color")))}
+
+
+@llm.add(
+    "p2_representatives",
+    f"""WITH r AS (SELECT m.*, {spell.digest('stage177_pixel_sha256')} AS d, coalesce(k.trust_rank, 0) AS q FROM attribute_manifest m
+      LEFT JOIN annotation_trust k ON {spell.key('k.annotation_source')} = {spell.key('m.annotation_source')}),
+    n AS (SELECT *, CASE WHEN regexp_matches(d, '^[0-9a-f]{{64}}$') THEN d ELSE sha256(d) END AS p FROM r),
+    g AS (SELECT p, count(*) AS n_rows, {' + '.join(f"CAST(count(DISTINCT {v}) > 1 AS INT)" for v in _crop_fields().values())} AS n_disputed,
+      count(DISTINCT {_SIGNED['body_type']}) > 1 OR count(DISTINCT {_SIGNED['color']}) > 1 AS conflict FROM n WHERE p IS NOT NULL GROUP BY p),
+    best AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY q DESC, coalesce(reviewed_at_ms, -1) DESC, stage177_row_number) AS k FROM n WHERE p IS NOT NULL),
+    every AS (SELECT p, stage177_row_number, n_rows, n_disputed, conflict, image_path, reviewed_at_ms, stage177_read_error FROM best JOIN g USING (p) WHERE k = 1
+      UNION ALL SELECT NULL, stage177_row_number, 1, 0, false, image_path, reviewed_at_ms, stage177_read_error FROM n WHERE p IS NULL)
+    SELECT p AS pixel_sha256, stage177_row_number AS representative, n_rows, n_disputed, CASE WHEN {spell.key('image_path')} IS NOT NULL THEN image_path END AS image_path, reviewed_at_ms,
+      conflict AS stage177_label_conflict, NOT conflict AND {spell.key('stage177_read_error')} IS NULL AS stage177_effective_representative FROM every""",
+)
+def p2_representatives(spark, d):
+    """What SQL can say of the survivors: every crop once, its best row, what is disputed, and the settled flags."""
+    return p2_survivors(spark, d).select("pixel_sha256", "representative", "n_rows", "n_disputed", "image_path", "reviewed_at_ms", "stage177_label_conflict", "stage177_effective_representative")
+
+
+@llm.add(
+    "p2_foreign_values",
+    f"SELECT unnest([{', '.join(repr(f) for f in _crop_fields())}]) AS field_name, CAST(0 AS BIGINT) AS n_foreign, CAST(0 AS BIGINT) AS n_lost",
+)
+def p2_foreign_values(spark, d):
+    """Per field the survivors whose value no row of their crop holds, and those without a value though a row has one."""
+    from pyspark.sql import functions as F
+
+    from . import survivors
+
+    manifest, trust = table(spark, d, "attribute_manifest"), table(spark, d, "annotation_trust")
+    fields = tuple(_crop_fields())
+    held = survivors.crop_rows(manifest, trust, fields).where("content is not null").groupBy(F.lower(F.hex("content")).alias("p")).agg(*[F.collect_set(f).alias(f"held_{f}") for f in fields])
+    both = survivors.survivors(manifest, trust, fields).join(held, F.col("pixel_sha256") == F.col("p"))
+    counts = [F.struct(F.lit(f).alias("field_name"), F.count_if(F.col(f).isNotNull() & ~F.array_contains(f"held_{f}", F.col(f))).alias("n_foreign"), F.count_if(F.col(f).isNull() & (F.size(f"held_{f}") > 0)).alias("n_lost")) for f in fields]
+    return both.agg(F.array(*counts).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+
+
 @llm.add(
     "p4_found",
     f"""WITH RECURSIVE held AS (SELECT stage177_row_number AS r, {spell.split_name('split')} AS s, unnest([1, 2, 3]) AS i,
