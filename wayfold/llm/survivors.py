@@ -221,7 +221,13 @@ def crops(rows: DataFrame, fields: tuple[str, ...], more: list[Column]) -> DataF
     of which there are several), and more aggregates."""
     low, high = (lambda f: F.col(f"low_{f}")), (lambda f: F.col(f"high_{f}"))
     ends = [a for f in fields for a in (F.min(f).alias(f"low_{f}"), F.max(f).alias(f"high_{f}"))]
-    g = rows.where("content is not null").groupBy("content").agg(F.count("*").alias("n_rows"), *ends, *more)
+    known = rows.where("content is not null")
+    # Crops of more than a thousandth of all rows, fewer than 1,000 by arithmetic, are aggregated before they are shuffled.
+    # All others go as rows: these are smaller than what would be aggregated of them, as most crops have one or two.
+    limit = max(1000, known.count() // 1000)
+    hot = known.groupBy("content").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("content")
+    grouped = lambda part: part.groupBy("content").agg(F.count("*").alias("n_rows"), *ends, *more)
+    g = grouped(known.join(F.broadcast(hot), "content", "left_anti").repartition("content")).union(grouped(known.join(F.broadcast(hot), "content", "left_semi")))
     named = [c for c in g.columns if not c.startswith(("low_", "high_")) and c != "content"]
     disputed = F.array_compact(F.array(*[F.when(low(f) != high(f), F.lit(f)) for f in fields]))
     return g.select("content", *named, *[F.when(low(f) == high(f), low(f)).alias(f) for f in fields], disputed.alias("disputed"))
