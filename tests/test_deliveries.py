@@ -35,21 +35,66 @@ def test_order_and_repetition_of_batches_do_not_matter(spark):
     a = deliveries.kept_once(table(spark, DATA), *deliveries.OUTBOX)
     b = deliveries.kept_once(table(spark, DATA[::-1]), *deliveries.OUTBOX)
     assert rows(a) == rows(b)
-    store = deliveries.DeliveryStore(spark, ("attempt",), buckets=3)
-    run = deliveries._copies(table(spark, DATA), "event_id", ("attempt",), ()).where("key is not null")
-    for _ in range(2):
-        store.upsert(run)
-    twice = {r["key"]: r["copy"]["attempt"] for r in store.compacted().collect()}
-    store.close()
-    assert twice == {"e1": 2, "e2": None, "e3": 0}
-
-
-def test_compaction_needs_no_shuffle(spark):
-    store = deliveries.DeliveryStore(spark, ("attempt",), buckets=3)
-    store.upsert(deliveries._copies(table(spark, DATA), "event_id", ("attempt",), ()).where("key is not null"))
-    plan = store.compacted()._jdf.queryExecution().executedPlan().toString()
-    store.close()
-    assert "Exchange" not in plan
+
+
+def copies(spark, data):
+    return deliveries._copies(table(spark, data), "event_id", ("attempt",), ()).drop("batch")
+
+
+def held(store):
+    return sorted((r["key"], r["copy"]["attempt"], r["copies"]) for r in store.messages().collect())
+
+
+def test_a_batch_that_comes_again_adds_nothing(spark, tmp_path):
+    store = deliveries.DeliveryStore(spark, str(tmp_path / "store"), buckets=3)
+    assert store.upsert(copies(spark, DATA), "monday") and not store.upsert(copies(spark, DATA), "monday")
+    want = [("e1", 2, 3), ("e2", None, 2), ("e3", 0, 1)]
+    assert held(store) == want
+    assert not store.upsert(copies(spark, DATA), "monday") and held(store) == want  # after compaction too
+    assert store.upsert(copies(spark, [("E3", 5, 1, 1, 6, "x", "b1"), ("e4", 1, 1, 1, 6, "x", "b1")]), "tuesday")
+    assert held(store) == [("e1", 2, 3), ("e2", None, 2), ("e3", 5, 2), ("e4", 1, 1)]
+
+
+def test_a_store_outlives_the_query(spark, tmp_path):
+    at = str(tmp_path / "store")
+    once = deliveries.merged(table(spark, DATA), *deliveries.OUTBOX, store=deliveries.DeliveryStore(spark, at))
+    first = rows(once)
+    again = deliveries.DeliveryStore(spark, at)
+    assert again.ledger["buckets"] == deliveries.LEAST_BUCKETS and again.batches() == {"run-0", "run-1", "run-2"}
+    assert rows(deliveries.merged(table(spark, DATA), *deliveries.OUTBOX, store=again)) == first
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("wayfold_")]
+
+
+def test_a_run_that_was_not_published_counts_for_nothing(spark, tmp_path, monkeypatch):
+    store = deliveries.DeliveryStore(spark, str(tmp_path / "store"), buckets=2)
+    with monkeypatch.context() as m:
+        m.setattr(store, "_publish", lambda runs: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            store.upsert(copies(spark, DATA), "monday")
+    again = deliveries.DeliveryStore(spark, str(tmp_path / "store"), buckets=2)
+    assert again.batches() == set() and again.upsert(copies(spark, DATA), "monday")
+    assert held(again) == [("e1", 2, 3), ("e2", None, 2), ("e3", 0, 1)]
+
+
+def test_compaction_merges_sorted_runs(spark, tmp_path):
+    """Neither a shuffle nor a sort; and the result is sorted within its buckets."""
+    store = deliveries.DeliveryStore(spark, str(tmp_path / "store"), buckets=3)
+    many = [(f"e{i % 700}", i, 1, 1, i, "x", "b") for i in range(1500)]
+    for k in range(3):
+        store.upsert(copies(spark, many[k::3]), f"b{k}")
+    spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+    names = [store._declare(r["path"]) for r in store.ledger["runs"][:2]]
+    plan = store.merge_of(*names)._jdf.queryExecution().executedPlan().toString()
+    for n in names:
+        spark.sql(f"DROP TABLE {n}")
+    spark.conf.unset("spark.sql.legacy.bucketedTableScan.outputOrdering")
+    assert "Exchange" not in plan and "Sort " not in plan and "SortMergeJoin" in plan
+    assert held(store) == sorted((f"e{i}", max(j for j in range(1500) if j % 700 == i), sum(j % 700 == i for j in range(1500))) for i in range(700))
+    files = store.messages().select("_metadata.file_name", "key").rdd.map(tuple).collect()
+    by = {}
+    for name, key in files:
+        by.setdefault(name, []).append(key)
+    assert len(by) == 3 and all(k == sorted(k) for k in by.values())
 
 
 def test_empty_and_repeated(spark):
