@@ -28,6 +28,26 @@ def test_hamming_boundaries(spark):
     assert similarity.hamming_pairs(a, apart, 4).count() == 1
 
 
+def test_refined_blocks_give_the_same_pairs(spark):
+    """Hashes that share their first block, or all but a few bits; every way of routing them against brute force."""
+    rng = random.Random(3)
+    base = [rng.getrandbits(51) for _ in range(20)]
+    bits = {flip((0x155 << 51) | rng.choice(base), *rng.sample(range(64), rng.randrange(6))) for _ in range(300)}
+    df = spark.createDataFrame([(b, "a" if b % 3 else "b") for b in bits], "bits long, color string")
+    near = lambda r: sorted((a, b, bin((a ^ b) & (2**64 - 1)).count("1")) for a in bits for b in bits if a < b and bin((a ^ b) & (2**64 - 1)).count("1") <= r)
+    for radius, over in ((4, 4096), (4, 5), (4, 0), (2, 2)):
+        assert rows(similarity.hamming_pairs(df, df, radius, refine_over=over).where("left_bits < right_bits")) == near(radius)
+    got = rows(similarity.hamming_pairs(df, df, 3, within="color", refine_over=5).where("left_bits < right_bits").select("left_bits", "right_bits"))
+    assert got == [(a, b) for a, b, _ in near(3) if bool(a % 3) == bool(b % 3)]
+
+
+def test_a_long_chain_ends(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(900)], "a long, b long")
+    ids = spark.range(901)
+    for last in (100_000, 880):
+        assert [r["id"] for r in similarity.leaders(ids, chain, last_pairs=last).where("kept").orderBy("id").collect()] == list(range(0, 901, 2))
+
+
 def test_leaders_and_components_against_brute_force(spark):
     rng = random.Random(7)
     for _ in range(3):

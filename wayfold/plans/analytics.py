@@ -566,9 +566,8 @@ _LABELLED = f"l AS (SELECT DISTINCT {COLOR} AS color, CAST(CASE WHEN b > 9223372
 
 def _labelled(spark, d):
     """Pairs of hashes within 3 bits that share a color."""
-    b = _bits(spark, d).where("color is not null and bits is not null").select("color", "bits").distinct()
-    p = H.hamming_pairs(b.select("bits"), b.select("bits"), 3).where("left_bits < right_bits")
-    return p.join(b.withColumnRenamed("bits", "left_bits"), "left_bits").join(b.select(F.col("bits").alias("right_bits"), "color"), ["right_bits", "color"])
+    b = _bits(spark, d).select("color", "bits")
+    return H.hamming_pairs(b, b, 3, within="color").where("left_bits < right_bits")
 
 
 @core.add("j13_hamming_within_label", f"WITH {_LABELLED} SELECT a.color, a.bits AS left_bits, b.bits AS right_bits FROM l a JOIN l b ON a.color = b.color AND a.bits < b.bits AND bit_count(xor(a.bits, b.bits)) <= 3")
