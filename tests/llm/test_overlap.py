@@ -1,9 +1,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import rows
 from wayfold.llm import overlap
+from wayfold.session import Scratch
 
 from .conftest import manifest, sha
 
@@ -81,3 +83,37 @@ def test_a_hash_of_a_third_of_all_rows_is_counted_not_paired(spark):
     t = sum(1 for i in range(3000) if i % 3 and i % 2)
     e = sum(1 for i in range(3000) if i % 3 and not i % 2)
     assert [(x["n_same_rows"], x["n_same_pairs"]) for x in r] == [(e, t * e)]
+
+
+def test_maximal_matches_are_merged(spark):
+    """Span and number of the maximal matches of each pair of codes, against the bits themselves."""
+    rng = random.Random(11)
+    base = [rng.getrandbits(64) for _ in range(30)]
+    flip = lambda h: h ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(5)))
+    codes = {(side, flip(h)) for h in base for side in (0, 1) for _ in range(6)}
+    df = spark.createDataFrame([(s, bytearray(h.to_bytes(8, "big"))) for s, h in codes], "side int, code binary")
+    want = {}
+    for s, t in codes:
+        for z, e in codes:
+            if s == 1 and z == 0 and (t ^ e).bit_count() <= 4:
+                equal = [(t ^ e) >> at & ((1 << w) - 1) == 0 for at, w in overlap.BLOCKS]
+                runs = 1 if all(equal) else sum(equal[k] and not equal[(k + 1) % 5] for k in range(5))
+                want[t, e] = ((t ^ e).bit_count(), sum(w for (_, w), q in zip(overlap.BLOCKS, equal, strict=True) if q), runs)
+    for how in ({}, {"refine_over": 1}, {"refine_over": 0, "salt_over": 2}, {"salt_over": 1}):
+        m = overlap.code_matches(df, Scratch(spark, "test"), **how).collect()
+        got = {(int.from_bytes(r["train_code"], "big"), int.from_bytes(r["eval_code"], "big")): (r["distance"], r["span"], r["n_spans"]) for r in m}
+        assert len(m) == len(got) and got == want, how
+
+
+def test_nearly_constant_hashes_are_spread_over_tasks(spark):
+    """100,000 codes that differ in their lowest 17 bits only: no cell holds more than its share, and none is lost."""
+    n = 100_000
+    codes = spark.range(n).select((F.col("id") % 2).cast("int").alias("side"), F.unhex(F.lpad(F.hex(F.lit(0x5555 << 40) + F.col("id")), 16, "0")).alias("code"))
+    sent, parts = overlap.routes(codes, Scratch(spark, "test"), salt_over=2000)
+    cells = sent.groupBy("seed", "value", "salt").agg(F.count_if("side = 0").alias("e"), F.count_if("side = 1").alias("t"))
+    most = cells.agg(F.max("e"), F.max("t"), F.count("*")).first()
+    assert most[0] <= 2600 and most[1] <= 2600 and most[2] > 1000
+    # every pair of codes that shares a key meets in one cell of it
+    grid = sent.groupBy("seed", "value").agg(F.countDistinct(F.when(F.col("side") == 0, F.col("code"))).alias("e"), F.countDistinct(F.when(F.col("side") == 1, F.col("code"))).alias("t"))
+    met = cells.groupBy("seed", "value").agg(F.sum(F.col("e") * F.col("t")).alias("met"))
+    assert grid.join(met, ["seed", "value"]).where("met <> e * t").count() == 0

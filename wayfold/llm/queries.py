@@ -10,7 +10,11 @@ llm = Registry()
 
 _ROWS = f"""rows AS (SELECT stage177_row_number AS r, {spell.split_name('split')} AS s, {spell.digest('stage177_pixel_sha256')} AS p,
     {spell.bits64('stage177_dhash64')} AS h, coalesce({spell.key('source_dataset')}, 'unknown') AS d FROM attribute_manifest)"""
-_PAIRS = """pairs AS (SELECT t.r AS t, e.r AS e, coalesce(t.p = e.p, false) AS same, coalesce(bit_count(xor(t.h, e.h)) <= 4, false) AS near
+# Blocks of 13 bits (the last has 12) from the lowest bit on; a match is a run of equal blocks, the last being followed by the first.
+_EQUAL = [f"CAST((xor(t.h, e.h) >> {at}) & {(1 << w) - 1} = 0 AS INT)" for at, w in ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))]
+_RUNS = f"greatest({' + '.join(f'{a} * (1 - {b})' for a, b in zip(_EQUAL, _EQUAL[1:] + _EQUAL[:1], strict=True))}, CAST(xor(t.h, e.h) = 0 AS INT))"
+_SPAN = " + ".join(f"{w} * {e}" for e, w in zip(_EQUAL, (13, 13, 13, 13, 12), strict=True))
+_PAIRS = f"""pairs AS (SELECT t.r AS t, e.r AS e, coalesce(t.p = e.p, false) AS same, coalesce(bit_count(xor(t.h, e.h)) <= 4, false) AS near, {_RUNS} AS runs, {_SPAN} AS span
     FROM rows t JOIN rows e ON t.s = 'train' AND e.s IN ('validation', 'test') AND (t.p = e.p OR bit_count(xor(t.h, e.h)) <= 4))"""
 
 
@@ -23,9 +27,10 @@ def p1_found(spark, d):
 
 @llm.add(
     "p1_overlap_report",
-    f"""WITH {_ROWS}, {_PAIRS}, per AS (SELECT e, count(*) FILTER (same) AS same, count(*) FILTER (near) AS near FROM pairs GROUP BY e)
+    f"""WITH {_ROWS}, {_PAIRS}, per AS (SELECT e, count(*) FILTER (same) AS same, count(*) FILTER (near) AS near, sum(runs) FILTER (near) AS runs, sum(span) FILTER (near) AS span FROM pairs GROUP BY e)
     SELECT s AS split, d AS source_dataset, count(*) AS n_rows, count(*) FILTER (same > 0) AS n_same_rows, count(*) FILTER (near > 0) AS n_near_rows,
-      count(*) FILTER (same > 0 OR near > 0) AS n_overlap_rows, CAST(coalesce(sum(same), 0) AS BIGINT) AS n_same_pairs, CAST(coalesce(sum(near), 0) AS BIGINT) AS n_near_pairs
+      count(*) FILTER (same > 0 OR near > 0) AS n_overlap_rows, CAST(coalesce(sum(same), 0) AS BIGINT) AS n_same_pairs, CAST(coalesce(sum(near), 0) AS BIGINT) AS n_near_pairs,
+      CAST(coalesce(sum(runs), 0) AS BIGINT) AS n_near_spans, CAST(coalesce(sum(span), 0) AS BIGINT) AS near_span_bits
     FROM rows LEFT JOIN per ON r = e WHERE s IN ('validation', 'test') GROUP BY s, d""",
 )
 def p1_overlap_report(spark, d):
