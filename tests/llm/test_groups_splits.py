@@ -112,7 +112,7 @@ def test_one_set_or_none(spark):
 def test_annealing_never_worsens():
     rng = np.random.default_rng(3)
     sizes = rng.integers(1, 30, 200).astype(float)
-    labels = np.zeros((200, splits.LABEL_BINS))
+    labels = np.zeros((200, 12))
     labels[np.arange(200), rng.integers(0, 3, 200)] = sizes
     share = np.array([0.7, 0.15, 0.15])
     start = rng.integers(0, 3, 200)
@@ -138,3 +138,17 @@ def test_repeated_rows_with_three_keys(spark):
     m = manifest(spark, [*ends, links, links])
     assert rows(splits.torn_rows(m)) == [(1,), (2,), (3,), (4,)]
     assert {r["set_id"] for r in splits.row_sets(m).collect()} == {1}
+
+
+def test_every_label_has_a_count_of_its_own(spark):
+    """Labels are balanced one by one, the rarest together; the report says how far each is from its target."""
+    rng = random.Random(4)
+    data = [{"camera_id": f"c{rng.randrange(900)}", "body_type": rng.choice(["suv", "heavy_truck", "light_truck", "sedan", "van", "bus", None])} for _ in range(6000)]
+    targets = spark.createDataFrame([("train", 0.7), ("val", 0.15), ("test", 0.15)], "split string, target_share double")
+    m = manifest(spark, data)
+    report = splits.label_report(m, targets).collect()
+    assert len(report) == 7 * 3 and sum(r["n_rows"] for r in report) == 6000
+    assert max(abs(r["deviation"]) for r in report) < 0.02
+    assert tuple(splits.invariants(m, targets).first()) == (6000, len({r["camera_id"] for r in data}), 0, 0, True)
+    few = splits.label_numbers(splits.row_sets(m), 3)
+    assert len(few) == 3 and set(few.values()) == {0, 1, 2}

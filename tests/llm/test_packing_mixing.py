@@ -125,3 +125,36 @@ def test_sizes(spark):
 def test_tiny_totals(spark, total):
     out = mixing.mixture(docs(spark, texts(50)), targets(spark), total=total).collect()
     assert sum(x["tokens"] * x["repeats"] for x in out) <= total
+
+
+def test_long_texts_do_not_fill_blocks(spark, monkeypatch):
+    """The full pieces of 200,000-token texts are containers as they are; what is packed is one item a text."""
+    data = [(i, "lane " * (200_000 + i), "a") for i in range(4)]
+    limits = spark.createDataFrame([("small", 128)], "container_kind string, capacity_tokens int")
+    items = packing.packed_items(docs(spark, data), limits, block_items=2)
+    packed = items.where("container_id not like '%-full-%'")
+    assert packed.count() <= 4 and items.count() > 4 * 1500
+    assert packed.selectExpr("substring(container_id, 1, 12) as block").groupBy("block").count().agg({"count": "max"}).first()[0] <= 4
+    assert tuple(packing.invariants(docs(spark, data), limits).first())[2:] == (4, 0, 0, 0, True)
+
+
+def test_equal_rows_are_items_of_their_own(spark):
+    data = [(7, "lane " * 300, "a")] * 3
+    limits = spark.createDataFrame([("small", 128)], "container_kind string, capacity_tokens int")
+    per = packing.containers(docs(spark, data), limits).collect()
+    assert sum(r["tokens"] for r in per) == 3 * 301 or sum(r["tokens"] for r in per) == 3 * 300
+    assert all(r["tokens"] <= 128 for r in per)
+
+
+def test_any_quality_and_any_depth_of_ranges(spark):
+    """Few good records among poor ones: the sample is that of the least keys, however often the cut is cut again."""
+    import pyspark.sql.functions as F
+
+    d = docs(spark, [(i, "lane " * 10, "a") for i in range(4000)])
+    q = F.when(F.col("doc_id") % 10 == 0, 1.0).otherwise(0.001)
+    t = targets(spark, [("a", 1.0, 1)])
+    total = sum(x["tokens"] for x in mixing.sized_records(d).limit(1).collect()) * 700
+    picks = [{x["doc_id"] for x in mixing.mixture(d, t, total=total, range_rows=n, quality=q).collect()} for n in (5000, 50, 1)]
+    assert picks[0] == picks[1] == picks[2] and len(picks[0]) == 700
+    assert sum(i % 10 == 0 for i in picks[0]) > 380  # nearly all of the good ones
+    assert mixing.mixture(d, t, total=total, quality=F.lit(None).cast("double")).count() == 700

@@ -116,15 +116,18 @@ def p2_foreign_values(spark, d):
     return both.agg(F.array(*counts).alias("x")).select(F.explode("x").alias("x")).select("x.*")
 
 
-@llm.add(
-    "p4_found",
-    f"""WITH RECURSIVE held AS (SELECT stage177_row_number AS r, {spell.split_name('split')} AS s, unnest([1, 2, 3]) AS i,
+_SETS = f"""WITH RECURSIVE held AS (SELECT stage177_row_number AS r, {spell.split_name('split')} AS s, unnest([1, 2, 3]) AS i,
         unnest([{spell.key('track_group')}, {spell.key('source_group')}, {spell.key('camera_id')}]) AS k FROM attribute_manifest),
     names AS (SELECT i, k, min(r) AS v FROM held WHERE k IS NOT NULL GROUP BY i, k),
     of_row AS (SELECT r, s, v FROM held JOIN names USING (i, k)),
     edges AS (SELECT DISTINCT a.v AS a, b.v AS b FROM of_row a JOIN of_row b USING (r)),
     reach AS (SELECT a, b FROM edges UNION SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a),
-    sets AS (SELECT a, min(b) AS c FROM reach GROUP BY a),
+    sets AS (SELECT a, min(b) AS c FROM reach GROUP BY a)"""
+
+
+@llm.add(
+    "p4_found",
+    f"""{_SETS},
     rows AS (SELECT DISTINCT r, s, c FROM of_row JOIN sets ON a = v)
     SELECT DISTINCT r AS stage177_row_number FROM rows WHERE c IN (SELECT c FROM rows WHERE s IS NOT NULL GROUP BY c HAVING count(DISTINCT s) > 1)""",
 )
@@ -148,6 +151,24 @@ def p4_shares(spark, d):
     return splits.reached_shares(table(spark, d, "attribute_manifest"), table(spark, d, "split_targets"))
 
 
+@llm.add(
+    "p4_checks",
+    f"""{_SETS}, rows AS (SELECT DISTINCT r, c FROM of_row JOIN sets ON a = v)
+    SELECT count(*) AS n_rows, count(DISTINCT coalesce(c, -stage177_row_number)) AS n_sets, CAST(0 AS BIGINT) AS n_torn, CAST(0 AS BIGINT) AS n_without, true AS near FROM attribute_manifest LEFT JOIN rows ON r = stage177_row_number""",
+)
+def p4_checks(spark, d):
+    from . import splits
+
+    return splits.invariants(table(spark, d, "attribute_manifest"), table(spark, d, "split_targets"))
+
+
+@llm.add("p4_labels")
+def p4_labels(spark, d):
+    from . import splits
+
+    return splits.label_report(table(spark, d, "attribute_manifest"), table(spark, d, "split_targets"))
+
+
 _LINKS = f"""paths AS (SELECT {spell.path('image_path')} AS p, min(stage177_row_number) AS r FROM attribute_manifest GROUP BY 1),
     said AS (SELECT stage177_row_number AS a, unnest([{spell.path('stage177_exact_duplicate_of')}, {spell.path('stage177_near_duplicate_of')}]) AS p FROM attribute_manifest),
     links AS (SELECT DISTINCT a, paths.r AS b FROM said JOIN paths USING (p) WHERE a <> paths.r),
@@ -189,6 +210,20 @@ def p8_fill(spark, d):
     return packing.fill_report(table(spark, d, "documents"), table(spark, d, "pack_limits"))
 
 
+_TEXTS = "(SELECT count(DISTINCT doc_id) FROM documents WHERE text <> '')"
+
+
+@llm.add(
+    "p8_checks",
+    f"""SELECT {spell.key('container_kind')} AS container_kind, CAST(max(capacity_tokens) AS BIGINT) AS capacity, {_TEXTS} AS n_texts, CAST(0 AS BIGINT) AS n_overfull, CAST(0 AS BIGINT) AS n_torn,
+      CAST(0 AS BIGINT) AS n_unequal, true AS fits FROM pack_limits WHERE capacity_tokens > 0 AND {spell.key('container_kind')} IS NOT NULL GROUP BY 1""",
+)
+def p8_checks(spark, d):
+    from . import packing
+
+    return packing.invariants(table(spark, d, "documents"), table(spark, d, "pack_limits"))
+
+
 @llm.add("p9_mix")
 def p9_mix(spark, d):
     from . import mixing
@@ -203,6 +238,17 @@ def p9_shares(spark, d):
     return mixing.share_report(table(spark, d, "documents"), table(spark, d, "source_targets"))
 
 
+@llm.add(
+    "p9_checks",
+    f"""SELECT {spell.key('source')} AS source, sum(target_share) AS target_share, max(coalesce(max_repeats, 1)) AS max_repeats, CAST(0 AS BIGINT) AS n_beyond, CAST(0 AS BIGINT) AS n_twice, true AS near
+    FROM source_targets WHERE {spell.key('source')} IS NOT NULL AND target_share > 0 AND coalesce(max_repeats, 1) > 0 GROUP BY 1""",
+)
+def p9_checks(spark, d):
+    from . import mixing
+
+    return mixing.invariants(table(spark, d, "documents"), table(spark, d, "source_targets"))
+
+
 @llm.add("p10_found")
 def p10_found(spark, d):
     from . import truncation

@@ -7,7 +7,8 @@ with falling probability, in many blocks at once; each block runs several chains
 How it scales. A key is named by its least row, so linked sets are found on keys, not rows, and a camera with a third of
 all rows is one vertex. Sets larger than 1/`coarse` of all rows number fewer than `coarse` by arithmetic; only those are
 gathered, and placed first by a search of their own. The others are cut by hash into blocks of about `block_sets` sets,
-each of which aims at what the large sets leave over.
+each of which aims at what the large sets leave over. The MOST_LABELS most frequent labels are told apart by a dictionary,
+each with a count of its own; all others share one count, since no set can be told from another by labels that rare.
 
 Nulls, blanks and filler words are no keys; a row without any key is a set of its own. Rows without a split keep none in
 the present state, but get one. Empty tables give empty results; other columns are ignored.
@@ -25,7 +26,8 @@ from ..session import Scratch
 from .groups import hash_to_min
 
 KEYS = ("track_group", "source_group", "camera_id")
-LABEL_BINS = 12
+#: Labels that are balanced one by one; what is rarer is balanced together.
+MOST_LABELS = 63
 
 
 def row_sets(manifest: DataFrame, keys: tuple[str, ...] = KEYS, scratch: Scratch | None = None) -> DataFrame:
@@ -67,7 +69,7 @@ def anneal(sizes: np.ndarray, labels: np.ndarray, targets: np.ndarray, label_tar
     total = max(1.0, float(targets.sum()))
     load = np.concatenate([sizes[:, None] * 1.0, labels * 0.316], axis=1) / total
     want = np.concatenate([targets[:, None] * 1.0, label_targets * 0.316], axis=1) / total
-    steps = steps or int(min(60_000, 3_000 + 12 * n))
+    steps = steps or 3_000 + 12 * n
     best, best_energy = start.copy(), np.inf
     for chain in range(chains):
         rng = np.random.default_rng([seed, chain])
@@ -108,7 +110,13 @@ def anneal(sizes: np.ndarray, labels: np.ndarray, targets: np.ndarray, label_tar
 
 
 def _bins(pdf: pd.DataFrame) -> np.ndarray:
-    return np.array(pdf["labels"].tolist(), float).reshape(len(pdf), LABEL_BINS)
+    return np.array(pdf["labels"].tolist(), float).reshape(len(pdf), -1)
+
+
+def label_numbers(rows: DataFrame, most: int = MOST_LABELS) -> dict[str, int]:
+    """Numbers of the most frequent labels, ties by name; `most` rows at most reach the driver."""
+    counted = rows.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(most)
+    return {r["label"]: i for i, r in enumerate(counted.collect())}
 
 
 def set_splits(rows: DataFrame, shares: dict[str, float], scratch: Scratch, seed: int = 17, coarse: int = 500, block_sets: int = 2000) -> DataFrame:
@@ -117,17 +125,22 @@ def set_splits(rows: DataFrame, shares: dict[str, float], scratch: Scratch, seed
     names = sorted(shares)
     share = np.array([shares[s] for s in names], float)
     share = share / share.sum()
-    bin_of = F.pmod(F.xxhash64("label"), F.lit(LABEL_BINS))
-    sets = scratch.keep(rows.groupBy("set_id").agg(F.count("*").alias("n"), F.array(*[F.count_if(bin_of == i) for i in range(LABEL_BINS)]).alias("labels")), "sets")
-    whole = sets.agg(F.sum("n").alias("n"), F.count("*").alias("sets"), *[F.sum(F.col("labels")[i]).alias(f"l{i}") for i in range(LABEL_BINS)]).first()
-    total, label_total = int(whole["n"] or 0), np.array([float(whole[f"l{i}"] or 0) for i in range(LABEL_BINS)])
+    number = label_numbers(rows)
+    bins = len(number) + 1
+    of_label = [F.count_if(F.col("label") == label) for label in number]
+    counts = rows.groupBy("set_id").agg(F.count("*").alias("n"), F.array(*of_label, F.lit(0).cast("long")).alias("known"))
+    other = F.col("n") - F.aggregate("known", F.lit(0).cast("long"), lambda a, x: a + x)
+    sets = scratch.keep(counts.select("set_id", "n", F.concat(F.slice("known", 1, len(number)), F.array(other)).alias("labels")), "sets")
+    whole = sets.agg(F.sum("n").alias("n"), F.count("*").alias("sets"), *[F.sum(F.col("labels")[i]).alias(f"l{i}") for i in range(bins)]).first()
+    total, label_total = int(whole["n"] or 0), np.array([float(whole[f"l{i}"] or 0) for i in range(bins)])
     limit = max(1, total // coarse)
     large = sets.where(F.col("n") > limit).orderBy("set_id").toPandas()  # fewer than `coarse` rows
     start = np.array([_hashed(int(s), share, seed) for s in large["set_id"]], int)
-    placed = anneal(large["n"].to_numpy(float), _bins(large), share * total, share[:, None] * label_total[None, :], start, seed, chains=8)
-    taken, taken_labels = np.zeros(len(names)), np.zeros((len(names), LABEL_BINS))
+    placed = anneal(large["n"].to_numpy(float), _bins(large) if len(large) else np.zeros((0, bins)), share * total, share[:, None] * label_total[None, :], start, seed, chains=8)
+    taken, taken_labels = np.zeros(len(names)), np.zeros((len(names), bins))
     np.add.at(taken, placed, large["n"].to_numpy(float))
-    np.add.at(taken_labels, placed, _bins(large))
+    if len(large):
+        np.add.at(taken_labels, placed, _bins(large))
     rest = np.maximum(0.0, share * total - taken)
     rest = rest / rest.sum() if rest.sum() > 0 else share
     rest_labels = np.maximum(0.0, share[:, None] * label_total[None, :] - taken_labels)
@@ -180,3 +193,30 @@ def reached_shares(manifest: DataFrame, split_targets: DataFrame, scratch: Scrat
     return wanted.join(per, F.col("split") == F.col("new_split"), "left").crossJoin(total).select(
         "split", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.coalesce("n_sets", F.lit(0)).alias("n_sets"), "target_share", F.coalesce(F.try_divide("n_rows", "total"), F.lit(0.0)).alias("reached_share")
     )
+
+
+def label_report(manifest: DataFrame, split_targets: DataFrame, scratch: Scratch | None = None, **how) -> DataFrame:
+    """label, split, n_rows, reached_share (of the rows of that label), deviation from the target share."""
+    scratch = scratch or Scratch(manifest.sparkSession, "splits")
+    rows = scratch.keep(assigned_rows(manifest, split_targets, scratch, **how), "assigned")
+    label = manifest.select(F.col("stage177_row_number").cast("long").alias("stage177_row_number"), F.coalesce(normal.label("body_type"), F.lit("unknown")).alias("label")).distinct()
+    per = rows.select("stage177_row_number", "new_split").distinct().join(label, "stage177_row_number").groupBy("label", F.col("new_split").alias("split")).agg(F.count("*").alias("n_rows"))
+    wanted = split_targets.select(normal.split_name("split").alias("split"), F.col("target_share").cast("double").alias("target_share")).where("split is not null and target_share > 0").groupBy("split").agg(F.sum("target_share").alias("share"))
+    wanted = wanted.crossJoin(wanted.agg(F.sum("share").alias("all"))).select("split", (F.col("share") / F.col("all")).alias("share"))
+    totals = per.groupBy("label").agg(F.sum("n_rows").alias("total"))
+    out = totals.crossJoin(wanted).join(per, ["label", "split"], "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
+    return out.select("label", "split", "n_rows", (F.col("n_rows") / F.col("total")).alias("reached_share"), (F.col("n_rows") / F.col("total") - F.col("share")).alias("deviation"))
+
+
+def invariants(manifest: DataFrame, split_targets: DataFrame, scratch: Scratch | None = None, **how) -> DataFrame:
+    """One row of what has to hold: n_rows, n_sets, n_torn (sets in two or more splits), n_without (rows without a split of
+    the targets), near (whether every share is within one per cent of its target)."""
+    scratch = scratch or Scratch(manifest.sparkSession, "splits")
+    rows = scratch.keep(assigned_rows(manifest, split_targets, scratch, **how), "assigned")
+    shares = shares_of(split_targets)
+    whole = sum(shares.values())
+    per = rows.groupBy("set_id").agg(F.count("*").alias("n"), F.count_distinct("new_split").alias("splits"), F.count_if(~F.coalesce(F.col("new_split").isin(*shares), F.lit(False))).alias("without"), *[F.count_if(F.col("new_split") == k).alias(f"in_{i}") for i, k in enumerate(shares)])
+    near = F.lit(True)
+    for i, share in enumerate(shares.values()):
+        near = near & (F.abs(F.sum(f"in_{i}") / F.sum("n") - share / whole) <= 0.01)
+    return per.agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_sets"), F.count_if(F.col("splits") > 1).alias("n_torn"), F.sum("without").alias("n_without"), near.alias("near"))
