@@ -44,8 +44,8 @@ def solid_share() -> Column:
 
 def sized_records(documents: DataFrame, vocabulary: str = VOCABULARY, quality: Column | None = None) -> DataFrame:
     """doc_id, source, quality, tokens of every document with tokens. quality: any expression over the documents' columns."""
-    weight = F.greatest(F.coalesce((solid_share() if quality is None else quality).cast("double"), F.lit(0.0)), F.lit(LEAST_QUALITY))
-    columns = {"doc_id": F.col("doc_id").cast("long"), "source": normal.key("source"), "quality": F.when(F.isnan(weight), LEAST_QUALITY).otherwise(weight)}
+    weight = F.greatest(F.coalesce(F.nanvl((solid_share() if quality is None else quality).cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(LEAST_QUALITY))
+    columns = {"doc_id": F.col("doc_id").cast("long"), "source": normal.key("source"), "quality": weight}
     return measured(documents, columns, vocabulary).where("tokens > 0")
 
 
