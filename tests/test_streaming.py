@@ -73,3 +73,16 @@ def test_sink_can_be_repeated(spark, tmp_path):
 def test_latest_per_key(spark):
     d = spark.createDataFrame([("r", 1, "x"), ("r", 3, "y"), ("q", 2, "z")], "run string, s int, v string")
     assert sorted(tuple(r) for r in jobs.latest_per_key(d, ["run"], "s").collect()) == [("q", 2, "z", 0), ("r", 3, "y", 1)]
+
+
+def test_hourly_corrections_retract_what_they_asserted(spark, tmp_path):
+    """Late events within the cut-off correct an hour by a retraction and an assertion; later ones change nothing."""
+    at = lambda text: f"2026-03-01T{text}:00Z"
+    batches = [
+        [(at("10:05"), at("10:06"), "a"), (at("10:50"), at("10:51"), "a"), (at("10:10"), at("10:11"), "b")],
+        [(at("10:20"), at("11:10"), "a"), (at("11:01"), at("11:02"), "a"), (None, at("11:02"), "a")],
+        [(at("10:30"), at("11:20"), "a"), (at("11:30"), at("11:31"), "b")],
+    ]
+    out = drive(spark, jobs.hourly_corrections(source(spark, tmp_path, batches, "t timestamp, arrived timestamp, kind string"), "t", "arrived", "15 minutes", "2 hours", ("kind",)))
+    got = sorted((r["kind"], r["hour"].hour, r["version"], r["sign"], r["n"]) for r in out.collect())
+    assert got == [("a", 10, 0, 1, 2), ("a", 10, 1, -1, 2), ("a", 10, 1, 1, 3), ("a", 11, 0, 1, 1), ("b", 10, 0, 1, 1), ("b", 11, 0, 1, 1)]

@@ -119,6 +119,39 @@ def idempotent_sink(stream: DataFrame, path: str, keys: list[str], checkpoint: s
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def hourly_corrections(events: DataFrame, time: str, late: str) -> DataFrame:
-    """Hourly counts in update mode: an hour is sent again whenever late events within the watermark change it."""
-    return events.withWatermark(time, late).groupBy(F.window(time, "1 hour")).agg(F.count("*").alias("n")).select(F.col("window.start").alias("hour"), "n")
+def hourly_corrections(events: DataFrame, time: str, arrival: str, allowed: str, late: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, hour, version, sign, n: hourly counts as retractions and assertions, as events arrive.
+
+    The first version of an hour is asserted (sign 1). Whenever a later batch brings events that arrived within `allowed`
+    of the end of their hour, the version before is retracted (sign -1) and the new one asserted; whatever sums
+    sign * n stays right. State is one row per hour and keys, and is dropped when the watermark (`late` behind the newest
+    event) has passed the hour's cut-off. time and arrival are timestamps; null times count nowhere. Send copies of a
+    message through once_per_key() first.
+    """
+    limit = pd.Timedelta(allowed)
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        hour = pd.Timestamp(key[-1])
+        end = hour + pd.Timedelta(hours=1) + limit
+        came = sum(int((pdf[arrival] <= end).sum()) for pdf in batches)
+        version, n = state.get if state.exists else (-1, 0)
+        rows = []
+        if came:
+            rows = [(*key, version + 1, -1, n)] if version >= 0 else []
+            rows.append((*key, version + 1, 1, n + came))
+            state.update((version + 1, n + came))
+        if state.exists:
+            cut_off = int(end.timestamp() * 1000)
+            if cut_off > state.getCurrentWatermarkMs():
+                state.setTimeoutTimestamp(cut_off)
+            else:
+                state.remove()
+        yield pd.DataFrame(rows, columns=[*keys, "hour", "version", "sign", "n"])
+
+    fields = {f.name: f.dataType.simpleString() for f in events.schema}
+    ddl = "".join(f"{k} {fields[k]}, " for k in keys) + "hour timestamp, version long, sign int, n long"
+    timed = events.where(F.col(time).isNotNull()).withWatermark(time, late).withColumn("hour", F.date_trunc("hour", F.col(time)))
+    return timed.groupBy(*keys, "hour").applyInPandasWithState(step, ddl, "version long, n long", "append", GroupStateTimeout.EventTimeTimeout)
