@@ -9,6 +9,7 @@ from __future__ import annotations
 import itertools
 from fractions import Fraction
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,38 +45,62 @@ def pareto(points: DataFrame, key: str, a: str, b: str) -> DataFrame:
     return points.join(edge, a).where(F.col(b) == F.col("_top")).drop("_top", "_above")
 
 
+def chosen(points: DataFrame, passing: Column, rank: list[Column], otherwise: list[Column], last: list[Column]) -> DataFrame:
+    """points with passes and chosen: of the passing points the greatest by `rank`, and if none passes, of all the greatest
+    by `otherwise`; ties go to the first by `last`. Points are those of a parameter grid, so they fit one task."""
+    ok = F.coalesce(passing, F.lit(False))
+    order = [F.desc(ok), *[F.desc(F.when(ok, c)) for c in rank], *[F.desc(F.when(~ok, c)) for c in otherwise], *last]
+    return points.select("*", ok.alias("passes"), (F.row_number().over(Window.orderBy(*order)) == 1).alias("chosen"))
+
+
+def on_grid(swept: DataFrame, keys: list[str], step: float) -> DataFrame:
+    """A sweep brought to thresholds of a grid: of the grid steps that select the same, the strictest. One row per key and
+    step at most, whatever the number of scores."""
+    at = F.floor(F.col("threshold") / step + 1e-9).cast("long")
+    w = Window.partitionBy(*keys, "_at").orderBy("threshold")
+    first = swept.withColumn("_at", at).withColumn("_k", F.row_number().over(w)).where("_k = 1")
+    return first.withColumn("threshold", F.col("_at") * F.lit(step)).drop("_at", "_k")
+
+
 def joint_thresholds(options: list[tuple[str, int, int, float]], precision: float) -> dict:
-    """The most rows that per-class thresholds can select together at the given precision, by an exact dynamic program.
+    """The most rows that per-class thresholds can select together at the given precision: exact.
 
     options: label, selected, correct, threshold, as sweep() gives them per class; a class may also select nothing, with
-    threshold 1.01. The state is the number selected, with the most correct; equals go to the stricter thresholds. A state
-    is kept only if none that selects more has as much to spare (correct - precision * selected): whatever the other
-    classes add, it would end behind that one. This runs on the driver: its input has one row per class and step of a
-    threshold grid, whatever the number of rows.
+    threshold 1.01. Equal outcomes go to more correct rows, then to stricter thresholds (their sum).
+
+    Classes are added one after another. What matters of a choice is how many rows it selects and how much precision it
+    has to spare, correct - precision * selected, in whole numbers. Choices are arrays in the order of rows selected, of
+    which one stays only if it has more to spare than all that select more; each remembers its option and the choice it
+    was made from, so the thresholds are read backwards from the last one. Runs on the driver: its input has one row per
+    class and step of a threshold grid, whatever the number of rows.
     """
-    by_label: dict[str, dict[tuple[int, int], float]] = {}
-    for label, selected, correct, threshold in options:
-        o = by_label.setdefault(label, {(0, 0): 1.01})
-        o[selected, correct] = max(threshold, o.get((selected, correct), 0.0))
-    # whole numbers, so nothing is rounded; 0.9 means nine tenths, as it does where c / n is compared with it below
     exact = Fraction(precision).limit_denominator(10**6)
     over, under = (exact if float(exact) == precision else Fraction(precision)).as_integer_ratio()
-    spare = lambda selected, correct: correct * under - selected * over
-    labels = sorted(by_label)
-    # the most that the classes after each can still add to what is spare
-    ahead = list(itertools.accumulate((max(spare(*o) for o in by_label[label]) for label in reversed(labels[1:])), initial=0))[::-1]
-    states: dict[int, tuple[int, float, tuple]] = {0: (0, 0.0, ())}
-    for label, to_come in zip(labels, ahead, strict=False):
-        after: dict[int, tuple[int, float, tuple]] = {}
-        for (done, (right, strict, path)), ((s, c), t) in itertools.product(states.items(), by_label[label].items()):
-            if done + s not in after or (right + c, strict + t) > after[done + s][:2]:
-                after[done + s] = (right + c, strict + t, (*path, (label, t)))
-        states, most = {}, -to_come - 1
-        for n in sorted(after, reverse=True):
-            if (left := spare(n, after[n][0])) > most:
-                states[n], most = after[n], left
-    good = [(n, c / n, strict, path) for n, (c, strict, path) in states.items() if n and c / n >= precision]
-    if not good:
+    classes = []
+    for label, of in itertools.groupby(sorted(options), key=lambda o: o[0]):
+        rows = [(0, 0, 1.01), *[o[1:] for o in of]]
+        selected, correct = (np.array([r[i] for r in rows], np.int64) for i in (0, 1))
+        classes.append((label, selected, correct * under - selected * over, np.array([r[2] for r in rows])))
+    most = [int(spare.max()) for _, _, spare, _ in classes]
+    selected, spare, strict = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1)
+    steps: list[tuple[np.ndarray, np.ndarray]] = []
+    for k, (_, own, own_spare, own_strict) in enumerate(classes):
+        n, m = (np.add.outer(x, y).ravel() for x, y in ((selected, own), (spare, own_spare)))
+        t = np.add.outer(strict, own_strict).ravel()
+        order = np.lexsort((-t, -m, -n))
+        front = np.maximum.accumulate(m[order])
+        # more to spare than everything before it, and enough for the classes to come to make good
+        keep = np.concatenate(([True], front[1:] > front[:-1])) & (m[order] + sum(most[k + 1 :]) >= 0)
+        kept = order[keep]
+        selected, spare, strict = n[kept], m[kept], t[kept]
+        steps.append((kept // len(own), kept % len(own)))
+    good = np.flatnonzero((spare >= 0) & (selected > 0))
+    if not len(good):
         raise ValueError("no thresholds reach the precision")
-    n, p, _, path = max(good, key=lambda g: g[:3])
-    return {"selected": n, "precision": p, "thresholds": dict(path)}
+    at = max(good, key=lambda i: (selected[i], spare[i], strict[i]))
+    best, thresholds = int(at), {}
+    for (label, _, _, own), (before, option) in zip(reversed(classes), reversed(steps), strict=True):
+        thresholds[label] = float(own[option[at]])
+        at = before[at]
+    n = int(selected[best])
+    return {"selected": n, "precision": (int(spare[best]) + n * over) / under / n, "thresholds": dict(sorted(thresholds.items()))}

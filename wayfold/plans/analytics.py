@@ -8,6 +8,8 @@ do not depend on the order of addition.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -126,12 +128,12 @@ def a10(spark, d):
 
 @core.add(
     "a11_mean_vector",
-    """WITH v AS (SELECT label, embedding, unnest(generate_series(1, 10)) AS i FROM embeddings), m AS (SELECT label, i - 1 AS position, avg(CAST(embedding[i] AS DOUBLE)) AS mean FROM v GROUP BY 1, 2),
+    """WITH v AS (SELECT label, embedding, unnest(generate_series(1, len(embedding))) AS i FROM embeddings), m AS (SELECT label, i - 1 AS position, avg(CAST(embedding[i] AS DOUBLE)) AS mean FROM v GROUP BY 1, 2),
     k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY mean DESC, position) AS k FROM m)
     SELECT label, max(position) FILTER (k = 1) AS top, round(max(mean) FILTER (k = 1) - max(mean) FILTER (k = 2), 6) AS margin FROM k GROUP BY label""",
 )
 def a11(spark, d):
-    e = table(spark, d, "embeddings").select("label", F.slice("embedding", 1, 10).cast("array<double>").alias("v"))
+    e = table(spark, d, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("v"))
     w = Window.partitionBy("label").orderBy(F.desc("mean"), "position")
     k = V.mean_vector(e, ["label"], "v").withColumn("k", F.row_number().over(w))
     at = lambda c, i: F.max(F.when(F.col("k") == i, F.col(c)))
@@ -672,22 +674,51 @@ def c3(spark, d):
     return _swept(spark, d).where("selected >= 20 and precision >= 0.7").groupBy("label").agg(F.min("threshold").alias("threshold"))
 
 
-@core.add("c4_joint_thresholds")
+# Per class every threshold of a grid of thousandths, or none; two classes at a time, of which only those stay that have
+# more to spare (ten times correct less seven times selected) than all that select more; then both halves together.
+def _half(name: str, labels: str) -> str:
+    return f"""{name}_all AS (SELECT a.n + b.n AS n, a.s + b.s AS s, a.t + b.t AS t, a.label AS l1, a.t AS t1, b.label AS l2, b.t AS t2 FROM opt a, opt b WHERE a.label = {labels[0]} AND b.label = {labels[1]}),
+    {name} AS (SELECT * FROM (SELECT *, max(s) OVER (ORDER BY n DESC, s DESC, t DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above FROM {name}_all) WHERE above IS NULL OR s > above)"""
+
+
+@core.add(
+    "c4_joint_thresholds",
+    f"""WITH {_SWEEP}, names AS (SELECT list_sort(list(DISTINCT label)) AS l FROM sw), four AS (SELECT list_concat(l, ['~1', '~2', '~3', '~4'])[1:4] AS l FROM names),
+    opt AS (SELECT label, selected AS n, 10 * correct - 7 * selected AS s, threshold / 100 AS t FROM sw UNION ALL SELECT unnest(l), 0, 0, 1.01 FROM four),
+    {_half('ha', ('(SELECT l[1] FROM four)', '(SELECT l[2] FROM four)'))}, {_half('hb', ('(SELECT l[3] FROM four)', '(SELECT l[4] FROM four)'))},
+    best AS (SELECT ha.n + hb.n AS n, ha.s + hb.s AS s, [ha.l1, ha.l2, hb.l1, hb.l2] AS l, [ha.t1, ha.t2, hb.t1, hb.t2] AS t FROM ha, hb WHERE ha.n + hb.n > 0 AND ha.s + hb.s >= 0 ORDER BY ha.n + hb.n DESC, ha.s + hb.s DESC, ha.t + hb.t DESC LIMIT 1),
+    each AS (SELECT unnest(l) AS label, unnest(t) AS threshold, n, s FROM best)
+    SELECT label, CAST(threshold AS DOUBLE) AS threshold, CAST(n AS BIGINT) AS selected, (s + 7 * n) / 10 / n AS precision FROM each WHERE NOT starts_with(label, '~')""",
+)
 def c4(spark, d):
-    # one row per class and confidence, of which there are a hundred, whatever the number of predictions
-    steps = [(r["label"], r["selected"], r["correct"], r["threshold"] / 100) for r in _swept(spark, d).collect()]
+    # one row per class and thousandth, whatever the number of predictions
+    scored = C.sweep(pred(spark, d).where("label <> 'error'").withColumn("score", F.col("c") / 100), ["label"], "score", F.col("label") == F.col("truth"))
+    steps = [(r["label"], r["selected"], r["correct"], round(r["threshold"], 3)) for r in C.on_grid(scored, ["label"], 0.001).collect()]
     try:
         best = C.joint_thresholds(steps, 0.7)
     except ValueError:
-        return spark.createDataFrame([], "label string, threshold double, selected int, precision double")
-    return spark.createDataFrame([(k, v, best["selected"], best["precision"]) for k, v in best["thresholds"].items()], "label string, threshold double, selected int, precision double")
+        return spark.createDataFrame([], "label string, threshold double, selected long, precision double")
+    return spark.createDataFrame([(k, v, best["selected"], best["precision"]) for k, v in best["thresholds"].items()], "label string, threshold double, selected long, precision double")
+
+
+#: Ten classes; the logit of a class adds up every tenth number of the vector, so that all of it counts.
+CLASSES = 10
+
+
+def _folded(first: str, last: str, scale: int) -> str:
+    return f"list_transform(generate_series(0, {CLASSES - 1}), lambda k: {scale} * list_sum(list_transform(embedding[{first} + k : {last} : {CLASSES}], lambda x: CAST(x AS DOUBLE))))"
 
 
-_LOGITS = "l AS (SELECT vec_id, label, list_transform(embedding[1:10], lambda x: CAST(x AS DOUBLE) * 10) AS z FROM embeddings)"
+def _class_scores(vector, scale: int):
+    at = lambda k: F.filter(vector, lambda x, i: i % CLASSES == k)
+    return F.transform(F.sequence(F.lit(0), F.lit(CLASSES - 1)), lambda k: scale * F.aggregate(at(k), F.lit(0.0), lambda a, x: a + x.cast("double")))
+
+
+_LOGITS = f"l AS (SELECT vec_id, label, {_folded('1', 'len(embedding)', 4)} AS z FROM embeddings)"
 
 
 def _logits(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", "label", F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double") * 10).alias("z"))
+    return table(spark, d, "embeddings").select("vec_id", "label", _class_scores(F.col("embedding"), 4).alias("z"))
 
 
 @core.add("x6_softmax_top1", f"WITH {_LOGITS}, m AS (SELECT vec_id, z, list_max(z) AS m FROM l) SELECT vec_id, list_position(z, m) - 1 AS top, round(1 / list_sum(list_transform(z, lambda x: exp(x - m))), 6) AS confidence FROM m")
@@ -697,23 +728,44 @@ def x6(spark, d):
 
 @core.add(
     "c5_temperature_sweep",
-    f"""WITH {_LOGITS}, t AS (SELECT unnest(generate_series(2, 20)) / 4 AS t), p AS (SELECT t, list_position(z, list_max(z)) - 1 = label AS ok, round(1 / list_sum(list_transform(z, lambda x: exp((x - list_max(z)) / t))), 9) >= 0.3 AS sel FROM l, t)
-    SELECT t AS temperature, count(*) FILTER (sel) AS selected, coalesce(count(*) FILTER (sel AND ok) / nullif(count(*) FILTER (sel), 0), 0) AS precision FROM p GROUP BY t""",
+    f"""WITH {_LOGITS}, t AS (SELECT CAST(round(0.25 + unnest(generate_series(0, 190)) * 0.025, 6) AS DOUBLE) AS t), p AS (SELECT t, list_position(z, list_max(z)) - 1 = label AS ok, round(1 / list_sum(list_transform(z, lambda x: exp((x - list_max(z)) / t))), 9) >= 0.3 AS sel FROM l, t),
+    g AS (SELECT t, count(*) FILTER (sel) AS selected, coalesce(count(*) FILTER (sel AND ok) / nullif(count(*) FILTER (sel), 0), 0) AS precision, count(*) FILTER (sel) / count(*) AS coverage FROM p GROUP BY t),
+    q AS (SELECT *, selected >= 20 AND precision >= 0.12 AND coverage >= 0.05 AS passes FROM g)
+    SELECT t AS temperature, selected, precision, coverage, passes, row_number() OVER (ORDER BY passes DESC, CASE WHEN passes THEN selected END DESC, CASE WHEN passes THEN precision END DESC, CASE WHEN passes THEN t ELSE CAST(t = 1 AS INT) END DESC, t) = 1 AS chosen FROM q""",
 )
 def c5(spark, d):
-    t = spark.createDataFrame([(i / 4,) for i in range(2, 21)], "temperature double")
+    """Of the passing temperatures the one with most selected, then highest precision, then highest; if none passes, 1."""
+    t = spark.createDataFrame([(round(0.25 + i * 0.025, 6),) for i in range(191)], "temperature double")
     p = _logits(spark, d).join(F.broadcast(t)).select("temperature", (X.argmax(F.col("z")) == F.col("label")).alias("ok"), (F.round(F.array_max(X.softmax(F.col("z"), F.col("temperature"))), 9) >= 0.3).alias("sel"))
-    return p.groupBy("temperature").agg(F.count_if("sel").alias("selected"), X.ratio(F.count_if(F.col("sel") & F.col("ok")), F.count_if("sel")).alias("precision"))
+    g = p.groupBy("temperature").agg(F.count_if("sel").alias("selected"), X.ratio(F.count_if(F.col("sel") & F.col("ok")), F.count_if("sel")).alias("precision"), (F.count_if("sel") / F.count("*")).alias("coverage"))
+    passing = (F.col("selected") >= 20) & (F.col("precision") >= 0.12) & (F.col("coverage") >= 0.05)
+    return C.chosen(g, passing, [F.col("selected"), F.col("precision"), F.col("temperature")], [(F.col("temperature") == 1).cast("int")], [F.col("temperature")])
 
 
-_POINTS = f"{PRED}, pts AS (SELECT track, count(*) FILTER (label = truth AND c >= 50) / nullif(count(*) FILTER (c >= 50), 0) AS p, count(*) FILTER (c >= 50) / count(*) AS v FROM pred GROUP BY track HAVING count(*) FILTER (c >= 50) > 0)"
+_POINTS = f"""{PRED}, seq AS (SELECT track, label, truth, c, lag(label) OVER (PARTITION BY track ORDER BY id) AS before FROM pred),
+  pts AS (SELECT track, count(*) FILTER (label = truth AND c >= 50) / nullif(count(*) FILTER (c >= 50), 0) AS p, count(*) FILTER (c >= 50) / count(*) AS v, coalesce(count(*) FILTER (label = before) / nullif(count(before), 0), 1) AS s FROM seq GROUP BY track HAVING count(*) FILTER (c >= 50) > 0)"""
 
 
-@core.add("c7_pareto", f"WITH {_POINTS} SELECT track, p, v FROM pts x WHERE NOT EXISTS (SELECT 1 FROM pts y WHERE y.p >= x.p AND y.v >= x.v AND (y.p > x.p OR y.v > x.v))")
+@core.add(
+    "c7_pareto",
+    f"""WITH {_POINTS}, st AS (SELECT * FROM pts WHERE s >= 0.3), ranked AS (SELECT *, CASE WHEN p >= 0.7 AND v >= 0.45 AND s >= 0.3 THEN 2 WHEN p >= 0.7 AND s >= 0.3 THEN 1 ELSE 0 END AS tier FROM pts),
+    pick AS (SELECT track, row_number() OVER (ORDER BY tier DESC, CASE WHEN tier > 0 THEN v ELSE p END DESC, CASE WHEN tier > 0 THEN p ELSE s END DESC, CASE WHEN tier > 0 THEN s ELSE v END DESC, track) = 1 AS chosen FROM ranked),
+    front AS (SELECT track FROM st x WHERE NOT EXISTS (SELECT 1 FROM st y WHERE y.p >= x.p AND y.v >= x.v AND (y.p > x.p OR y.v > x.v)))
+    SELECT track, p, v, s, tier = 2 AS passes, track IN (SELECT track FROM front) AS frontier, chosen FROM ranked JOIN pick USING (track) WHERE chosen OR track IN (SELECT track FROM front)""",
+)
 def c7(spark, d):
+    """The frontier of precision and coverage among stable points, and the point chosen: the most coverage among those that
+    pass all gates, else among the precise and stable ones; if there are none, the most precise."""
     sel = F.col("c") >= 50
-    pts = pred(spark, d).groupBy("track").agg(F.try_divide(F.count_if(sel & (F.col("label") == F.col("truth"))), F.count_if(sel)).alias("p"), (F.count_if(sel) / F.count("*")).alias("v")).where("p is not null")
-    return C.pareto(pts, "track", "p", "v").select("track", "p", "v")
+    seq = pred(spark, d).withColumn("before", F.lag("label").over(Window.partitionBy("track").orderBy("id")))
+    kept = F.coalesce(F.try_divide(F.count_if(F.col("label") == F.col("before")), F.count("before")), F.lit(1.0))
+    pts = seq.groupBy("track").agg(F.try_divide(F.count_if(sel & (F.col("label") == F.col("truth"))), F.count_if(sel)).alias("p"), (F.count_if(sel) / F.count("*")).alias("v"), kept.alias("s")).where("p is not null")
+    precise, steady = F.col("p") >= 0.7, F.col("s") >= 0.3
+    tier = F.when(precise & steady & (F.col("v") >= 0.45), 2).when(precise & steady, 1).otherwise(0)
+    ranked = C.chosen(pts.withColumn("tier", tier), F.col("tier") > 0, [F.col(c) for c in ("tier", "v", "p", "s")], [F.col(c) for c in ("p", "s", "v")], [F.col("track")])
+    front = C.pareto(pts.where(steady), "track", "p", "v").select("track", F.lit(True).alias("frontier"))
+    out = ranked.join(front, "track", "left").where("chosen or frontier")
+    return out.select("track", "p", "v", "s", (F.col("tier") == 2).alias("passes"), F.coalesce("frontier", F.lit(False)).alias("frontier"), "chosen")
 
 
 @core.add(
@@ -729,14 +781,26 @@ def c8(spark, d):
 
 @core.add(
     "c9_rule_grid",
-    f"""WITH {PRED}, g AS (SELECT f, m FROM (SELECT unnest([40, 60, 80]) AS f), (SELECT unnest([1, 2, 3]) AS m)), v AS (SELECT f, m, track, label, count(*) AS n, count(*) FILTER (label = truth) AS ok FROM pred, g WHERE c >= f AND domain < m + 1 GROUP BY 1, 2, 3, 4)
-    SELECT f AS floor, m AS views, count(*) AS decisions, CAST(sum(n) AS BIGINT) AS rows, CAST(sum(ok) AS BIGINT) AS correct FROM v WHERE n >= m GROUP BY 1, 2""",
+    f"""WITH {PRED}, g AS (SELECT f, m FROM (SELECT unnest([40, 60, 80]) AS f), (SELECT unnest([1, 2, 3]) AS m)), v AS (SELECT f, m, track, label, count(*) AS n, count(*) FILTER (label = truth) AS ok FROM pred, g WHERE c >= f AND domain < m + 1 GROUP BY 1, 2, 3, 4),
+    per AS (SELECT f, m, label, count(*) AS decisions, CAST(sum(n) AS BIGINT) AS rows, CAST(sum(ok) AS BIGINT) AS correct FROM v WHERE n >= m GROUP BY 1, 2, 3),
+    a AS (SELECT f, m, CAST(sum(decisions) AS BIGINT) AS decisions, CAST(sum(rows) AS BIGINT) AS rows, CAST(sum(correct) AS BIGINT) AS correct, count(*) FILTER (rows >= 10 AND correct / rows >= 0.7) AS classes FROM per GROUP BY 1, 2),
+    w AS (SELECT *, correct / rows AS precision, round((correct / rows + 1.96 * 1.96 / (2 * rows) - 1.96 * sqrt((correct / rows * (1 - correct / rows) + 1.96 * 1.96 / (4 * rows)) / rows)) / (1 + 1.96 * 1.96 / rows), 9) AS wilson FROM a),
+    q AS (SELECT *, rows >= 150 AND precision >= 0.7 AND wilson >= 0.65 AND classes >= 1 AS passes FROM w)
+    SELECT f AS floor, m AS views, decisions, rows, correct, classes, precision, wilson, passes, row_number() OVER (ORDER BY passes DESC, CASE WHEN passes THEN rows ELSE precision END DESC, CASE WHEN passes THEN precision ELSE rows END DESC, f, m) = 1 AS chosen FROM q""",
 )
 def c9(spark, d):
+    """Each rule with its gates: rows selected, precision, its lower Wilson bound, classes that are precise enough; chosen is
+    the passing rule that selects most, else the most precise."""
     g = spark.createDataFrame([(f, m) for f in (40, 60, 80) for m in (1, 2, 3)], "floor int, views int")
     p = pred(spark, d).join(F.broadcast(g), (F.col("c") >= F.col("floor")) & (F.col("domain") < F.col("views") + 1))
     v = p.groupBy("floor", "views", "track", "label").agg(F.count("*").alias("n"), F.count_if(F.col("label") == F.col("truth")).alias("ok")).where("n >= views")
-    return v.groupBy("floor", "views").agg(F.count("*").alias("decisions"), F.sum("n").alias("rows"), F.sum("ok").alias("correct"))
+    per = v.groupBy("floor", "views", "label").agg(F.count("*").alias("decisions"), F.sum("n").alias("rows"), F.sum("ok").alias("correct"))
+    a = per.groupBy("floor", "views").agg(*[F.sum(c).alias(c) for c in ("decisions", "rows", "correct")], F.count_if((F.col("rows") >= 10) & (F.col("correct") / F.col("rows") >= 0.7)).alias("classes"))
+    share, n, z = F.col("correct") / F.col("rows"), F.col("rows"), 1.96
+    wilson = (share + z * z / (2 * n) - z * F.sqrt((share * (1 - share) + z * z / (4 * n)) / n)) / (1 + z * z / n)
+    a = a.withColumn("precision", share).withColumn("wilson", F.round(wilson, 9))
+    passing = (n >= 150) & (F.col("precision") >= 0.7) & (F.col("wilson") >= 0.65) & (F.col("classes") >= 1)
+    return C.chosen(a, passing, [F.col("rows"), F.col("precision")], [F.col("precision"), F.col("rows")], [F.col("floor"), F.col("views")])
 
 
 @core.add(
@@ -750,28 +814,57 @@ def c10(spark, d):
     return best.select("domain", "threshold", F.col("selected").alias("predicted"), F.col("correct").alias("tp"))
 
 
+_ROUTER = {"base_gate": (80, 85, 90, 95), "candidate_gate": tuple(range(45, 95, 5)), "margin": (-10, -5, 0, 5), "accept": tuple(range(45, 85, 5))}
+_ROUTER_SQL = ", ".join(f"(SELECT unnest({list(v)}) AS {k})" for k, v in _ROUTER.items())
+
+
 @core.add(
     "c11_router_grid",
-    f"""WITH {PRED}, b AS (SELECT id, c AS base, (c * 13 + id) % 100 AS cand, label = truth AS ok, truth = 'click' AS cok FROM pred), g AS (SELECT lo, hi FROM (SELECT unnest([30, 50, 70]) AS lo), (SELECT unnest([40, 60, 80]) AS hi))
-    SELECT lo, hi, count(*) FILTER (base < lo AND cand >= hi AND cand >= base + 5) AS routed, count(*) FILTER (CASE WHEN base < lo AND cand >= hi AND cand >= base + 5 THEN cok ELSE ok END) AS correct FROM b, g GROUP BY 1, 2""",
+    f"""WITH {PRED}, b AS (SELECT CASE WHEN label = 'error' THEN 0 ELSE c END AS base, (c * 13 + id) % 100 AS cand, label <> 'error' AS named, label = truth AS ok, truth = 'click' AS cok FROM pred), g AS (SELECT * FROM {_ROUTER_SQL}),
+    r AS (SELECT g.*, base < base_gate AND cand >= candidate_gate AND cand >= base + margin AS routed, base, cand, named, ok, cok FROM b, g),
+    s AS (SELECT *, CASE WHEN routed THEN cand >= accept ELSE named AND base >= 80 END AS sel, CASE WHEN routed THEN cok ELSE ok END AS good FROM r),
+    m AS (SELECT base_gate, candidate_gate, margin, accept, count(*) FILTER (routed) AS routed, count(*) FILTER (sel) AS selected, coalesce(count(*) FILTER (sel AND good) / nullif(count(*) FILTER (sel), 0), 0) AS precision, count(*) FILTER (sel) / count(*) AS coverage FROM s GROUP BY 1, 2, 3, 4),
+    q AS (SELECT *, precision >= 0.7 AS passes FROM m)
+    SELECT *, row_number() OVER (ORDER BY passes DESC, CASE WHEN passes THEN coverage ELSE precision END DESC, CASE WHEN passes THEN precision END DESC, base_gate, candidate_gate, margin, accept) = 1 AS chosen FROM q""",
 )
 def c11(spark, d):
-    b = pred(spark, d).select(F.col("c").alias("base"), ((F.col("c") * 13 + F.col("id")) % 100).alias("cand"), (F.col("label") == F.col("truth")).alias("ok"), (F.col("truth") == "click").alias("cok"))
-    g = spark.createDataFrame([(lo, hi) for lo in (30, 50, 70) for hi in (40, 60, 80)], "lo int, hi int")
-    routed = (F.col("base") < F.col("lo")) & (F.col("cand") >= F.col("hi")) & (F.col("cand") >= F.col("base") + 5)
-    return C.grid(b, g, ["lo", "hi"], routed=F.count_if(routed), correct=F.count_if(F.when(routed, F.col("cok")).otherwise(F.col("ok"))))
+    """A row goes to the candidate if the base is unsure and the candidate sure and ahead by the margin; it is accepted by a
+    gate of its own. Chosen is the most coverage at the precision wanted, else the most precise. 'error' is no prediction."""
+    named = F.col("label") != "error"
+    b = pred(spark, d).select(F.when(named, F.col("c")).otherwise(0).alias("base"), ((F.col("c") * 13 + F.col("id")) % 100).alias("cand"), named.alias("named"), (F.col("label") == F.col("truth")).alias("ok"), (F.col("truth") == "click").alias("cok"))
+    b = b.groupBy("base", "cand", "named", "ok", "cok").agg(F.count("*").alias("w"))  # the grid meets distinct scores, not rows
+    g = spark.createDataFrame(list(itertools.product(*_ROUTER.values())), ", ".join(f"{k} int" for k in _ROUTER))
+    routed = (F.col("base") < F.col("base_gate")) & (F.col("cand") >= F.col("candidate_gate")) & (F.col("cand") >= F.col("base") + F.col("margin"))
+    sel = F.when(routed, F.col("cand") >= F.col("accept")).otherwise(F.col("named") & (F.col("base") >= 80))
+    good = F.when(routed, F.col("cok")).otherwise(F.col("ok"))
+    count = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("w"))), F.lit(0)).cast("long")
+    m = C.grid(b, g, list(_ROUTER), routed=count(routed), selected=count(sel), right=count(sel & good), n=F.sum("w"))
+    m = m.select(*_ROUTER, "routed", "selected", X.ratio("right", "selected").alias("precision"), (F.col("selected") / F.col("n")).alias("coverage"))
+    return C.chosen(m, F.col("precision") >= 0.7, [F.col("coverage"), F.col("precision")], [F.col("precision")], [F.col(k) for k in _ROUTER])
+
+
+_SOFT = lambda z: f"list_transform({z}, lambda x: exp(x - list_max({z})) / list_sum(list_transform({z}, lambda y: exp(y - list_max({z})))))"
 
 
 @core.add(
     "c12_probability_blend",
-    """WITH v AS (SELECT label, list_transform(embedding[1:10], lambda x: CAST(x AS DOUBLE)) AS a, list_transform(embedding[11:20], lambda x: CAST(x AS DOUBLE)) AS b FROM embeddings), w AS (SELECT unnest(generate_series(0, 4)) / 4 AS alpha),
-    z AS (SELECT alpha, label, list_transform(generate_series(1, 10), lambda i: alpha * a[i] + (1 - alpha) * b[i]) AS z FROM v, w) SELECT alpha, count(*) AS n, count(*) FILTER (list_position(z, list_max(z)) - 1 = label) AS correct FROM z GROUP BY alpha""",
+    f"""WITH v AS (SELECT label, {_folded('1', 'len(embedding) // 2', 6)} AS a, {_folded('len(embedding) // 2 + 1', 'len(embedding)', 6)} AS b FROM embeddings), s AS (SELECT label, {_SOFT('a')} AS a, {_SOFT('b')} AS b FROM v),
+    w AS (SELECT unnest(generate_series(0, 20)) / 20 AS alpha), z AS (SELECT alpha, label, list_transform(generate_series(1, {CLASSES}), lambda i: round(alpha * a[i] + (1 - alpha) * b[i], 9)) AS z FROM s, w),
+    m AS (SELECT alpha, count(*) AS n, count(*) FILTER (list_max(z) >= 0.3) AS selected, count(*) FILTER (list_max(z) >= 0.3 AND list_position(z, list_max(z)) - 1 = label) AS correct FROM z GROUP BY alpha),
+    q AS (SELECT *, coalesce(correct / nullif(selected, 0), 0) AS precision, selected / n AS coverage, coalesce(correct / nullif(selected, 0), 0) >= 0.1 AND selected / n >= 0.1 AS passes FROM m)
+    SELECT *, row_number() OVER (ORDER BY passes DESC, CASE WHEN passes THEN coverage ELSE CAST(alpha = 1 AS INT) END DESC, CASE WHEN passes THEN precision END DESC, alpha) = 1 AS chosen FROM q""",
 )
 def c12(spark, d):
-    e = table(spark, d, "embeddings").select("label", F.slice("embedding", 1, 10).cast("array<double>").alias("a"), F.slice("embedding", 11, 10).cast("array<double>").alias("b"))
-    w = spark.createDataFrame([(i / 4,) for i in range(5)], "alpha double")
-    z = e.join(F.broadcast(w)).select("alpha", "label", F.zip_with("a", "b", lambda x, y: F.col("alpha") * x + (1 - F.col("alpha")) * y).alias("z"))
-    return z.groupBy("alpha").agg(F.count("*").alias("n"), F.count_if(X.argmax(F.col("z")) == F.col("label")).alias("correct"))
+    """Two models' probabilities mixed: chosen is the passing share with most coverage, then precision; if none passes, 1."""
+    half = F.call_function("div", F.size("embedding"), F.lit(2)).cast("int")
+    parts = [X.softmax(_class_scores(v, 6)) for v in (F.slice("embedding", F.lit(1), half), F.slice("embedding", half + 1, F.size("embedding")))]
+    e = table(spark, d, "embeddings").select("label", *[p.alias(n) for p, n in zip(parts, "ab", strict=True)])
+    w = spark.createDataFrame([(i / 20,) for i in range(21)], "alpha double")
+    z = e.join(F.broadcast(w)).select("alpha", "label", F.zip_with("a", "b", lambda x, y: F.round(F.col("alpha") * x + (1 - F.col("alpha")) * y, 9)).alias("z"))
+    sure = F.array_max("z") >= 0.3
+    m = z.groupBy("alpha").agg(F.count("*").alias("n"), F.count_if(sure).alias("selected"), F.count_if(sure & (X.argmax(F.col("z")) == F.col("label"))).alias("correct"))
+    m = m.withColumn("precision", X.ratio("correct", "selected")).withColumn("coverage", F.col("selected") / F.col("n"))
+    return C.chosen(m, (F.col("precision") >= 0.1) & (F.col("coverage") >= 0.1), [F.col("coverage"), F.col("precision")], [(F.col("alpha") == 1).cast("int")], [F.col("alpha")])
 
 
 # ---- audits
