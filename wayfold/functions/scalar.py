@@ -117,3 +117,13 @@ def hmac_sha256(secret: str):
         return pd.Series([None if t is None or b is None else hmac.new(key, f"{t}\n{b}".encode(), hashlib.sha256).hexdigest() for t, b in zip(timestamp, body, strict=True)])
 
     return sign
+
+
+def dhash_bits(values: Column, right_greater: bool = True, rows: int = 8, columns: int = 8) -> Column:
+    """The bits of a difference hash, row by row, as text: 1 where a value is less than its right neighbour, or by the other
+    convention where it is greater. values: rows of columns + 1 brightness values. Hashes of the two conventions are
+    never equal for the same picture and must not be compared."""
+    left = lambda i: F.get(values, F.call_function("div", i, F.lit(columns)).cast("int") * (columns + 1) + i % columns)
+    right = lambda i: F.get(values, F.call_function("div", i, F.lit(columns)).cast("int") * (columns + 1) + i % columns + 1)
+    bit = lambda i: F.when(right(i) > left(i) if right_greater else left(i) > right(i), "1").otherwise("0")
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(rows * columns - 1)), bit), "")

@@ -81,3 +81,19 @@ def pressure_sweep(frames: DataFrame, target: Column, size: str = "size_bytes",
     s = F.coalesce(F.col(size), F.lit(0))
     f = frames.withColumn("_before", F.coalesce(F.sum(s).over(upto), F.lit(0))).withColumn("_total", F.sum(s).over(whole))
     return f.where(F.col("_before") < F.col("_total") - target).drop("_before", "_total")
+
+
+def sticky_shards(keys: DataFrame, held: DataFrame, shards: int, key: str, order: str) -> DataFrame:
+    """key, shard, held: keys that have a shard keep it; the others, in their order, go to the least loaded shard, and among
+    equally loaded ones to the lowest first.
+
+    In closed form: a shard offers a slot on every level from its load up, and the k-th new key takes the k-th slot by
+    level and shard. Slots are made for as many levels as there are new keys; new keys are ranked in one task, as they
+    are cameras or workers, not events. held: key, shard.
+    """
+    fresh = keys.join(held.select(key), key, "left_anti").select(key, F.row_number().over(Window.orderBy(order, key)).alias("_k"))
+    loads = keys.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard")).join(held.groupBy("shard").agg(F.count("*").alias("_load")), "shard", "left").select("shard", F.coalesce("_load", F.lit(0)).alias("_load"))
+    most = loads.agg(F.max("_load").alias("_most")).crossJoin(fresh.agg(F.count("*").alias("_new")))  # one row
+    levels = loads.crossJoin(most).select("shard", F.explode(F.sequence(F.col("_load"), F.col("_most") + F.col("_new"))).alias("_level"))
+    slots = levels.select("shard", F.row_number().over(Window.orderBy("_level", "shard")).alias("_k"))
+    return held.select(key, "shard", F.lit(True).alias("held")).union(fresh.join(slots, "_k").select(key, "shard", F.lit(False)))

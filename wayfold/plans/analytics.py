@@ -20,6 +20,7 @@ from ..operators import calibration as C
 from ..operators import consensus as V
 from ..operators import sampling as S
 from ..operators import similarity as H
+from ..session import Scratch
 from ..sources.tables import table
 from . import spell
 from .registry import core
@@ -50,16 +51,49 @@ def manifest(spark, d):
 
 SPLIT, BODY, COLOR = spell.split_name("split"), spell.key("body_type"), spell.color("color")
 
+def _yes(c):
+    return f"lower(trim(coalesce({c}, ''), ' ')) IN ('1', 'true', 'yes', 'y', 'on')"
+
+
 # ---- counts
 
 
+#: The counters of a manifest: one key or two, joined by a bar.
+_COUNTERS = {"split": 1, "source": 1, "license": 1, "body": 1, "color": 1, "split|body": 2, "split|color": 2, "source|body": 2, "source|color": 2, "split|source": 2}
+_SETS = [tuple(k.split("|")) for k in _COUNTERS]
+
+
+def _name_sql(names=("split", "source", "license", "body", "color")) -> tuple[str, str]:
+    case = "CASE " + " ".join("WHEN " + " AND ".join(f"grouping({n}) = {int(n not in s)}" for n in names) + f" THEN '{'|'.join(s)}'" for s in _SETS) + " END"
+    key = "CASE " + " ".join("WHEN " + " AND ".join(f"grouping({n}) = {int(n not in s)}" for n in names) + f" THEN {' || chr(124) || '.join(s)}" for s in _SETS) + " END"
+    return case, key
+
+
 @core.add(
     "a3_group_counters",
-    f"WITH m AS (SELECT coalesce({SPLIT}, 'none') AS split, coalesce({BODY}, 'none') AS body FROM attribute_manifest) SELECT split, body, count(*) AS n, CAST(grouping(split) * 2 + grouping(body) AS BIGINT) AS level FROM m GROUP BY GROUPING SETS ((split), (body), (split, body), ())",
+    f"""WITH m AS (SELECT coalesce({SPLIT}, 'unknown') AS split, coalesce({spell.key('source_dataset')}, 'unknown') AS source, coalesce({spell.key('source_license')}, 'unknown') AS license,
+      CASE WHEN {_yes('body_type_supervised')} THEN {BODY} END AS body, CASE WHEN {_yes('color_supervised')} THEN {COLOR} END AS color,
+      unnest([{', '.join(f"CASE WHEN {_yes(t)} THEN '{t}' END" for t in ('blur', 'occluded', 'truncated', 'night'))}]) AS tag, unnest([1, 2, 3, 4]) AS i FROM attribute_manifest),
+    c AS (SELECT {_name_sql()[0]} AS counter, {_name_sql()[1]} AS key, count(*) AS n FROM m WHERE i = 1 GROUP BY GROUPING SETS ({', '.join('(' + ', '.join(s) + ')' for s in _SETS)}))
+    SELECT counter, key, n FROM c WHERE key IS NOT NULL UNION ALL SELECT 'hard_tags', tag, count(*) FROM m WHERE tag IS NOT NULL GROUP BY tag""",
 )
 def a3(spark, d):
-    m = manifest(spark, d).select(F.coalesce(normal.split_name("split"), F.lit("none")).alias("split"), F.coalesce(normal.label("body_type"), F.lit("none")).alias("body"))
-    return m.groupingSets([[m["split"]], [m["body"]], [m["split"], m["body"]], []], "split", "body").agg(F.count("*").alias("n"), F.grouping_id().alias("level"))
+    """Eleven counters in one pass of grouping sets, and the tags. Labels count where they are supervised and known."""
+    known = lambda c: F.coalesce(c, F.lit("unknown"))
+    m = manifest(spark, d).select(
+        known(normal.split_name("split")).alias("split"), known(normal.key("source_dataset")).alias("source"), known(normal.key("source_license")).alias("license"),
+        F.when(P.truthy("body_type_supervised"), normal.label("body_type")).alias("body"), F.when(P.truthy("color_supervised"), normal.color("color")).alias("color"),
+        F.array_compact(F.array(*[F.when(P.truthy(t), F.lit(t)) for t in ("blur", "occluded", "truncated", "night")])).alias("tags"),
+    )
+    names = ["split", "source", "license", "body", "color"]
+    g = m.groupingSets([[m[n] for n in s] for s in _SETS], *names).agg(F.count("*").alias("n"), F.grouping_id().alias("level"))
+    counter = key = F
+    for s in _SETS:
+        here = F.col("level") == sum(1 << (len(names) - 1 - i) for i, n in enumerate(names) if n not in s)
+        counter = counter.when(here, "|".join(s))
+        key = key.when(here, F.concat(*[x for n in s for x in (F.lit("|"), F.col(n))][1:]))
+    tags = m.select(F.explode("tags").alias("key")).groupBy("key").agg(F.count("*").alias("n")).select(F.lit("hard_tags").alias("counter"), "key", "n")
+    return g.select(counter.alias("counter"), key.alias("key"), "n").where("key is not null").union(tags)
 
 
 @core.add("a4_tag_counts", "SELECT tag, count(*) AS n FROM (SELECT unnest(algorithms) AS tag FROM camera_task_commands) WHERE tag <> '' GROUP BY tag")
@@ -140,17 +174,25 @@ def a11(spark, d):
     return k.groupBy("label").agg(at("position", 1).cast("long").alias("top"), F.round(at("mean", 1) - at("mean", 2), 6).alias("margin"))
 
 
+_WEATHER = {"rain": "rain|regen|lluvia|大雨", "fog": "fog|nebel|niebla|浓雾", "snow": "snow|schnee|nieve|小雪"}
+#: What a text is about if it is about none of the labels: it says nothing, whatever else it mentions.
+_NOT_MEANT = "power supply|netzteil|fuente|电源"
+
+
 @core.add(
     "a31_text_consensus",
-    """WITH t AS (SELECT coalesce(task_id, '') AS task_id, regexp_matches(lower(text), 'rain|regen|lluvia|大雨') AS r, regexp_matches(lower(text), 'fog|nebel|niebla|浓雾') AS f, regexp_matches(lower(text), 'snow|schnee|nieve|小雪') AS s FROM documents WHERE text IS NOT NULL),
-    u AS (SELECT task_id, CASE WHEN r THEN 'rain' WHEN f THEN 'fog' ELSE 'snow' END AS label FROM t WHERE CAST(r AS INT) + CAST(f AS INT) + CAST(s AS INT) = 1)
-    SELECT task_id, count(*) AS usable, CASE WHEN count(*) < 2 THEN 'too_few' WHEN count(DISTINCT label) > 1 THEN 'conflict' ELSE 'agreed' END AS reason FROM u GROUP BY task_id""",
+    f"""WITH t AS (SELECT coalesce(task_id, '') AS task_id, {', '.join(f"CAST(regexp_matches(lower(text), '{p}') AS INT) AS {n}" for n, p in _WEATHER.items())}, regexp_matches(lower(text), '{_NOT_MEANT}') AS other FROM documents WHERE text IS NOT NULL),
+    u AS (SELECT task_id, CASE WHEN rain = 1 THEN 'rain' WHEN fog = 1 THEN 'fog' ELSE 'snow' END AS label FROM t WHERE rain + fog + snow = 1 AND NOT other)
+    SELECT task_id, count(*) AS usable, CASE WHEN count(DISTINCT label) = 1 AND count(*) >= 2 THEN min(label) ELSE 'unknown' END AS label, CASE WHEN count(DISTINCT label) > 1 THEN 'conflict' WHEN count(*) < 2 THEN 'too_few' ELSE 'agreed' END AS reason FROM u GROUP BY task_id""",
 )
 def a31(spark, d):
-    has = lambda p: F.lower("text").rlike(p)
-    t = table(spark, d, "documents").where("text is not null").select(F.coalesce("task_id", F.lit("")).alias("task_id"), has("rain|regen|lluvia|大雨").alias("r"), has("fog|nebel|niebla|浓雾").alias("f"), has("snow|schnee|nieve|小雪").alias("s"))
-    u = t.where(F.col("r").cast("int") + F.col("f").cast("int") + F.col("s").cast("int") == 1).select("task_id", F.when(F.col("r"), "rain").when(F.col("f"), "fog").otherwise("snow").alias("label"))
-    return u.groupBy("task_id").agg(F.count("*").alias("usable"), P.first_reason(("too_few", F.count("*") < 2), ("conflict", F.count_distinct("label") > 1), otherwise="agreed").alias("reason"))
+    """A text counts if it matches exactly one label and nothing that voids it; a task's texts have to agree, two at least."""
+    has = {n: F.lower("text").rlike(p) for n, p in _WEATHER.items()}
+    t = table(spark, d, "documents").where("text is not null").select(F.coalesce("task_id", F.lit("")).alias("task_id"), *[c.alias(n) for n, c in has.items()], F.lower("text").rlike(_NOT_MEANT).alias("other"))
+    u = t.where((sum(F.col(n).cast("int") for n in _WEATHER) == 1) & ~F.col("other")).select("task_id", F.when(F.col("rain"), "rain").when(F.col("fog"), "fog").otherwise("snow").alias("label"))
+    g = u.groupBy("task_id").agg(F.count("*").alias("usable"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    reason = P.first_reason(("conflict", F.col("lo") != F.col("hi")), ("too_few", F.col("usable") < 2), otherwise="agreed")
+    return g.select("task_id", "usable", F.when(reason == "agreed", F.col("lo")).otherwise("unknown").alias("label"), reason.alias("reason"))
 
 
 @core.add(
@@ -177,11 +219,18 @@ def a25(spark, d):
 
 @core.add(
     "a24_scene_groups",
-    f"SELECT video_id, count(*) AS n, avg(CASE WHEN lower(trim(stage177_scene_label, ' ')) = 'night' THEN 1.0 ELSE 0.0 END) AS fraction, median(try_cast(stage177_mean_luma AS DOUBLE)) AS luma FROM attribute_manifest GROUP BY video_id HAVING count(*) >= 3",
+    f"SELECT video_id, count(*) AS n, avg(CASE WHEN lower(trim(stage177_scene_label, ' ')) = 'night' THEN 1.0 ELSE 0.0 END) AS fraction, avg(CASE WHEN try_cast(stage177_mean_luma AS DOUBLE) <= 89.25 THEN 1.0 ELSE 0.0 END) AS dark, median(1 - try_cast(stage177_mean_luma AS DOUBLE) / 255) AS score,"
+    " coalesce(dark >= 0.8 AND score >= 0.65, false) AS low_light, coalesce(fraction >= 0.8 AND score >= 0.78, false) AS night FROM attribute_manifest WHERE video_id IS NOT NULL GROUP BY video_id HAVING count(*) >= 3",
 )
 def a24(spark, d):
-    g = manifest(spark, d).groupBy("video_id").agg(F.count("*").alias("n"), F.avg(F.when(F.lower(F.trim("stage177_scene_label")) == "night", 1.0).otherwise(0.0)).alias("fraction"), F.median(F.col("stage177_mean_luma").try_cast("double")).alias("luma"))
-    return g.where("n >= 3")
+    """Scenes of at least three pictures and what they agree on: a share of 0.8 and a median score (darkness) of 0.65 or 0.78."""
+    luma = F.col("stage177_mean_luma").try_cast("double")
+    share = lambda cond: F.avg(F.when(cond, 1.0).otherwise(0.0))
+    g = manifest(spark, d).where("video_id is not null").groupBy("video_id").agg(
+        F.count("*").alias("n"), share(F.lower(F.trim("stage177_scene_label")) == "night").alias("fraction"), share(luma <= 89.25).alias("dark"), F.median(1 - luma / 255).alias("score")
+    ).where("n >= 3")
+    agreed = lambda c, score: F.coalesce((F.col(c) >= 0.8) & (F.col("score") >= score), F.lit(False))
+    return g.withColumn("low_light", agreed("dark", 0.65)).withColumn("night", agreed("fraction", 0.78))
 
 
 # ---- metrics
@@ -299,7 +348,7 @@ def w5(spark, d):
 @core.add(
     "a20_percentiles",
     f"""WITH {OBS}, r AS (SELECT track, c, row_number() OVER (PARTITION BY track ORDER BY c, pos) - 1 AS i, count(*) OVER (PARTITION BY track) AS n FROM obs)
-    SELECT track, max(c) FILTER (i = round_even((n - 1) * 0.95, 0)) AS half_even, max(c) FILTER (i = CAST(floor(least(n - 1, n * 0.95)) AS BIGINT)) AS truncated, max(c) FILTER (i = CAST(ceil(n * 0.95) AS BIGINT) - 1) AS ceiling_rank, round(quantile_cont(c, 0.95), 6) AS linear FROM r GROUP BY track""",
+    SELECT track, max(c) FILTER (i = round_even((n - 1) * 0.95, 0)) AS half_even, max(c) FILTER (i = CAST(floor(least(n - 1, n * 0.95)) AS BIGINT)) AS truncated, max(c) FILTER (i = CAST(ceil(n * 0.95) AS BIGINT) - 1) AS ceiling_rank, least(CAST(floor(max(c) FILTER (i = CAST(ceil(n * 0.95) AS BIGINT) - 1) / 0.5) AS BIGINT), 201) * CAST(0.5 AS DOUBLE) AS histogram_rank, round(quantile_cont(c, 0.95), 6) AS linear FROM r GROUP BY track""",
 )
 def a20(spark, d):
     w = Window.partitionBy("track")
@@ -310,7 +359,9 @@ def a20(spark, d):
     last = (F.col("n") - 1).cast("decimal(20,0)")
     return r.groupBy("track").agg(
         at(F.bround(last * F.lit("0.95").cast("decimal(3,2)"))).alias("half_even"), at(F.floor(F.least(last.cast("decimal(23,2)"), dec.cast("decimal(23,2)")))).alias("truncated"),
-        at(F.ceil(dec) - 1).alias("ceiling_rank"), F.round(F.percentile("c", 0.95), 6).alias("linear"),
+        at(F.ceil(dec) - 1).alias("ceiling_rank"),
+        # the bucket in which a histogram of 202 buckets of 0.5 reaches that rank is the bucket of the value of that rank
+        (F.least(F.floor(at(F.ceil(dec) - 1) / 0.5), F.lit(201)) * 0.5).alias("histogram_rank"), F.round(F.percentile("c", 0.95), 6).alias("linear"),
     )
 
 
@@ -340,10 +391,6 @@ def a26(spark, d):
     return g.select("label", "n", F.round(rs / F.avg(rs).over(w), 6).alias("weight"), F.round(F.least(F.lit(4.0), F.sqrt(F.max("n").over(w) / F.col("n"))), 6).alias("sampler"))
 
 
-def _yes(c):
-    return f"lower(trim(coalesce({c}, ''), ' ')) IN ('1', 'true', 'yes', 'y', 'on')"
-
-
 @core.add(
     "a27_row_weight",
     f"SELECT stage177_row_number AS row_number, round(CAST(least(10.0, greatest(0.1, CASE WHEN {_yes('night')} THEN 1.5 ELSE 1.0 END * CASE WHEN {_yes('occluded')} THEN 1.25 ELSE 1.0 END * CASE WHEN {_yes('blur')} THEN 0.5 ELSE 1.0 END)) AS DOUBLE), 6) AS weight FROM attribute_manifest",
@@ -514,15 +561,10 @@ _HUMAN = f"CASE WHEN starts_with({spell.key('annotation_source')}, 'human') THEN
 )
 def u1(spark, d):
     """The union of the manifests of each split, in one order of priority: held-out rows first, then human labels, then paths."""
-    s = normal.split_name("split")
-    m = manifest(spark, d).select("row_number", "video_id", s.alias("s"), F.when(normal.key("annotation_source").startswith("human"), 0).otherwise(1).alias("h"), "image_path")
-    parts = [(F.col("s") == "test", 0), (F.col("s") == "validation", 1), (F.col("s") == "train", 2), (F.col("s").isNull() | ~F.col("s").isin("test", "validation", "train"), 3)]
-    both = None
-    for condition, p in parts:
-        one = m.where(condition).withColumn("p", F.lit(p))
-        both = one if both is None else both.unionByName(one)
-    w = Window.partitionBy("video_id").orderBy("p", "h", "image_path")
-    return both.select("row_number", F.row_number().over(w).cast("long").alias("priority"))
+    split = normal.split_name("split")
+    p = F.when(split == "test", 0).when(split == "validation", 1).when(split == "train", 2).otherwise(3)
+    m = manifest(spark, d).select("row_number", "video_id", p.alias("p"), F.when(normal.key("annotation_source").startswith("human"), 0).otherwise(1).alias("h"), "image_path")
+    return m.select("row_number", F.row_number().over(Window.partitionBy("video_id").orderBy("p", "h", "image_path")).cast("long").alias("priority"))
 
 
 @core.add(
@@ -577,11 +619,38 @@ def j13(spark, d):
     return _labelled(spark, d).select("color", "left_bits", "right_bits")
 
 
-@core.add("u3_leader_dedup")
+_ORDERED = f"""WITH RECURSIVE m AS (SELECT stage177_row_number AS r, {SPLIT} AS split, {_HUMAN} AS h, coalesce(image_path, '') AS path, {spell.digest('stage177_pixel_sha256')} AS d,
+      CAST(CASE WHEN {spell.bits64('stage177_dhash64')} > 9223372036854775807 THEN CAST({spell.bits64('stage177_dhash64')} AS HUGEINT) - 18446744073709551616 ELSE {spell.bits64('stage177_dhash64')} END AS BIGINT) AS bits FROM attribute_manifest),
+    ranked AS (SELECT *, (CASE split WHEN 'test' THEN '0' WHEN 'validation' THEN '1' WHEN 'train' THEN '2' ELSE '3' END) || h || path || chr(1) || lpad(CAST(r AS VARCHAR), 20, '0') AS o FROM m),
+    contents AS (SELECT arg_min(r, o) AS r, arg_min(split, o) AS split, min(o) AS o, arg_min(bits, o) FILTER (bits IS NOT NULL) AS bits FROM ranked GROUP BY coalesce(d, '#' || r)),
+    firsts AS (SELECT bits, min(o) AS o FROM contents WHERE bits IS NOT NULL GROUP BY bits),
+    pairs AS (SELECT a.o AS a, b.o AS b FROM firsts a JOIN firsts b ON a.o < b.o AND bit_count(xor(a.bits, b.bits)) <= 4),
+    involved AS (SELECT o, row_number() OVER (ORDER BY o) AS i FROM (SELECT a AS o FROM pairs UNION SELECT b FROM pairs)),
+    earlier AS (SELECT y.i, list(x.i) AS before FROM pairs JOIN involved x ON x.o = a JOIN involved y ON y.o = b GROUP BY y.i),
+    walk AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS kept UNION ALL
+      SELECT w.i + 1, CASE WHEN e.before IS NOT NULL AND list_has_any(w.kept, e.before) THEN w.kept ELSE list_append(w.kept, w.i + 1) END FROM walk w LEFT JOIN earlier e ON e.i = w.i + 1 WHERE w.i < (SELECT count(*) FROM involved)),
+    last AS (SELECT kept FROM walk ORDER BY i DESC LIMIT 1), dropped AS (SELECT o FROM involved, last WHERE NOT list_contains(kept, i))"""
+
+
+@core.add("u3_leader_dedup", f"{_ORDERED} SELECT r AS row_number, split FROM contents WHERE bits IS NULL OR o IN (SELECT o FROM firsts WHERE o NOT IN (SELECT o FROM dropped))")
 def u3(spark, d):
-    b = _bits(spark, d).where("bits is not null").select("bits").distinct()
-    pairs = H.hamming_pairs(b, b, 4).where("left_bits < right_bits").select(F.col("left_bits").alias("a"), F.col("right_bits").alias("b"))
-    return H.leaders(b.withColumnRenamed("bits", "id"), pairs)
+    """The rows kept, held-out splits first, then human labels, then paths: of equal contents the first row, and of these a row
+    only if no kept one has a hash within 4 bits. A content's hash is that of its first row that has one; without a hash a
+    row is kept."""
+    split = normal.split_name("split")
+    p = F.when(split == "test", "0").when(split == "validation", "1").when(split == "train", "2").otherwise("3")
+    human = F.when(normal.key("annotation_source").startswith("human"), "0").otherwise("1")
+    order = F.concat(p, human, F.coalesce("image_path", F.lit("")), F.lit(chr(1)), F.lpad(F.col("row_number").cast("string"), 20, "0"))
+    m = manifest(spark, d).select("row_number", split.alias("split"), normal.bits64("stage177_dhash64").alias("bits"), F.coalesce(normal.digest("stage177_pixel_sha256"), F.concat(F.lit("#"), F.col("row_number").cast("string"))).alias("content"), order.alias("o"))
+    contents = m.groupBy("content").agg(F.min(F.struct("o", "row_number", "split")).alias("first"), F.min(F.when(F.col("bits").isNotNull(), F.struct("o", "bits"))).getField("bits").alias("bits")).select("first.*", "bits")
+    scratch = Scratch(spark, "leaders")
+    contents = scratch.keep(contents, "contents")
+    firsts = scratch.keep(contents.where("bits is not null").groupBy("bits").agg(F.min("o").alias("id")), "firsts")
+    near = H.hamming_pairs(firsts, firsts, 4).where("left_bits < right_bits")
+    at = lambda side: firsts.select(F.col("bits").alias(f"{side}_bits"), F.col("id").alias(side))
+    pairs = near.join(at("left"), "left_bits").join(at("right"), "right_bits").select(F.col("left").alias("a"), F.col("right").alias("b"))
+    kept = H.leaders(firsts.select("id"), pairs, scratch).where("kept")
+    return contents.where("bits is null").select("row_number", "split").union(contents.join(kept, F.col("o") == F.col("id")).select("row_number", "split"))
 
 
 @core.add(

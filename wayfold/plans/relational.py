@@ -404,15 +404,18 @@ def j19(spark, d):
 
 @core.add(
     "j20_count_matched_groups",
-    """WITH v AS (SELECT task_id, event_kind, count(*) AS n FROM vision_events WHERE task_id IS NOT NULL GROUP BY 1, 2), a AS (SELECT task_id, count(*) AS n, count(DISTINCT event_type) AS kinds FROM security_alert_events WHERE task_id IS NOT NULL GROUP BY 1)
-    SELECT coalesce(v.task_id, a.task_id) AS task_id, CASE WHEN v.n IS NULL OR a.n IS NULL THEN 'one_side' WHEN v.n <> a.n THEN 'count_mismatch' WHEN a.kinds <> 1 THEN 'mixed' ELSE 'matched' END AS outcome
-    FROM (SELECT * FROM v WHERE event_kind = 'algorithm_alert') v FULL JOIN a ON a.task_id = v.task_id""",
+    """WITH v AS (SELECT task_id, run_id, count(*) AS n FROM vision_events WHERE task_id IS NOT NULL AND run_id IS NOT NULL AND event_kind = 'algorithm_alert' GROUP BY 1, 2),
+    a AS (SELECT task_id, run_id, count(*) AS n, count(DISTINCT event_type) AS kinds, min(event_type) AS kind FROM security_alert_events WHERE task_id IS NOT NULL AND run_id IS NOT NULL GROUP BY 1, 2),
+    o AS (SELECT coalesce(v.task_id, a.task_id) AS task_id, coalesce(v.run_id, a.run_id) AS run_id, CASE WHEN v.n IS NULL OR a.n IS NULL THEN 'one_side' WHEN v.n <> a.n THEN 'count_mismatch' WHEN a.kinds <> 1 THEN 'mixed' ELSE 'matched' END AS outcome, kind
+    FROM v FULL JOIN a ON a.task_id = v.task_id AND a.run_id = v.run_id) SELECT task_id, run_id, outcome, CASE WHEN outcome = 'matched' THEN kind END AS event_type FROM o""",
 )
 def j20(spark, d):
-    v = vision(spark, d).where("event_kind = 'algorithm_alert' and task_id is not null").groupBy("task_id").agg(F.count("*").alias("n_v"))
-    a = alerts(spark, d).where("task_id is not null").groupBy("task_id").agg(F.count("*").alias("n_a"), F.count_distinct("event_type").alias("kinds"))
+    """Groups of both sides meet only if they are equally large; the label is taken only if all of a group agree on it."""
+    by = ["task_id", "run_id"]
+    v = vision(spark, d).where("event_kind = 'algorithm_alert' and task_id is not null and run_id is not null").groupBy(*by).agg(F.count("*").alias("n_v"))
+    a = alerts(spark, d).where("task_id is not null and run_id is not null").groupBy(*by).agg(F.count("*").alias("n_a"), F.count_distinct("event_type").alias("kinds"), F.min("event_type").alias("kind"))
     outcome = P.first_reason(("one_side", F.col("n_v").isNull() | F.col("n_a").isNull()), ("count_mismatch", F.col("n_v") != F.col("n_a")), ("mixed", F.col("kinds") != 1), otherwise="matched")
-    return v.join(a, "task_id", "full").select("task_id", outcome.alias("outcome"))
+    return v.join(a, by, "full").select(*by, outcome.alias("outcome"), F.when(outcome == "matched", F.col("kind")).alias("event_type"))
 
 
 @core.add(
@@ -428,19 +431,28 @@ def j21(spark, d):
 # ---- aggregates over the store
 
 
-@core.add(
-    "a1_kpi_row",
-    """SELECT (SELECT count(*) FROM camera_tasks) AS tasks, (SELECT count(*) FROM camera_tasks WHERE deleted_at_ms IS NULL AND enabled) AS enabled_tasks, (SELECT count(*) FROM camera_frames) AS frames,
-    (SELECT CAST(coalesce(sum(size_bytes), 0) AS BIGINT) FROM camera_frames) AS frame_bytes, (SELECT coalesce(max(capture_time_ms), 0) FROM camera_frames) AS last_frame_ms, (SELECT count(*) FROM vision_events) AS events,
-    (SELECT count(*) FROM security_alert_events) AS alerts, (SELECT count(*) FROM security_alert_events WHERE severity >= 4) AS severe_alerts, (SELECT count(*) FROM callback_outbox WHERE status = 'pending') AS pending, (SELECT count(*) FROM callback_outbox WHERE status = 'dead_letter') AS dead""",
-)
+_KPI = {
+    "camera_tasks": {"tasks": "count(*)", "enabled_tasks": "count(*) FILTER (WHERE deleted_at_ms IS NULL AND enabled)", "deleted_tasks": "count(*) FILTER (WHERE deleted_at_ms IS NOT NULL)"},
+    "runs": {"runs": "count(*)", "active_runs": "count(*) FILTER (WHERE NOT stopped)", "failed_runs": "count(*) FILTER (WHERE stopped AND NOT delivered)"},
+    "camera_frames": {"frames": "count(*)", "frame_bytes": "CAST(coalesce(sum(size_bytes), 0) AS BIGINT)", "last_frame_ms": "coalesce(max(capture_time_ms), 0)"},
+    "security_alert_events": {"alerts": "count(*)"},
+    "vision_events": {"events": "count(*)"},
+    "vehicle_track_results": {"vehicle_events": "count(*)", "observations": "CAST(coalesce(sum(coalesce(body_type_samples_used, 0) + coalesce(color_samples_used, 0)), 0) AS BIGINT)"},
+    "callback_outbox": {s: f"count(*) FILTER (WHERE status = '{s}')" for s in ("pending", "delivering", "delivered", "retry", "dead_letter")},
+}
+_RUNS = "runs AS (SELECT run_id, bool_or(command_kind = 'camera_frame_stop') AS stopped, bool_and(delivered_at_ms IS NOT NULL) AS delivered FROM camera_task_commands WHERE run_id IS NOT NULL GROUP BY run_id)"
+
+
+@core.add("a1_kpi_row", f"WITH {_RUNS} SELECT " + ", ".join(f"(SELECT {e} FROM {t}) AS {n}" for t, of in _KPI.items() for n, e in of.items()))
 def a1(spark, d):
-    t = tasks(spark, d).agg(F.count("*").alias("tasks"), F.count_if(F.col("deleted_at_ms").isNull() & F.col("enabled")).alias("enabled_tasks"))
-    f = frames(spark, d).agg(F.count("*").alias("frames"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("frame_bytes"), F.coalesce(F.max("capture_time_ms"), F.lit(0)).alias("last_frame_ms"))
-    v = vision(spark, d).agg(F.count("*").alias("events"))
-    a = alerts(spark, d).agg(F.count("*").alias("alerts"), F.count_if(F.col("severity") >= 4).alias("severe_alerts"))
-    o = outbox(spark, d).agg(F.count_if(F.col("status") == "pending").alias("pending"), F.count_if(F.col("status") == "dead_letter").alias("dead"))
-    return t.crossJoin(f).crossJoin(v).crossJoin(a).crossJoin(o)  # five rows of one
+    """Eighteen counts and sums in one row. Each table is read once; a run is active until a stop, and has failed if a stop
+    or another command of it was never delivered."""
+    runs = commands(spark, d).where("run_id is not null").groupBy("run_id").agg(F.coalesce(F.bool_or(F.col("command_kind") == "camera_frame_stop"), F.lit(False)).alias("stopped"), F.bool_and(F.col("delivered_at_ms").isNotNull()).alias("delivered"))
+    out = None
+    for name, of in _KPI.items():
+        one = (runs if name == "runs" else table(spark, d, name)).agg(*[F.expr(e).alias(n) for n, e in of.items()])
+        out = one if out is None else out.crossJoin(one)  # rows of one
+    return out
 
 
 _STATUSES = ("pending", "delivering", "delivered", "retry", "dead_letter")
@@ -461,16 +473,23 @@ def a22(spark, d):
 
 @core.add(
     "a30_worker_readiness",
-    """SELECT worker_consumer, count(*) AS n, coalesce(bool_and(output_mode = 'latest'), false) AS all_latest, coalesce(bool_or(analysis), false) AS any_analysis, arg_max(run_id, create_time_ms * 1000 + coalesce(definition_version, 0)) AS newest_run FROM
-    (SELECT worker_consumer, output_mode, run_id, create_time_ms, definition_version, len(coalesce(algorithms, [])) > 1 AS analysis FROM camera_task_commands WHERE create_time_ms IS NOT NULL AND run_id IS NOT NULL) GROUP BY worker_consumer""",
+    """WITH w AS (SELECT worker_consumer, count(*) AS n, coalesce(bool_and(output_mode = 'latest'), false) AS all_latest, coalesce(bool_or(analysis), false) AS any_analysis, arg_max(run_id, create_time_ms * 1000 + coalesce(definition_version, 0)) AS newest_run,
+      max(create_time_ms * 1000 + coalesce(definition_version, 0)) AS since FROM
+    (SELECT worker_consumer, output_mode, run_id, create_time_ms, definition_version, len(coalesce(algorithms, [])) > 1 AS analysis FROM camera_task_commands WHERE create_time_ms IS NOT NULL AND run_id IS NOT NULL) GROUP BY worker_consumer)
+    SELECT worker_consumer, n, all_latest, any_analysis, newest_run, (SELECT arg_max(newest_run, since) FROM w WHERE all_latest OR any_analysis) AS newest_runtime, (SELECT count(*) FROM w) AS workers, (SELECT count(*) FROM w) = 1 AND all_latest AND any_analysis AS ready FROM w""",
 )
 def a30(spark, d):
+    """What each worker reports, the newest run among healthy ones, and whether it is ready: only if it is the one worker."""
     c = commands(spark, d).where("create_time_ms is not null and run_id is not null")
-    return c.groupBy("worker_consumer").agg(
+    at = F.col("create_time_ms") * 1000 + F.coalesce("definition_version", F.lit(0))
+    w = c.groupBy("worker_consumer").agg(
         F.count("*").alias("n"), F.coalesce(F.bool_and(F.col("output_mode") == "latest"), F.lit(False)).alias("all_latest"),
-        F.coalesce(F.bool_or(F.coalesce(F.size("algorithms"), F.lit(0)) > 1), F.lit(False)).alias("any_analysis"),
-        F.max_by("run_id", F.col("create_time_ms") * 1000 + F.coalesce("definition_version", F.lit(0))).alias("newest_run"),
+        F.coalesce(F.bool_or(F.coalesce(F.size("algorithms"), F.lit(0)) > 1), F.lit(False)).alias("any_analysis"), F.max_by("run_id", at).alias("newest_run"), F.max(at).alias("at"),
     )
+    healthy = F.when(F.col("all_latest") | F.col("any_analysis"), F.col("at"))
+    whole = w.agg(F.max_by("newest_run", healthy).alias("newest_runtime"), F.count("*").alias("workers"))  # one row
+    ready = (F.col("workers") == 1) & F.col("all_latest") & F.col("any_analysis")
+    return w.crossJoin(F.broadcast(whole)).select("worker_consumer", "n", "all_latest", "any_analysis", "newest_run", "newest_runtime", "workers", ready.alias("ready"))
 
 
 # ---- windows and paging
@@ -479,10 +498,10 @@ def a30(spark, d):
 @core.add(
     "w1_retention_candidates",
     f"""SELECT frame_id, task_id, capture_time_ms, position FROM (SELECT f.frame_id, f.task_id, f.capture_time_ms, t.retention_days, t.max_saved_frames, row_number() OVER (PARTITION BY f.task_id ORDER BY f.capture_time_ms DESC, f.save_time_ms DESC, f.frame_id DESC) AS position
-    FROM camera_frames f JOIN camera_tasks t ON t.task_id = f.task_id) WHERE capture_time_ms < {NOW} - CAST(retention_days AS BIGINT) * 86400000 OR position > 60 + retention_days""",
+    FROM camera_frames f JOIN camera_tasks t ON t.task_id = f.task_id) WHERE capture_time_ms < {NOW} - CAST(retention_days AS BIGINT) * 86400000 OR position > max_saved_frames""",
 )
 def w1(spark, d):
-    policies = tasks(spark, d).select("task_id", "retention_days", (F.lit(60) + F.col("retention_days")).alias("max_saved_frames"))
+    policies = tasks(spark, d).select("task_id", "retention_days", "max_saved_frames")
     return R.retention_candidates(frames(spark, d), policies, F.lit(NOW)).select("frame_id", "task_id", "capture_time_ms", "position")
 
 
@@ -674,3 +693,29 @@ def r26(spark, d):
     s = F.coalesce("size_bytes", F.lit(0))
     f = frames(spark, d).select("frame_id", "task_id", "save_time_ms", "size_bytes").distinct()
     return f.withColumn("used", F.coalesce(F.sum(s).over(w), F.lit(0))).select("frame_id", "save_time_ms", "size_bytes", (F.col("used") + s <= 50_000_000).alias("admitted"))
+
+
+# ---- shards and parameters
+
+
+@core.add(
+    "r13_shard_assignment",
+    """WITH t AS (SELECT task_id, row_number() OVER (ORDER BY created_at_ms, task_id) - 1 AS i FROM camera_tasks), held AS (SELECT task_id, CAST(i % 3 AS INT) AS shard FROM t WHERE i < 20), fresh AS (SELECT task_id, row_number() OVER (ORDER BY i) AS k FROM t WHERE i >= 20),
+    loads AS (SELECT s AS shard, count(task_id) AS load FROM (SELECT CAST(unnest(generate_series(0, 3)) AS INT) AS s) LEFT JOIN held ON held.shard = s GROUP BY 1),
+    slots AS (SELECT shard, row_number() OVER (ORDER BY level, shard) AS k FROM loads, (SELECT unnest(generate_series(0, 100)) AS level) WHERE level >= load)
+    SELECT task_id, shard, true AS held FROM held UNION ALL SELECT task_id, shard, false FROM fresh JOIN slots USING (k)""",
+)
+def r13(spark, d):
+    """Shards of tasks: what is assigned stays; each new task goes to the least loaded shard, in turn among equals."""
+    t = tasks(spark, d).select("task_id", (F.row_number().over(Window.orderBy("created_at_ms", "task_id")) - 1).alias("i"))  # a fixed table
+    held = t.where("i < 20").select("task_id", (F.col("i") % 3).cast("int").alias("shard"))
+    return R.sticky_shards(t.select("task_id", "i"), held, 4, "task_id", "i")
+
+
+_CLAMPS = {"retention_days": (1, 365), "max_saved_frames": (1, 10_000), "jpeg_quality": (1, 100), "frame_interval_ms": (40, 3_600_000)}
+
+
+@core.add("x22_clamped_parameters", "SELECT task_id, " + ", ".join(f"least({hi}, greatest({lo}, coalesce({c}, {lo}))) AS {c}" for c, (lo, hi) in _CLAMPS.items()) + " FROM camera_tasks")
+def x22(spark, d):
+    """Parameters brought into their bounds; a missing one is the least allowed."""
+    return tasks(spark, d).select("task_id", *[F.least(F.lit(hi), F.greatest(F.lit(lo), F.coalesce(c, F.lit(lo)))).alias(c) for c, (lo, hi) in _CLAMPS.items()])

@@ -136,6 +136,20 @@ def x13(spark, d):
     return v.select("vec_id", F.when(chromatic, (own == F.array_max("s")) & (own >= 0.1)).otherwise((own >= 0.05) & (grey >= 0.05) & (hue < grey)).alias("compatible"))
 
 
+_NINE = "list_concat(embedding, embedding[1:8])"
+
+
+@core.add(
+    "x14_difference_hash",
+    f"""WITH v AS (SELECT vec_id, {_NINE} AS v FROM embeddings) SELECT vec_id, list_aggregate(list_transform(generate_series(0, 63), lambda i: CASE WHEN v[i // 8 * 9 + i % 8 + 2] > v[i // 8 * 9 + i % 8 + 1] THEN '1' ELSE '0' END), 'string_agg', '') AS rising,
+    list_aggregate(list_transform(generate_series(0, 63), lambda i: CASE WHEN v[i // 8 * 9 + i % 8 + 2] < v[i // 8 * 9 + i % 8 + 1] THEN '1' ELSE '0' END), 'string_agg', '') AS falling FROM v""",
+)
+def x14(spark, d):
+    """Difference hashes of pictures of 9 by 8 values, by both conventions of what a set bit means."""
+    v = F.concat("embedding", F.slice("embedding", 1, 8))
+    return table(spark, d, "embeddings").select("vec_id", X.dhash_bits(v).alias("rising"), X.dhash_bits(v, False).alias("falling"))
+
+
 @core.add("x15_hamming", "SELECT event_id, bit_count(xor(event_id * 2654435761, user_id * 40503)) AS distance FROM events")
 def x15(spark, d):
     return table(spark, d, "events").select("event_id", X.hamming(F.col("event_id") * 2654435761, F.col("user_id") * 40503).cast("byte").alias("distance"))
