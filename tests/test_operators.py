@@ -155,3 +155,60 @@ def test_partitions_do_not_matter(spark):
     d = spark.createDataFrame([(i % 5, f"l{i % 3}", i % 7, 3) for i in range(200)], "t int, label string, w long, b long")
     f = lambda x: rows(consensus.weighted_vote(x, ["t"], "label", F.col("w"), F.col("b"), 1, 0.05))
     assert f(d.repartition(1)) == f(d.repartition(7).orderBy(F.rand(1)))
+
+
+def test_sticky_shards(spark):
+    """Closed form against assignment one by one."""
+    rng = random.Random(6)
+    for n in (0, 1, 5, 30):
+        held = [(i, rng.choice([0, 0, 1, 3])) for i in range(n)]
+        load, want = [sum(s == k for _, s in held) for k in range(4)], dict(held)
+        for i in range(n, n + 12):
+            want[i] = min(range(4), key=lambda k: (load[k], k))
+            load[want[i]] += 1
+        keys = spark.createDataFrame([(i, i) for i in range(n + 12)], "task long, o long")
+        got = relational.sticky_shards(keys, spark.createDataFrame(held, "task long, shard int"), 4, "task", "o")
+        assert {r["task"]: r["shard"] for r in got.collect()} == want
+
+
+def test_reviews_override_or_fail(spark):
+    m = spark.createDataFrame([(1, "a", "x"), (2, None, "y")], "k int, color string, other string")
+    r = spark.createDataFrame([(2, "red"), (1, None)], "k int, color string")
+    assert rows(relational.overridden(m, r, "k")) == [(1, "a", "x"), (2, "red", "y")]
+    with pytest.raises(ValueError, match="7"):
+        relational.overridden(m, spark.createDataFrame([(7, "red")], "k int, color string"), "k")
+
+
+def test_choice_of_a_sweep(spark):
+    pts = spark.createDataFrame([(1, 0.9, 5), (2, 0.8, 9), (3, 0.95, 5), (4, None, 50)], "t int, p double, n int")
+    pick = lambda least: [r["t"] for r in calibration.chosen(pts, F.col("p") >= least, [F.col("n"), F.col("p")], [F.col("p")], [F.col("t")]).where("chosen").collect()]
+    assert pick(0.9) == [3] and pick(0.5) == [2] and pick(0.99) == [3]
+
+
+def test_recovery_is_refused_beyond_the_limit(spark):
+    from wayfold.plans.relational import recovery_plan
+
+    t = spark.createDataFrame([("a", True, None, "running"), ("b", True, None, "running"), ("c", False, None, "running")], "task_id string, enabled boolean, deleted_at_ms long, desired_state string")
+    c = spark.createDataFrame([("a", 1, "r1", "m", "camera_frame_start")], "task_id string, create_time_ms long, run_id string, message_id string, command_kind string")
+    assert [r["reason"] for r in recovery_plan(t, c, 1).collect()] == ["capacity_exceeded"]
+    assert sorted((r["task_id"], r["action"]) for r in recovery_plan(t, c, 2).collect()) == [("a", "fail_run"), ("a", "start_run"), ("b", "start_run")]
+
+
+def test_difference_hash_conventions(spark):
+    v = spark.createDataFrame([([1, 2, 2, 1] + [5, 4, 3, 9],)], "v array<int>")
+    assert v.select(X.dhash_bits(F.col("v"), True, 2, 3), X.dhash_bits(F.col("v"), False, 2, 3)).first()[:] == ("100001", "001110")
+
+
+def test_sums_before_are_those_of_a_window(spark):
+    rng = random.Random(2)
+    data = [(rng.choice(["a", "b", None]), rng.choice([None, *range(0, 50_000_000, 700_001)]), i, rng.randrange(9)) for i in range(300)]
+    d = spark.createDataFrame(data, "g string, t long, id long, v int")
+    for descending in (False, True):
+        order = [F.desc("t") if descending else F.asc("t"), F.col("id")]
+        got = {r["id"]: (r["_before"], r["_total"]) for r in relational.sums_before(d, ["g"], "t", order, F.col("v"), descending).collect()}
+        ranked = sorted(data, key=lambda r: ((r[1] is None, -(r[1] or 0)) if descending else (r[1] is not None, r[1] or 0), r[2]))
+        want, total = {}, {}
+        for g, _, i, v in ranked:
+            want[i] = total.get(g, 0)
+            total[g] = want[i] + v
+        assert got == {i: (want[i], total[g]) for g, _, i, _ in data}

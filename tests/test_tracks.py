@@ -1,6 +1,7 @@
 import itertools
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -128,3 +129,31 @@ def test_photometric_clusters_are_those_of_the_values_themselves(spark, tmp_path
     spark.createDataFrame(m, "source_dataset string, stage177_mean_luma string").write.parquet(f"{tmp_path}/attribute_manifest.parquet")
     got = core.queries["r24_photometric_clusters"](spark, str(tmp_path))
     assert rows(got) == [("a", 0, 10.4), ("a", 1, 20.4), ("a", 2, 30.4)]
+
+
+def test_cadence_drops_stale_frames_but_uses_their_due_time():
+    assert list(T.at_cadence([0, 10, 20, 30], 10, [0, 99, 0, 0], 50)) == [0, 2, 3]
+    assert list(T.at_cadence([0, 5, 25, 26, 30], 10)) == [0, 2, 4]
+
+
+def test_batches_close_by_number_or_by_wait():
+    assert list(T.micro_batches([0, 0, 1, 2, 3, 9], 3, 2)) == [0, 0, 0, 1, 1, 2]
+    assert list(T.micro_batches([], 3, 2)) == []
+
+
+def test_clusters_need_three_values():
+    import numpy as np
+
+    for values, weights in (([1.0, 2.0], None), ([1.0], [2]), ([1.0, 1.0, 1.0], None)):
+        with pytest.raises(ValueError):
+            T.three_means(np.array(values), None if weights is None else np.array(weights))
+    assert T.three_means(np.array([1.0, 5.0, 9.0])) == [1.0, 5.0, 9.0]
+
+
+def test_link_costs():
+    box = (0.1, 0.1, 0.4, 0.4)
+    same = T.link_cost(box, box, 1, 10, 0.0, 1)
+    assert abs(same - 0.08 * 0.1) < 1e-12
+    assert T.link_cost(box, box, 11, 10, 0.0, 1) is None and T.link_cost(box, box, 1, 10, 0.5, 1) is None
+    assert T.link_cost(box, (0.1, 0.1, 0.9, 0.9), 1, 10, 0.0, 1) is None  # sides more than e^0.9 times as long
+    assert T.link_cost(box, (0.2, 0.1, 0.5, 0.4), 1, 10, 0.2, 2) > same

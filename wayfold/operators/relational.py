@@ -56,6 +56,27 @@ def split_expired(rows: DataFrame, key: list[str], expires: str, now: Column, li
     return expired, rows.join(expired.select(*key), key, "left_anti")
 
 
+def sums_before(df: DataFrame, keys: list[str], time: str, order: list[Column], value: Column, descending: bool = False, bucket_ms: int = 3_600_000) -> DataFrame:
+    """df with _before, the sum of value over the rows of the group that come earlier in the order, and _total.
+
+    The order begins with `time` in milliseconds (descending or not; nulls as Spark puts them) and is total. Groups are cut
+    into buckets of time: sums per group and bucket, of which there are few, tell what lies before a bucket, and only
+    within a bucket are rows put in order; so a group with a third of all rows is spread over its buckets.
+    """
+    bucket = F.coalesce(F.floor(F.col(time) / bucket_ms).cast("long"), F.lit(-(1 << 62)))
+    rows = df.withColumn("_bucket", bucket).withColumn("_value", value)
+    group = Window.partitionBy(*[f"_k{i}" for i in range(len(keys))])
+    sums = rows.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_bucket").alias("_b")).agg(F.sum("_value").alias("_sum"))
+    upto = group.orderBy(F.desc("_b") if descending else F.asc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("_ahead", F.coalesce(F.sum("_sum").over(upto), F.lit(0))).withColumn("_total", F.sum("_sum").over(group)).drop("_sum")
+    same = F.col("_bucket") == F.col("_b")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    within = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("_ahead") + F.coalesce(F.sum("_value").over(within), F.lit(0))
+    return rows.join(sums, same).withColumn("_before", before).drop("_bucket", "_value", "_b", "_ahead", *[f"_k{i}" for i in range(len(keys))])
+
+
 def retention_candidates(frames: DataFrame, policies: DataFrame, now_ms: Column, limit: int | None = None) -> DataFrame:
     """Frames older than their task's retention, or beyond its number of frames, oldest first.
 
@@ -63,8 +84,8 @@ def retention_candidates(frames: DataFrame, policies: DataFrame, now_ms: Column,
     frames rank first: by capture, save and id descending.
     """
     j = frames.join(policies.select("task_id", "retention_days", "max_saved_frames"), "task_id")
-    w = Window.partitionBy("task_id").orderBy(F.desc("capture_time_ms"), F.desc("save_time_ms"), F.desc("frame_id"))
-    ranked = j.withColumn("position", F.row_number().over(w).cast("long"))
+    newest = [F.desc("capture_time_ms"), F.desc("save_time_ms"), F.desc("frame_id")]
+    ranked = sums_before(j, ["task_id"], "capture_time_ms", newest, F.lit(1), descending=True).withColumn("position", (F.col("_before") + 1).cast("long")).drop("_before", "_total")
     old = F.col("capture_time_ms") < now_ms - F.col("retention_days").cast("long") * 86_400_000
     found = ranked.where(old | (F.col("position") > F.col("max_saved_frames")))
     if limit is not None:
@@ -74,12 +95,9 @@ def retention_candidates(frames: DataFrame, policies: DataFrame, now_ms: Column,
 
 def pressure_sweep(frames: DataFrame, target: Column, size: str = "size_bytes", group: list[str] | None = None) -> DataFrame:
     """The oldest frames whose removal brings each group's total down to `target` bytes: deleted while what precedes them
-    is less than the excess. Groups bound the window; missing sizes count as 0."""
-    keys = group or ["task_id"]
-    upto = Window.partitionBy(*keys).orderBy("capture_time_ms", "save_time_ms", "frame_id").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
-    s = F.coalesce(F.col(size), F.lit(0))
-    f = frames.withColumn("_before", F.coalesce(F.sum(s).over(upto), F.lit(0))).withColumn("_total", F.sum(s).over(whole))
+    is less than the excess. Missing sizes count as 0."""
+    order = [F.col(c) for c in ("capture_time_ms", "save_time_ms", "frame_id")]
+    f = sums_before(frames, group or ["task_id"], "capture_time_ms", order, F.coalesce(F.col(size), F.lit(0)))
     return f.where(F.col("_before") < F.col("_total") - target).drop("_before", "_total")
 
 
@@ -97,3 +115,15 @@ def sticky_shards(keys: DataFrame, held: DataFrame, shards: int, key: str, order
     levels = loads.crossJoin(most).select("shard", F.explode(F.sequence(F.col("_load"), F.col("_most") + F.col("_new"))).alias("_level"))
     slots = levels.select("shard", F.row_number().over(Window.orderBy("_level", "shard")).alias("_k"))
     return held.select(key, "shard", F.lit(True).alias("held")).union(fresh.join(slots, "_k").select(key, "shard", F.lit(False)))
+
+
+def overridden(rows: DataFrame, reviews: DataFrame, key: str) -> DataFrame:
+    """rows with the columns of the review of the same key in place of their own, where the review has a value.
+
+    Raises ValueError if a review has no row, naming the first keys. Reviews are unique by key.
+    """
+    missing = [r[0] for r in reviews.select(key).join(rows.select(key), key, "left_anti").orderBy(key).limit(5).collect()]
+    if missing:
+        raise ValueError(f"reviews without a row: {missing}")
+    named = reviews.select(key, *[F.col(c).alias(f"_new_{c}") for c in reviews.columns if c != key])
+    return rows.join(named, key, "left").select(*[F.coalesce(F.col(f"_new_{c}"), F.col(c)).alias(c) if c in reviews.columns and c != key else F.col(c) for c in rows.columns])

@@ -7,6 +7,7 @@ third of all rows needs no more memory than any other. The same folds serve the
 
 from __future__ import annotations
 
+import math
 import heapq
 import itertools
 from collections import deque
@@ -442,15 +443,53 @@ def fps_windows(times: Iterable[int], least: int = 1000) -> Iterator[tuple[int,
             start, frames = t, 0
 
 
-def at_cadence(times: Iterable[int], interval: int) -> Iterator[int]:
-    """Positions taken at fixed due times: the first frame at or after each; due times that passed meanwhile are skipped."""
+def at_cadence(times: Iterable[int], interval: int, ages: Iterable[int] | None = None, most_age: int | None = None) -> Iterator[int]:
+    """Positions taken at fixed due times: the first frame at or after each; due times that passed meanwhile are skipped.
+
+    A frame older than most_age uses up its due time, but is dropped.
+    """
     due = None
-    for i, t in enumerate(times):
+    for i, (t, age) in enumerate(zip(times, itertools.repeat(0) if ages is None else ages)):  # noqa: B905
         if due is None or t >= due:
-            yield i
+            if most_age is None or age <= most_age:
+                yield i
             due = t + interval if due is None else due + interval * ((t - due) // interval + 1)
 
 
+def micro_batches(times: Iterable[int], most: int, wait: int) -> Iterator[int]:
+    """The number of the batch of each item: a batch closes when it holds `most` items, or `wait` after its oldest."""
+    batch, held, first = -1, most, 0
+    for t in times:
+        if held >= most or t > first + wait:
+            batch, held, first = batch + 1, 0, t
+        held += 1
+        yield batch
+
+
+# How much each measure counts in the cost of a link, and the greatest value of each that is allowed.
+LINK_WEIGHTS = {"motion": 0.43, "overlap": 0.17, "appearance": 0.32, "size": 0.08, "gap": 0.08}
+LINK_GATES = {"motion": (1.65, 1.25), "appearance": 0.48, "size": 0.90}
+
+
+def link_cost(track: tuple, box: tuple, gap: int, most_gap: int, appearance: float, seen: int) -> float | None:
+    """What it costs to continue a track, of which `track` is the box expected, with a box; None if it may not be.
+
+    Motion is the distance of the centres over the larger diagonal, size the greatest ratio of sides as a logarithm,
+    appearance a distance given. A track seen only once may move further.
+    """
+    if not 0 < gap <= most_gap:
+        return None
+    side = lambda b: (max(b[2] - b[0], 1e-9), max(b[3] - b[1], 1e-9))
+    (w, h), (v, k) = side(track), side(box)
+    apart = math.hypot(box[0] + box[2] - track[0] - track[2], box[1] + box[3] - track[1] - track[3]) / 2
+    motion, size = apart / max(math.hypot(w, h), math.hypot(v, k)), max(abs(math.log(v / w)), abs(math.log(k / h)))
+    reach = LINK_GATES["motion"][0 if seen < 2 else 1]
+    if motion > reach or size > LINK_GATES["size"] or appearance > LINK_GATES["appearance"]:
+        return None
+    parts = {"motion": motion / reach, "overlap": 1 - overlap(track, box), "appearance": appearance / LINK_GATES["appearance"], "size": size / LINK_GATES["size"], "gap": gap / most_gap}
+    return sum(LINK_WEIGHTS[k] * min(v, 1.0) for k, v in parts.items())
+
+
 def within_budget(sizes: Iterable[int], budget: int, most: int) -> Iterator[int]:
     """Positions taken in order while they fit; what does not fit is skipped, not the end."""
     taken, used = 0, 0
@@ -492,16 +531,21 @@ def leases(commands: Iterable[tuple[int, str, str, int]]) -> Iterator[int]:
 
 
 def three_means(values: np.ndarray, weights: np.ndarray | None = None, rounds: int = 100) -> list[float]:
-    """Centres of three clusters of rising numbers with whole weights, from the least, the median and the greatest."""
-    if not len(values):
-        return []
+    """Centres of three clusters of rising numbers with whole weights, from the least, the median and the greatest.
+
+    Raises ValueError if there are fewer than three numbers (equal ones count), or if a cluster is left empty.
+    """
+    if (len(values) if weights is None else np.sum(weights)) < 3:
+        raise ValueError("fewer than three values")
     weights = np.ones(len(values)) if weights is None else np.asarray(weights, float)
     upto = np.cumsum(weights)
     middle = [values[np.searchsorted(upto, q, side="right").clip(0, len(values) - 1)] for q in ((upto[-1] - 1) / 2 - 1e-9, upto[-1] / 2)]
     centres = np.array([values[0], sum(middle) / 2, values[-1]], float)
     for _ in range(rounds):
         nearest = np.abs(values[:, None] - centres[None, :]).argmin(1)
-        new = np.array([np.average(values[nearest == k], weights=weights[nearest == k]) if (nearest == k).any() else centres[k] for k in range(3)])
+        if len(np.unique(nearest)) < 3:
+            raise ValueError("a cluster is empty")
+        new = np.array([np.average(values[nearest == k], weights=weights[nearest == k]) for k in range(3)])
         if np.allclose(new, centres, rtol=0, atol=1e-9):
             break
         centres = new

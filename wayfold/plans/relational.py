@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import normal
 from ..functions import predicates as P
 from ..functions import scalar as X
 from ..operators import relational as R
 from ..sources.tables import table
+from . import spell
 from .registry import core
 
 #: The time at which queries over the event tables stand (2026-08-04 00:00 UTC), in ms.
@@ -347,13 +349,17 @@ def j6(spark, d):
 
 @core.add(
     "j7_review_override",
-    """WITH r AS (SELECT stage177_row_number AS k, 'white' AS color, 'approved' AS review_status FROM attribute_manifest WHERE stage177_row_number % 7 = 0)
-    SELECT m.stage177_row_number AS row_number, coalesce(r.color, m.color) AS color, coalesce(r.review_status, m.review_status) AS review_status, r.k IS NOT NULL AS reviewed FROM attribute_manifest m LEFT JOIN r ON k = m.stage177_row_number""",
+    f"""WITH r AS (SELECT stage177_row_number AS k, coalesce({spell.color('color')}, 'white') AS color, coalesce({spell.key('body_type')}, 'van') AS body FROM attribute_manifest WHERE {spell.key('review_status')} = 'pending')
+    SELECT m.stage177_row_number AS row_number, coalesce(r.body, m.body_type) AS body_type, coalesce(r.color, m.color) AS color, CASE WHEN k IS NULL THEN m.review_status ELSE 'approved' END AS review_status, CASE WHEN k IS NULL THEN m.annotation_source ELSE 'human_rereview' END AS annotation_source,
+      CASE WHEN k IS NULL THEN m.body_type_supervised ELSE 'true' END AS body_type_supervised, CASE WHEN k IS NULL THEN m.color_supervised ELSE 'true' END AS color_supervised FROM attribute_manifest m LEFT JOIN r ON k = m.stage177_row_number""",
 )
 def j7(spark, d):
-    m = manifest(spark, d).select(F.col("stage177_row_number").alias("row_number"), "color", "review_status")
-    r = m.where("row_number % 7 = 0").select(F.col("row_number").alias("k"), F.lit("white").alias("c"), F.lit("approved").alias("s"))
-    return m.join(r, m["row_number"] == r["k"], "left").select("row_number", F.coalesce("c", "color").alias("color"), F.coalesce("s", "review_status").alias("review_status"), F.col("k").isNotNull().alias("reviewed"))
+    """Rows whose review is pending get the reviewer's labels (here those they have, with the gaps filled) and the flags of a
+    review; a review without a row is an error."""
+    m = manifest(spark, d)
+    r = m.where(normal.key("review_status") == "pending").select("stage177_row_number", F.coalesce(normal.label("body_type"), F.lit("van")).alias("body_type"), F.coalesce(normal.color("color"), F.lit("white")).alias("color"))
+    r = r.select("*", F.lit("approved").alias("review_status"), F.lit("human_rereview").alias("annotation_source"), F.lit("true").alias("body_type_supervised"), F.lit("true").alias("color_supervised"))
+    return R.overridden(m, r, "stage177_row_number").select(F.col("stage177_row_number").alias("row_number"), *r.columns[1:])
 
 
 @core.add(
@@ -669,18 +675,31 @@ def r23(spark, d):
     return tracks(spark, d).where("camera_id is not null and run_id is not null and track_id is not null").select("event_id", "created_at_ms", X.event_identifier("ve_", "camera_id", "run_id", F.lit(1), "track_id").alias("derived"))
 
 
+_MOST_RUNS = 64
+
+
 @core.add(
     "r25_recovery_plan",
-    """WITH l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY create_time_ms DESC, run_id DESC, message_id DESC) AS k FROM camera_task_commands WHERE task_id IS NOT NULL) WHERE k = 1)
-    SELECT t.task_id, 'fail_run' AS action, l.run_id FROM camera_tasks t JOIN l ON l.task_id = t.task_id WHERE l.command_kind = 'camera_frame_start'
-    UNION ALL SELECT t.task_id, 'start_run', l.run_id FROM camera_tasks t LEFT JOIN l ON l.task_id = t.task_id WHERE t.enabled AND t.deleted_at_ms IS NULL AND t.desired_state = 'running'""",
+    f"""WITH l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY create_time_ms DESC, run_id DESC, message_id DESC) AS k FROM camera_task_commands WHERE task_id IS NOT NULL) WHERE k = 1),
+    wanted AS (SELECT * FROM camera_tasks WHERE enabled AND deleted_at_ms IS NULL AND desired_state = 'running'), plan AS (SELECT t.task_id, 'fail_run' AS action, l.run_id, 'worker_restart_recovery' AS reason FROM camera_tasks t JOIN l ON l.task_id = t.task_id WHERE l.command_kind = 'camera_frame_start'
+    UNION ALL SELECT t.task_id, 'start_run', l.run_id, 'desired_running' FROM wanted t LEFT JOIN l ON l.task_id = t.task_id)
+    SELECT * FROM plan WHERE (SELECT count(*) FROM wanted) <= {_MOST_RUNS} UNION ALL SELECT NULL, 'refuse', NULL, 'capacity_exceeded' WHERE (SELECT count(*) FROM wanted) > {_MOST_RUNS}""",
 )
 def r25(spark, d):
-    last = R.first_per(commands(spark, d).where("task_id is not null"), ["task_id"], [F.desc("create_time_ms"), F.desc("run_id"), F.desc("message_id")]).select("task_id", "run_id", "command_kind")
-    t = tasks(spark, d).select("task_id", "enabled", "deleted_at_ms", "desired_state").join(last, "task_id", "left")
-    fail = t.where("command_kind = 'camera_frame_start'").select("task_id", F.lit("fail_run").alias("action"), "run_id")
-    start = t.where("enabled and deleted_at_ms is null and desired_state = 'running'").select("task_id", F.lit("start_run").alias("action"), "run_id")
-    return fail.union(start)
+    return recovery_plan(tasks(spark, d), commands(spark, d), _MOST_RUNS)
+
+
+def recovery_plan(tasks, commands, most: int):
+    """task_id, action, run_id, reason: the newest run of a task fails if it has not ended, tasks that should run start anew;
+    if more should run than there is room for, nothing is done but to refuse."""
+    last = R.first_per(commands.where("task_id is not null"), ["task_id"], [F.desc("create_time_ms"), F.desc("run_id"), F.desc("message_id")]).select("task_id", "run_id", "command_kind")
+    t = tasks.select("task_id", "enabled", "deleted_at_ms", "desired_state").join(last, "task_id", "left")
+    wanted = "enabled and deleted_at_ms is null and desired_state = 'running'"
+    said = lambda df, action, reason: df.select("task_id", F.lit(action).alias("action"), "run_id", F.lit(reason).alias("reason"))
+    plan = said(t.where("command_kind = 'camera_frame_start'"), "fail_run", "worker_restart_recovery").union(said(t.where(wanted), "start_run", "desired_running"))
+    room = tasks.where(wanted).agg((F.count("*") <= most).alias("room"))  # one row
+    refused = room.where("not room").select(F.lit(None).cast("string").alias("task_id"), F.lit("refuse").alias("action"), F.lit(None).cast("string").alias("run_id"), F.lit("capacity_exceeded").alias("reason"))
+    return plan.crossJoin(F.broadcast(room)).where("room").drop("room").union(refused)
 
 
 @core.add(
@@ -689,10 +708,9 @@ def r25(spark, d):
     SELECT frame_id, save_time_ms, size_bytes, used + coalesce(size_bytes, 0) <= 50000000 AS admitted FROM s""",
 )
 def r26(spark, d):
-    w = Window.partitionBy("task_id").orderBy("save_time_ms", "frame_id", "size_bytes").rowsBetween(Window.unboundedPreceding, -1)
-    s = F.coalesce("size_bytes", F.lit(0))
     f = frames(spark, d).select("frame_id", "task_id", "save_time_ms", "size_bytes").distinct()
-    return f.withColumn("used", F.coalesce(F.sum(s).over(w), F.lit(0))).select("frame_id", "save_time_ms", "size_bytes", (F.col("used") + s <= 50_000_000).alias("admitted"))
+    used = R.sums_before(f, ["task_id"], "save_time_ms", [F.col(c) for c in ("save_time_ms", "frame_id", "size_bytes")], F.coalesce("size_bytes", F.lit(0)))
+    return used.select("frame_id", "save_time_ms", "size_bytes", (F.col("_before") + F.coalesce("size_bytes", F.lit(0)) <= 50_000_000).alias("admitted"))
 
 
 # ---- shards and parameters

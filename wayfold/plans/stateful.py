@@ -52,24 +52,41 @@ def x3(spark, d):
     return _frames(spark, d).select("frame_id", "t", X.unletterbox((F.col("s") % 640).cast("double"), 0.25, 40.0, 1920.0).alias("x"))
 
 
-@core.add("x4_anchor_decode", f"WITH {_FRAMES}, c AS (SELECT frame_id, t, (s % 100) / 100 AS x, (s % 50) / 50 AS y, (s % 30) / 30 AS w FROM f) SELECT frame_id, t, round(least(1.0, greatest(0.0, x - w / 2)), 9) AS x1, round(least(1.0, greatest(0.0, y - 0.1)), 9) AS y1, round(least(1.0, greatest(0.0, x + w / 2)), 9) AS x2, round(least(1.0, greatest(0.0, y + 0.1)), 9) AS y2 FROM c")
+@core.add(
+    "x4_anchor_decode",
+    """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE))) AS e FROM embeddings), c AS (SELECT vec_id, e[1] AS x, e[2] AS y, e[3] AS w, e[4] AS h, e[5:] AS scores FROM v),
+    p AS (SELECT *, list_position(scores, list_max(scores)) - 1 AS class, list_max(scores) AS confidence FROM c)
+    SELECT vec_id, round(least(1.0, greatest(0.0, x - w / 2)), 9) AS x1, round(least(1.0, greatest(0.0, y - h / 2)), 9) AS y1, round(least(1.0, greatest(0.0, x + w / 2)), 9) AS x2, round(least(1.0, greatest(0.0, y + h / 2)), 9) AS y2, CAST(class AS INT) AS class, round(confidence, 9) AS confidence FROM p WHERE confidence >= 0.25""",
+)
 def x4(spark, d):
-    corners = X.center_to_corners((F.col("s") % 100) / 100, (F.col("s") % 50) / 50, (F.col("s") % 30) / 30, 0.2)
-    return _frames(spark, d).select("frame_id", "t", *[F.round(c, 9).alias(n) for n, c in zip(("x1", "y1", "x2", "y2"), corners, strict=True)])
+    """An anchor as centre, size and scores of classes: its corners within the picture, the first best class, if it is sure."""
+    v = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.abs(x.cast("double"))).alias("e"))
+    e = [F.get("e", i) for i in range(4)]
+    scores = F.slice("e", F.lit(5), F.size("e"))
+    half = (e[2] / 2, e[3] / 2)
+    edge = lambda c: F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), c)), 9)
+    out = v.select("vec_id", edge(e[0] - half[0]).alias("x1"), edge(e[1] - half[1]).alias("y1"), edge(e[0] + half[0]).alias("x2"), edge(e[1] + half[1]).alias("y2"), X.argmax(scores).alias("class"), F.round(F.array_max(scores), 9).alias("confidence"), F.array_max(scores).alias("sure"))
+    return out.where("sure >= 0.25").drop("sure")
 
 
 @core.add(
     "x7_family_mass",
-    """WITH v AS (SELECT vec_id, label, list_transform(embedding[1:10], lambda x: greatest(0.0, CAST(x AS DOUBLE))) AS p FROM embeddings), m AS (SELECT vec_id, label, list_sum(p[1:5]) AS a, list_sum(p[6:10]) AS b, p FROM v)
-    SELECT vec_id, CASE WHEN a >= b THEN 'low' ELSE 'high' END AS family, CASE WHEN a >= b THEN list_position(p, list_max(p[1:5])) ELSE 5 + list_position(p[6:10], list_max(p[6:10])) END - 1 AS subtype FROM m""",
+    """WITH v AS (SELECT vec_id, list_transform(generate_series(0, 9), lambda k: list_sum(list_transform(embedding[1 + k : len(embedding) : 10], lambda x: greatest(0.0, CAST(x AS DOUBLE))))) AS p FROM embeddings), t AS (SELECT vec_id, p, list_sum(p) AS total FROM v WHERE list_sum(p) > 0),
+    m AS (SELECT vec_id, p, total, list_sum(p[1:5]) AS a, list_sum(p[6:10]) AS b FROM t)
+    SELECT vec_id, CASE WHEN a >= b THEN 'low' ELSE 'high' END AS family, CASE WHEN a >= b THEN list_position(p, list_max(p[1:5])) ELSE 5 + list_position(p[6:10], list_max(p[6:10])) END - 1 AS subtype,
+      round(sqrt(greatest(a, b) / total * (CASE WHEN a >= b THEN list_max(p[1:5]) ELSE list_max(p[6:10]) END / greatest(a, b))), 6) AS score FROM m""",
 )
 def x7(spark, d):
-    p = F.transform(F.slice("embedding", 1, 10), lambda x: F.greatest(F.lit(0.0), x.cast("double")))
-    v = table(spark, d, "embeddings").select("vec_id", p.alias("p"))
-    mass = lambda a: F.aggregate(F.slice("p", a, 5), F.lit(0.0), lambda s, x: s + x)
-    low = mass(1) >= mass(6)
-    sub = F.when(low, X.argmax(F.slice("p", 1, 5))).otherwise(5 + X.argmax(F.slice("p", 6, 5)))
-    return v.select("vec_id", F.when(low, "low").otherwise("high").alias("family"), sub.cast("int").alias("subtype"))
+    """The family that holds most of the mass, its greatest subtype, and the router's score: the root of the share of the
+    family times the share of the subtype within it. Ten subtypes, each of every tenth number of the vector."""
+    at = lambda k: F.filter("embedding", lambda x, i: i % 10 == k)
+    p = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.aggregate(at(k), F.lit(0.0), lambda s, x: s + F.greatest(F.lit(0.0), x.cast("double"))))
+    add = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
+    v = table(spark, d, "embeddings").select("vec_id", p.alias("p")).select("vec_id", "p", add(F.slice("p", 1, 5)).alias("a"), add(F.slice("p", 6, 5)).alias("b"), add(F.col("p")).alias("total")).where("total > 0")
+    low = F.col("a") >= F.col("b")
+    own = F.when(low, F.slice("p", 1, 5)).otherwise(F.slice("p", 6, 5))
+    mass = F.greatest("a", "b")
+    return v.select("vec_id", F.when(low, "low").otherwise("high").alias("family"), (X.argmax(own) + F.when(low, 0).otherwise(5)).cast("int").alias("subtype"), F.round(F.sqrt(mass / F.col("total") * (F.array_max(own) / mass)), 6).alias("score"))
 
 
 def _yes(c):
@@ -252,9 +269,16 @@ def r1(spark, d):
     return _frames(spark, d).withColumn("seen", F.max("s").over(w)).groupBy("run_id").agg(F.count("*").alias("frames"), F.count_if(F.col("s") <= F.col("seen")).alias("rejected"))
 
 
-@core.add("r3_run_stop", f"WITH {_FRAMES} SELECT run_id, min(t) AS first_ms, max(t) AS stop_ms, count(DISTINCT s) AS frames FROM f GROUP BY run_id")
+@core.add(
+    "r3_run_stop",
+    f"""WITH {_FRAMES}, stops AS (SELECT run_id, max(t) AS stop_ms FROM f GROUP BY run_id), live AS (SELECT run_id, track_id, min(first_seen_at_ms) AS first_ms, max(last_seen_at_ms) AS last_ms, max(crop_quality) AS quality, count(*) AS n FROM vehicle_track_results
+      WHERE run_id IS NOT NULL AND track_id IS NOT NULL GROUP BY 1, 2) SELECT run_id, track_id, first_ms, greatest(last_ms, stop_ms) AS last_ms, stop_ms, 'run_stop' AS reason FROM live JOIN stops USING (run_id)""",
+)
 def r3(spark, d):
-    return _frames(spark, d).groupBy("run_id").agg(F.min("t").alias("first_ms"), F.max("t").alias("stop_ms"), F.count_distinct("s").alias("frames"))
+    """When a run stops all its tracks exit, each last seen at the stop if it was not seen later."""
+    stops = _frames(spark, d).groupBy("run_id").agg(F.max("t").alias("stop_ms"))
+    live = table(spark, d, "vehicle_track_results").where("run_id is not null and track_id is not null").groupBy("run_id", "track_id").agg(F.min("first_seen_at_ms").alias("first_ms"), F.max("last_seen_at_ms").alias("last"))
+    return live.join(stops, "run_id").select("run_id", "track_id", "first_ms", F.greatest("last", "stop_ms").alias("last_ms"), "stop_ms", F.lit("run_stop").alias("reason"))
 
 
 @core.add("r27_tracks_in_order")
@@ -275,11 +299,17 @@ def j15(spark, d):
 
 @core.add("j16_optimal_matching")
 def j16(spark, d):
-    def match(a, b):
-        cost = np.array([[1 - T.overlap(x, y) for y in b] for x in a], float).reshape(len(a), len(b))
-        return [(i, j, 1 - cost[i, j]) for i, j in T.match_optimal(cost, 0.82)]
+    """Links of least cost between the boxes of frames that follow each other; appearance is told by the frame numbers."""
 
-    return _matched(spark, d, match)
+    def fold(frames):
+        for seen, ((run, s, _, a), (_, n, _, b)) in enumerate(itertools.pairwise(frames), 1):
+            look = lambda i, j: abs((s + i) % 13 - (n + j) % 13) / 26  # noqa: B023, E731
+            links = {(i, j): T.link_cost(x, y, int(n - s), 64 * 8, look(i, j), seen) for i, x in enumerate(_box_list(a)) for j, y in enumerate(_box_list(b))}
+            cost = np.array([1e6 if links[i, j] is None else links[i, j] for i in range(len(a)) for j in range(len(b))], float).reshape(len(a), len(b))
+            for i, j in T.match_optimal(cost, 0.82):
+                yield run, int(s), i, j, round(float(cost[i, j]), 6)
+
+    return T.streamed(_boxes(spark, d), ["run_id"], ["s"], fold, "run_id string, s long, i int, j int, cost double")
 
 
 def _matched(spark, d, match):
@@ -449,9 +479,23 @@ def _picked(pick):
     return fold
 
 
-@core.add("r11_cadence")
+_RANKED_RUNS = f"WITH RECURSIVE {_FRAMES}, g AS (SELECT run_id, s, min(t) AS t FROM f GROUP BY 1, 2), r AS (SELECT *, s % 3000 AS age, row_number() OVER (PARTITION BY run_id ORDER BY t, s) AS i FROM g)"
+
+
+@core.add(
+    "r11_cadence",
+    f"""{_RANKED_RUNS}, walk AS (SELECT run_id, s, t, i, age, t + 300000 AS due, true AS taken FROM r WHERE i = 1
+    UNION ALL SELECT r.run_id, r.s, r.t, r.i, r.age, CASE WHEN r.t >= w.due THEN w.due + 300000 * ((r.t - w.due) // 300000 + 1) ELSE w.due END, r.t >= w.due FROM walk w JOIN r ON r.run_id = w.run_id AND r.i = w.i + 1)
+    SELECT run_id, s, t FROM walk WHERE taken AND age <= 2400""",
+)
 def r11(spark, d):
-    return T.streamed(_by_run(spark, d), ["run_id"], ["t", "s"], _picked(lambda rows: T.at_cadence((int(r[2]) for r in rows), 300_000)), "run_id string, s long, t long")
+    """Frames taken every five minutes of a run; a frame that is older than 2.4 s when it is due is dropped (ages are made up)."""
+
+    def pick(rows):
+        times, ages = itertools.tee(rows)
+        return T.at_cadence((int(r[2]) for r in times), 300_000, (int(r[1]) % 3000 for r in ages), 2400)
+
+    return T.streamed(_by_run(spark, d), ["run_id"], ["t", "s"], _picked(pick), "run_id string, s long, t long")
 
 
 @core.add("r12_latest_per_trigger", f"WITH {_FRAMES} SELECT run_id, t // 60000 AS trigger, max(s) AS s, count(*) - 1 AS replaced FROM f GROUP BY 1, 2")
@@ -459,14 +503,34 @@ def r12(spark, d):
     return _frames(spark, d).groupBy("run_id", F.call_function("div", "t", F.lit(60_000)).alias("trigger")).agg(F.max("s").alias("s"), (F.count("*") - 1).alias("replaced"))
 
 
-@core.add("r14_micro_batches", f"WITH {_FRAMES}, n AS (SELECT run_id, t // 3600000 AS slot, row_number() OVER (PARTITION BY run_id, t // 3600000 ORDER BY t, s, frame_id) - 1 AS i FROM f) SELECT run_id, slot, i // 16 AS batch, count(*) AS size FROM n GROUP BY 1, 2, 3")
+@core.add(
+    "r14_micro_batches",
+    f"""{_RANKED_RUNS}, walk AS (SELECT run_id, i, t, t AS first, 1 AS held, 0 AS batch FROM r WHERE i = 1
+    UNION ALL SELECT r.run_id, r.i, r.t, CASE WHEN w.held >= 16 OR r.t > w.first + 900000 THEN r.t ELSE w.first END, CASE WHEN w.held >= 16 OR r.t > w.first + 900000 THEN 1 ELSE w.held + 1 END, CASE WHEN w.held >= 16 OR r.t > w.first + 900000 THEN w.batch + 1 ELSE w.batch END
+      FROM walk w JOIN r ON r.run_id = w.run_id AND r.i = w.i + 1) SELECT run_id, batch, count(*) AS size FROM walk GROUP BY 1, 2""",
+)
 def r14(spark, d):
-    f = _frames(spark, d).withColumn("slot", F.call_function("div", "t", F.lit(3_600_000)))
-    w = Window.partitionBy("run_id", "slot").orderBy("t", "s", "frame_id")
-    return f.withColumn("batch", F.call_function("div", F.row_number().over(w) - 1, F.lit(16))).groupBy("run_id", "slot", "batch").agg(F.count("*").alias("size"))
+    """Batches of a run that close at 16 items, or a wait after the oldest (here 15 minutes, as frames are seconds apart)."""
+
+    def fold(rows):
+        rows, again = itertools.tee(rows)
+        for r, batch in zip(rows, T.micro_batches((int(x[2]) for x in again), 16, 900_000), strict=True):
+            yield r[0], batch
 
+    out = T.streamed(_by_run(spark, d), ["run_id"], ["t", "s"], fold, "run_id string, batch int")
+    return out.groupBy("run_id", "batch").agg(F.count("*").alias("size"))
 
-@core.add("r19_leases")
+
+@core.add(
+    "r19_leases",
+    """WITH RECURSIVE c AS (SELECT DISTINCT task_id, message_id, coalesce(ends_with(lower(trim(command_kind)), 'stop'), false) AS release, coalesce(worker_consumer, 'none') AS who, create_time_ms AS t, command_kind FROM camera_task_commands WHERE task_id IS NOT NULL AND create_time_ms IS NOT NULL AND message_id IS NOT NULL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY t, message_id, who) AS i FROM c),
+    walk AS (SELECT task_id, message_id, i, CASE WHEN release THEN NULL ELSE who END AS holder, CASE WHEN release THEN -1 ELSE t + 600000 END AS until, CASE WHEN release THEN 0 ELSE 1 END AS outcome FROM r WHERE i = 1
+    UNION ALL SELECT r.task_id, r.message_id, r.i, CASE WHEN release AND live AND holder = who THEN NULL WHEN release OR live AND holder <> who THEN holder ELSE who END, CASE WHEN release OR live AND holder <> who THEN until ELSE t + 600000 END,
+      CASE WHEN release THEN CAST(live AND holder = who AS INT) WHEN live AND holder <> who THEN 0 WHEN live THEN 2 ELSE 1 END
+      FROM (SELECT w.*, r.t < w.until AND w.holder IS NOT NULL AS live FROM walk w JOIN r ON r.task_id = w.task_id AND r.i = w.i + 1) w JOIN r ON r.task_id = w.task_id AND r.i = w.i + 1)
+    SELECT task_id, message_id, CAST(outcome AS INT) AS outcome FROM walk""",
+)
 def r19(spark, d):
     c = table(spark, d, "camera_task_commands").where("task_id is not null and create_time_ms is not null and message_id is not null").select("task_id", "message_id", "command_kind", F.coalesce("worker_consumer", F.lit("none")).alias("who"), F.col("create_time_ms").alias("t")).distinct()
 
@@ -485,13 +549,23 @@ def r24(spark, d):
     m = table(spark, d, "attribute_manifest").select("source_dataset", F.col("stage177_mean_luma").try_cast("double").alias("l")).where("l is not null").groupBy("source_dataset", "l").agg(F.count("*").alias("n"))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        centres = T.three_means(pdf["l"].to_numpy(), pdf["n"].to_numpy())
+        try:
+            centres = T.three_means(pdf["l"].to_numpy(), pdf["n"].to_numpy())
+        except ValueError:  # too few values, or an empty cluster: the source has no clusters
+            return pd.DataFrame([(pdf["source_dataset"].iloc[0], -1, float("nan"))], columns=["source_dataset", "cluster", "centre"])
         return pd.DataFrame([(pdf["source_dataset"].iloc[0], i, round(x, 6)) for i, x in enumerate(centres)], columns=["source_dataset", "cluster", "centre"])
 
     return T.per_group(m, ["source_dataset"], ["l"], fold, "source_dataset string, cluster int, centre double")
 
 
-@core.add("w10_greedy_budget")
+@core.add(
+    "w10_greedy_budget",
+    """WITH RECURSIVE f AS (SELECT task_id, frame_id, min(size_bytes) AS size_bytes, min(capture_time_ms) AS t FROM camera_frames WHERE size_bytes IS NOT NULL AND frame_id IS NOT NULL GROUP BY 1, 2),
+    r AS (SELECT *, coalesce(task_id, '~') AS k, row_number() OVER (PARTITION BY task_id ORDER BY t, frame_id) AS i FROM f),
+    walk AS (SELECT k, task_id, frame_id, size_bytes, i, CAST(CASE WHEN size_bytes <= 5000000 THEN size_bytes ELSE 0 END AS BIGINT) AS used, CAST(size_bytes <= 5000000 AS INT) AS n, size_bytes <= 5000000 AS taken FROM r WHERE i = 1
+    UNION ALL SELECT r.k, r.task_id, r.frame_id, r.size_bytes, r.i, CAST(w.used + CASE WHEN w.n < 200 AND w.used + r.size_bytes <= 5000000 THEN r.size_bytes ELSE 0 END AS BIGINT), w.n + CAST(w.n < 200 AND w.used + r.size_bytes <= 5000000 AS INT), w.n < 200 AND w.used + r.size_bytes <= 5000000
+      FROM walk w JOIN r ON r.k = w.k AND r.i = w.i + 1) SELECT task_id, frame_id, size_bytes FROM walk WHERE taken""",
+)
 def w10(spark, d):
     f = table(spark, d, "camera_frames").where("size_bytes is not null and frame_id is not null").groupBy("task_id", "frame_id").agg(F.min("size_bytes").alias("size_bytes"), F.min("capture_time_ms").alias("t"))
     fold = _picked(lambda rows: T.within_budget((int(r[2]) for r in rows), 5_000_000, 200))
@@ -716,10 +790,11 @@ def k2(spark, d):
     return out
 
 
-@core.add("k4_report", """SELECT '{"frames":' || count(*) || ',"tasks":' || count(DISTINCT task_id) || '}' AS report FROM camera_frames""")
+@core.add("k4_report", """SELECT '{' || chr(10) || '  "frames": ' || count(*) || ',' || chr(10) || '  "tasks": ' || count(DISTINCT task_id) || chr(10) || '}' || chr(10) AS report FROM camera_frames""")
 def k4(spark, d):
+    """The report as its file holds it: indented by two, with a final line end."""
     g = table(spark, d, "camera_frames").agg(F.count("*").alias("frames"), F.count_distinct("task_id").alias("tasks"))
-    return g.select(F.to_json(F.struct("frames", "tasks")).alias("report"))
+    return spark.createDataFrame([(files.report_json(g),)], "report string")
 
 
 @core.add("s9_archive_members", "SELECT task_id AS archive, 'task.csv' AS member, 'version,' || version AS text FROM camera_tasks")
@@ -757,3 +832,18 @@ def v10(spark, d):
         one = t.agg(F.count("*").alias("n"), F.bit_xor(digest).alias("pin")).select(F.lit(name).alias("table_name"), "n", "pin")
         out = one if out is None else out.union(one)
     return out
+
+
+@core.add(
+    "s12_produce_and_acknowledge",
+    """WITH m AS (SELECT message_id, min(create_time_ms) AS t, coalesce(bool_or(delivered_at_ms - create_time_ms <= 500), false) AS acknowledged FROM camera_task_commands WHERE message_id IS NOT NULL GROUP BY message_id)
+    SELECT message_id, t, row_number() OVER (ORDER BY t, message_id) AS place FROM m WHERE NOT acknowledged""",
+)
+def s12(spark, d):
+    """Messages are appended to a stream, a consumer acknowledges what it got within half a second; what is pending comes out, oldest first."""
+    at = _scratch(spark, "stream")
+    m = table(spark, d, "camera_task_commands").where("message_id is not null")
+    files.produce(m.groupBy("message_id").agg(F.min("create_time_ms").alias("t")), f"{at}/messages")
+    files.acknowledge(m.where("delivered_at_ms - create_time_ms <= 500").select("message_id"), f"{at}/acknowledged")
+    pending = files.pending(spark, f"{at}/messages", f"{at}/acknowledged", "message_id")
+    return pending.select("message_id", "t", F.row_number().over(Window.orderBy("t", "message_id")).cast("long").alias("place"))  # what is not acknowledged

@@ -166,3 +166,18 @@ def metric_lines(metrics: DataFrame, name: str = "name", value: str = "value", l
     parts: list[Column] = [F.when(F.col(c).isNotNull(), F.concat(F.lit(f'{k}="'), quote(F.col(c).cast("string")), F.lit('"'))) for k, c in (labels or {}).items()]
     body = F.array_join(F.array_compact(F.array(*parts)), ",") if parts else F.lit("")
     return metrics.select(F.concat(F.col(name), F.when(body != "", F.concat(F.lit("{"), body, F.lit("}"))).otherwise(""), F.lit(" "), F.col(value).cast("string")).alias("line"))
+
+
+def produce(messages: DataFrame, stream: str) -> None:
+    """Appends messages to a stream folder, from which a file stream or a batch reads them."""
+    messages.write.mode("append").parquet(stream)
+
+
+def acknowledge(keys: DataFrame, acknowledged: str) -> None:
+    """Notes that messages have been dealt with. Noting one again changes nothing."""
+    keys.distinct().write.mode("append").parquet(acknowledged)
+
+
+def pending(spark: SparkSession, stream: str, acknowledged: str, key: str) -> DataFrame:
+    """The messages of a stream that nobody has acknowledged."""
+    return spark.read.parquet(stream).join(spark.read.parquet(acknowledged), key, "left_anti")
