@@ -108,3 +108,12 @@ def first_reason(*rules: tuple[str, Column], otherwise: str = "accepted") -> Col
 def tags(*rules: tuple[str, Column]) -> Column:
     """The names of all rules that hold, in order."""
     return F.array_compact(F.array(*[F.when(cond, F.lit(name)) for name, cond in rules]))
+
+
+# The labels that records may carry, and why a track may end.
+VEHICLE_CLASSES = ("car", "truck", "bus", "motorcycle", "vehicle")
+BODY_TYPES = ("sedan", "suv", "mpv", "van", "pickup", "truck", "light_truck", "heavy_truck", "bus", "unknown")
+COLORS = ("white", "black", "gray", "silver", "red", "blue", "yellow", "green", "brown", "unknown")
+QUALITIES = ("good", "usable", "poor", "unknown")
+VIEWPOINTS = ("front", "front_three_quarter", "side", "rear_three_quarter", "rear", "unknown")
+FINAL_REASONS = ("stable", "track_exit", "run_stop")

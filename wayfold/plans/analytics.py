@@ -957,18 +957,79 @@ _RULES = [
     ("bad_flag", f"{spell.trimmed('night')} NOT IN ('1', 'true', 'yes', 'y', 'on', '0', 'false', 'no', 'n', 'off', '')", lambda: P.strict_flag("night").isNull() & F.col("night").isNotNull()),
     ("self_pointer", f"{spell.path('stage177_near_duplicate_of')} = {spell.path('image_path')}", lambda: normal.path("stage177_near_duplicate_of") == normal.path("image_path")),
     ("no_source", f"{spell.key('source_dataset')} IS NULL OR {spell.key('source_license')} IS NULL", lambda: normal.key("source_dataset").isNull() | normal.key("source_license").isNull()),
+    ("no_license_review", f"{spell.key('review_status')} = 'approved' AND {spell.key('source_license')} IS NULL", lambda: F.coalesce(normal.key("review_status") == "approved", F.lit(False)) & normal.key("source_license").isNull()),
+    ("unsafe_path", f"image_path IS NULL OR starts_with(image_path, '/') OR regexp_matches(image_path, '^[A-Za-z]:') OR len(list_filter(string_split(replace(image_path, chr(92), '/'), '/'), lambda x: x = '..')) > 0",
+     lambda: F.col("image_path").isNull() | F.col("image_path").startswith("/") | F.col("image_path").rlike("^[A-Za-z]:") | F.array_contains(F.split(F.translate("image_path", "\\", "/"), "/"), "..")),
+    ("repeated_path", "path_count > 1", lambda: F.col("path_count") > 1),
+    *[(f"no_{c}", f"{spell.key(c)} IS NULL", lambda c=c: normal.key(c).isNull()) for c in ("camera_id", "video_id", "track_group")],
+    *[(f"leaking_{c}", f"{c}_splits > 1", lambda c=c: F.col(f"{c}_splits") > 1) for c in ("camera_id", "video_id", "track_group")],
+    *[(f"unknown_{c}", f"{e} NOT IN ({spell.members(v)})", lambda f=f, v=v: ~f().isin(*v)) for c, e, f, v in (
+        ("body_type", BODY, lambda: normal.label("body_type"), P.BODY_TYPES), ("color", COLOR, lambda: normal.color("color"), P.COLORS),
+        ("crop_quality", spell.key("crop_quality"), lambda: normal.key("crop_quality"), P.QUALITIES), ("viewpoint", spell.key("viewpoint"), lambda: normal.key("viewpoint"), P.VIEWPOINTS))],
+    ("poor_crop_has_label", f"{spell.key('crop_quality')} = 'poor' AND ({BODY} IS NOT NULL OR {COLOR} IS NOT NULL)", lambda: (normal.key("crop_quality") == "poor") & (normal.label("body_type").isNotNull() | normal.color("color").isNotNull())),
 ]
 
 
-@core.add("v2_manifest_rules", f"WITH r AS (SELECT stage177_row_number AS row_number, unnest([{', '.join(f'''CASE WHEN {s} THEN '{n}' END''' for n, s, _ in _RULES)}]) AS rule FROM attribute_manifest) SELECT row_number, rule FROM r WHERE rule IS NOT NULL")
+def _checked(spark, d):
+    """The manifest with what rules need to know of other rows: path_count, and per key the number of splits it is in."""
+    m = manifest(spark, d).withColumn("_path", normal.path("image_path"))
+    often = m.where("_path is not null").groupBy("_path").agg(F.count("*").alias("path_count")).where("path_count > 1")
+    m = m.join(often, "_path", "left").drop("_path")
+    for c in ("camera_id", "video_id", "track_group"):
+        key = manifest(spark, d).select(normal.key(c).alias("_key"), normal.split_name("split").alias("_split")).where("_key is not null and _split is not null")
+        torn = key.groupBy("_key", "_split").agg(F.lit(1).alias("one")).groupBy("_key").agg(F.count("*").alias(f"{c}_splits")).where(f"{c}_splits > 1")
+        m = m.join(torn, normal.key(c) == F.col("_key"), "left").drop("_key")
+    return m
+
+
+_CHECKED = f"""k AS (SELECT stage177_row_number AS r, {SPLIT} AS s, {spell.path('image_path')} AS p, {spell.key('camera_id')} AS c, {spell.key('video_id')} AS v, {spell.key('track_group')} AS t FROM attribute_manifest),
+  paths AS (SELECT p, count(*) AS path_count FROM k WHERE p IS NOT NULL GROUP BY p), cs AS (SELECT c, count(DISTINCT s) AS camera_id_splits FROM k WHERE c IS NOT NULL GROUP BY c), vs AS (SELECT v, count(DISTINCT s) AS video_id_splits FROM k WHERE v IS NOT NULL GROUP BY v),
+  ts AS (SELECT t, count(DISTINCT s) AS track_group_splits FROM k WHERE t IS NOT NULL GROUP BY t), checked AS (SELECT m.*, path_count, camera_id_splits, video_id_splits, track_group_splits
+  FROM attribute_manifest m JOIN k ON k.r = stage177_row_number LEFT JOIN paths USING (p) LEFT JOIN cs USING (c) LEFT JOIN vs USING (v) LEFT JOIN ts USING (t))"""
+
+
+@core.add("v2_manifest_rules", f"WITH {_CHECKED}, r AS (SELECT stage177_row_number AS row_number, unnest([{', '.join(f'CASE WHEN {q} THEN {chr(39)}{n}{chr(39)} END' for n, q, _ in _RULES)}]) AS rule FROM checked) SELECT row_number, rule FROM r WHERE rule IS NOT NULL")
 def v2(spark, d):
-    # one pass: a row yields as many errors as rules it breaks
-    return manifest(spark, d).select("row_number", F.explode(P.tags(*[(n, f()) for n, _, f in _RULES])).alias("rule"))
+    """One row per row and rule it breaks, in one pass over the manifest and what other rows say."""
+    return _checked(spark, d).select("row_number", F.explode(P.tags(*[(n, f()) for n, _, f in _RULES])).alias("rule"))
+
+
+_APPROVED = f"coalesce({spell.key('review_status')} = 'approved', false)"
+_HEADS = {h: f"coalesce({_flag}, {_APPROVED})" for h, _flag in ((h, f"(CASE WHEN {spell.key(f'{h}_supervised')} IN ('1', 'true', 'yes', 'y', 'on') THEN true WHEN {spell.key(f'{h}_supervised')} IN ('0', 'false', 'no', 'n', 'off') THEN false END)") for h in ("body_type", "color"))}
+#: Checks of a table of crops as it was typed in: an approved row has to be whole, another may lack what it does not say.
+_CROP_CHECKS = [
+    *[(f"invalid_{c}", f"({_APPROVED} OR trim(coalesce({c}, '')) <> '') AND NOT coalesce({c} IN ({spell.members(v)}), false)", lambda c=c, v=v: (_approved() | (F.trim(F.coalesce(c, F.lit(""))) != "")) & ~F.coalesce(F.col(c).isin(*v), F.lit(False)))
+      for c, v in (("body_type", P.BODY_TYPES), ("color", P.COLORS), ("crop_quality", P.QUALITIES), ("viewpoint", P.VIEWPOINTS))],
+    ("invalid_split", "NOT coalesce(split IN ('train', 'validation', 'test'), false)", lambda: ~F.coalesce(F.col("split").isin("train", "validation", "test"), F.lit(False))),
+    *[(f"invalid_{c}", f"({_APPROVED} OR trim(coalesce({c}, '')) <> '') AND {spell.trimmed(c)} NOT IN ('1', 'true', 'yes', 'y', 'on', '0', 'false', 'no', 'n', 'off')", lambda c=c: (_approved() | (F.trim(F.coalesce(c, F.lit(""))) != "")) & F.col(c).isNotNull() & normal.flag(c).isNull()) for c in ("blur", "occluded", "truncated", "night")],
+    ("poor_crop_named", f"{_APPROVED} AND crop_quality = 'poor' AND (body_type <> 'unknown' OR color <> 'unknown')", lambda: _approved() & (F.col("crop_quality") == "poor") & ((F.col("body_type") != "unknown") | (F.col("color") != "unknown"))),
+    ("poor_crop_unsupervised", f"{_APPROVED} AND crop_quality = 'poor' AND NOT ({_HEADS['body_type']} AND {_HEADS['color']})", lambda: _approved() & (F.col("crop_quality") == "poor") & ~(_supervised("body_type") & _supervised("color"))),
+    *[(f"unsupervised_{h}_named", f"{_APPROVED} AND NOT {_HEADS[h]} AND {h} <> 'unknown'", lambda h=h: _approved() & ~_supervised(h) & (F.col(h) != "unknown")) for h in ("body_type", "color")],
+]
+_LEAST_CROPS = 100_000
+
 
+def _approved():
+    return F.coalesce(normal.key("review_status") == "approved", F.lit(False))
 
-@core.add("v3_manifest_rule_counts", f"WITH r AS (SELECT unnest([{', '.join(f'''CASE WHEN {s} THEN '{n}' END''' for n, s, _ in _RULES)}]) AS rule FROM attribute_manifest) SELECT rule, count(*) AS n FROM r WHERE rule IS NOT NULL GROUP BY rule")
+
+def _supervised(head):
+    return F.coalesce(normal.flag(f"{head}_supervised"), _approved())
+
+
+@core.add(
+    "v3_manifest_rule_counts",
+    f"""WITH r AS (SELECT unnest([{', '.join(f'CASE WHEN {q} THEN {chr(39)}{n}{chr(39)} END' for n, q, _ in _CROP_CHECKS)}]) AS rule FROM attribute_manifest),
+    n AS (SELECT count(*) FILTER ({_APPROVED} AND coalesce(crop_quality <> 'poor', true) AND ({_HEADS['body_type']} AND coalesce(body_type IN ({spell.members(P.BODY_TYPES[:-1])}), false) OR {_HEADS['color']} AND coalesce(color IN ({spell.members(P.COLORS[:-1])}), false))) AS n FROM attribute_manifest)
+    SELECT rule, count(*) AS n FROM r WHERE rule IS NOT NULL GROUP BY rule UNION ALL SELECT 'fewer_than_required', n FROM n WHERE n < {_LEAST_CROPS}""",
+)
 def v3(spark, d):
-    return v2(spark, d).groupBy("rule").agg(F.count("*").alias("n"))
+    """Checks of the crops as typed, counted, and a gate on the number of approved crops that are supervised and named."""
+    m = manifest(spark, d)
+    broken = m.select(F.explode(P.tags(*[(n, f()) for n, _, f in _CROP_CHECKS])).alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))
+    named = lambda h, v: _supervised(h) & F.coalesce(F.col(h).isin(*v[:-1]), F.lit(False))
+    good = _approved() & F.coalesce(F.col("crop_quality") != "poor", F.lit(True)) & (named("body_type", P.BODY_TYPES) | named("color", P.COLORS))
+    return broken.union(m.agg(F.count_if(good).alias("n")).where(F.col("n") < _LEAST_CROPS).select(F.lit("fewer_than_required"), "n"))
 
 
 @core.add(

@@ -103,14 +103,21 @@ _EVENT_RULES = [
     ("bad_event_id", f"NOT {_ID.format('event_id')}", lambda: ~P.identifier("event_id")),
     ("bad_task_id", f"NOT {_ID.format('task_id')}", lambda: ~P.identifier("task_id")),
     ("bad_run_id", f"NOT {_ID.format('run_id')}", lambda: ~P.identifier("run_id")),
+    ("bad_camera_id", f"NOT {_ID.format('camera_id')}", lambda: ~P.identifier("camera_id")),
+    ("camera_is_not_task", "task_id IS DISTINCT FROM camera_id", lambda: ~F.col("task_id").eqNullSafe(F.col("camera_id"))),
     ("bad_track", "coalesce(track_id, 0) <= 0", lambda: F.coalesce("track_id", F.lit(0)) <= 0),
+    ("bad_first_time", "coalesce(first_seen_at_ms, 0) <= 0", lambda: F.coalesce("first_seen_at_ms", F.lit(0)) <= 0),
     ("times_out_of_order", "NOT coalesce(first_seen_at_ms <= last_seen_at_ms AND last_seen_at_ms <= occurred_at_ms AND occurred_at_ms <= created_at_ms, false)", lambda: ~F.coalesce((F.col("first_seen_at_ms") <= F.col("last_seen_at_ms")) & (F.col("last_seen_at_ms") <= F.col("occurred_at_ms")) & (F.col("occurred_at_ms") <= F.col("created_at_ms")), F.lit(False))),
+    *[(f"unknown_{c}", f"NOT coalesce({c} IN ({spell.members(v)}), false)", lambda c=c, v=v: ~F.coalesce(F.col(c).isin(*v), F.lit(False))) for c, v in (("vehicle_class", P.VEHICLE_CLASSES), ("body_type", P.BODY_TYPES), ("color", P.COLORS))],
     ("class_confidence", "NOT coalesce(vehicle_class_confidence BETWEEN 0 AND 1, false)", lambda: ~P.between01("vehicle_class_confidence")),
     ("body_confidence", "NOT coalesce(body_type_confidence BETWEEN 0 AND 1, false)", lambda: ~P.between01("body_type_confidence")),
     ("color_confidence", "NOT coalesce(color_confidence BETWEEN 0 AND 1, false)", lambda: ~P.between01("color_confidence")),
     ("samples", "NOT coalesce(body_type_samples_used BETWEEN 0 AND 64 AND color_samples_used BETWEEN 0 AND 64, false)", lambda: ~F.coalesce(F.col("body_type_samples_used").between(0, 64) & F.col("color_samples_used").between(0, 64), F.lit(False))),
     ("stable_without_samples", "coalesce((body_type_stable AND body_type_samples_used = 0) OR (color_stable AND color_samples_used = 0), false)", lambda: F.coalesce((F.col("body_type_stable") & (F.col("body_type_samples_used") == 0)) | (F.col("color_stable") & (F.col("color_samples_used") == 0)), F.lit(False))),
     ("crop_quality", "NOT coalesce(crop_quality BETWEEN 0 AND 1, false)", lambda: ~P.between01("crop_quality")),
+    *[(f"bad_{c}", f"NOT {_ID.format(c)}", lambda c=c: ~P.identifier(c)) for c in ("detector_artifact", "attribute_artifact", "labels_version", "config_version")],
+    ("bad_evidence", f"coalesce(evidence_frame_id, '') <> '' AND NOT {_ID.format('evidence_frame_id')}", lambda: (F.coalesce("evidence_frame_id", F.lit("")) != "") & ~P.identifier("evidence_frame_id")),
+    ("bad_reason", f"NOT coalesce(finalized_reason IN ({spell.members(P.FINAL_REASONS)}), false)", lambda: ~F.coalesce(F.col("finalized_reason").isin(*P.FINAL_REASONS), F.lit(False))),
     ("unsafe_path", "snapshot_relative_path IS NOT NULL AND snapshot_relative_path <> '' AND (starts_with(snapshot_relative_path, '/') OR contains(snapshot_relative_path, chr(92)) OR regexp_matches(snapshot_relative_path, '^[A-Za-z]:') OR len(list_filter(string_split(snapshot_relative_path, '/'), lambda x: x IN ('', '.', '..'))) > 0)", lambda: F.col("snapshot_relative_path").isNotNull() & (F.col("snapshot_relative_path") != "") & ~P.safe_path("snapshot_relative_path")),
 ]
 

@@ -48,3 +48,7 @@ def epoch_ms(c: str) -> str:
         f"(CASE WHEN {c} <= 0 THEN NULL WHEN {c} < 100000000000 THEN {c} * 1000 WHEN {c} < 100000000000000 THEN {c}"
         f" WHEN {c} < 100000000000000000 THEN {c} // 1000 ELSE {c} // 1000000 END)"
     )
+
+
+def members(values: tuple[str, ...]) -> str:
+    return ", ".join(f"'{v}'" for v in values)
