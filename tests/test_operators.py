@@ -212,3 +212,21 @@ def test_sums_before_are_those_of_a_window(spark):
             want[i] = total.get(g, 0)
             total[g] = want[i] + v
         assert got == {i: (want[i], total[g]) for g, _, i, _ in data}
+
+
+def test_inserts_name_the_constraint_they_break(spark):
+    old = spark.createDataFrame([("a", 1), (None, 2)], "k string, other int")
+    new = spark.createDataFrame([("a", 1), ("b", 2), ("b", 3), (None, 4)], "k string, v int")
+    assert rows(relational.inserted(old, new, "k", [F.col("v")]).select("v", "outcome")) == [(1, "unique_violation"), (2, "inserted"), (3, "unique_violation"), (4, "not_null_violation")]
+
+
+def test_plans_by_quota_and_rarity():
+    from wayfold.plans.stateful import bounded_plan, rarest_first
+
+    offers = [((i,), s, 1, 0) for i, s in enumerate("aaab")] + [((i,), s, 1, 1) for i, s in enumerate("aaab")]
+    assert list(bounded_plan(offers, 1, 3, 10)) == [(0,), (3,), (1,)]
+    assert list(bounded_plan(offers, 1, 9, 2)) == [(0,), (3,)]
+    groups = [(f"g{i}", {"rare": 1} if i < 4 else {"common": 5}) for i in range(20)]
+    out = dict(rarest_first(iter(groups), {"rare": 4, "common": 80}, 20))
+    assert [list(out.values()).count(s) for s in ("train", "validation", "test")] == [14, 3, 3]
+    assert {out[f"g{i}"] for i in range(4)} == {"train", "validation", "test"}

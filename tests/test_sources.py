@@ -4,6 +4,7 @@ import tarfile
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from wayfold.sources import files
 
@@ -58,3 +59,30 @@ def test_sinks(spark, tmp_path):
     assert files.report_json(d) == '{\n  "x": 1,\n  "y": "a"\n}\n'
     m = spark.createDataFrame([("n", 1.5, 'a"b'), ("n", 2.0, None)], "name string, value double, l string")
     assert rows(files.metric_lines(m, labels={"t": "l"})) == [('n 2.0',), ('n{t="a\\"b"} 1.5',)] or rows(files.metric_lines(m, labels={"t": "l"})) == [('n{t="a\\"b"} 1.5',), ('n 2.0',)]
+
+
+def test_a_batch_over_several_tables_is_seen_whole_or_not_at_all(spark, tmp_path):
+    at = str(tmp_path / "store")
+    one = spark.createDataFrame([(1, "x")], "k int, v string")
+    broken = one.select("k", F.raise_error(F.lit("no")).cast("string").alias("v"))
+    assert files.commit_batch({"a": one, "b": one}, at, "first")
+    with pytest.raises(Exception, match="no"):
+        files.commit_batch({"a": one, "b": broken}, at, "second")
+    count = lambda name: files.committed(spark, at, name, one.schema).count()
+    assert (count("a"), count("b"), count("none")) == (1, 1, 0)
+    assert files.commit_batch({"a": one, "b": one}, at, "second") and not files.commit_batch({"a": one}, at, "second")
+    assert (count("a"), count("b")) == (2, 2)
+
+
+def test_large_members_are_an_error_unless_left_out(spark):
+    import io
+    import zipfile
+
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        z.writestr("a.csv", "x" * 100)
+        z.writestr("b.csv", "x")
+    archives = spark.createDataFrame([("z", bytearray(held.getvalue()))], "path string, content binary")
+    with pytest.raises(Exception, match="a.csv has 100 bytes"):
+        files.members_of(archives, largest=50).collect()
+    assert [r["member"] for r in files.members_of(archives, largest=50, leave_out_larger=True).collect()] == ["b.csv"]

@@ -127,3 +127,24 @@ def dhash_bits(values: Column, right_greater: bool = True, rows: int = 8, column
     right = lambda i: F.get(values, F.call_function("div", i, F.lit(columns)).cast("int") * (columns + 1) + i % columns + 1)
     bit = lambda i: F.when(right(i) > left(i) if right_greater else left(i) > right(i), "1").otherwise("0")
     return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(rows * columns - 1)), bit), "")
+
+
+def low_light(mean, median, border, dark, p90) -> Column:
+    """From 0 to 1: how dark a picture is by its mean, median, 90th percentile and border (0 to 255) and its share of dark values."""
+    part = lambda c, top, width: clamp01((F.lit(top) - _c(c)) / width)
+    return 0.28 * part(mean, 95.0, 65.0) + 0.22 * part(median, 90.0, 65.0) + 0.25 * part(border, 100.0, 70.0) + 0.15 * F.least(F.lit(1.0), _c(dark) / 0.60) + 0.10 * part(p90, 165.0, 105.0)
+
+
+def picture_statistics(values: Column, side: int = 8, border: int = 2) -> dict[str, Column]:
+    """mean, median, p90, border, dark, contrast and edges of a square picture given row by row, from 0 to 255."""
+    n = side * side
+    add = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    ordered = F.array_sort(values)
+    at = lambda q: F.get(ordered, F.lit(int(q * (n - 1)))) + (q * (n - 1) - int(q * (n - 1))) * (F.get(ordered, F.lit(min(n - 1, int(q * (n - 1)) + 1))) - F.get(ordered, F.lit(int(q * (n - 1)))))
+    row, column = lambda i: F.call_function("div", i, F.lit(side)), lambda i: i % side
+    edge = lambda k: (k < border) | (k >= side - border)
+    ring = F.filter(values, lambda x, i: edge(row(i)) | edge(column(i)))
+    mean = add(values) / n
+    steps = F.transform(F.filter(F.sequence(F.lit(0), F.lit(n - 2)), lambda i: column(i) < side - 1), lambda i: F.get(values, i + 1) - F.get(values, i))
+    spread = lambda a: add(F.transform(a, lambda x: x * x)) / F.size(a) - F.pow(add(a) / F.size(a), F.lit(2))
+    return {"mean": mean, "median": at(0.5), "p90": at(0.9), "border": add(ring) / F.size(ring), "dark": F.size(F.filter(values, lambda x: x < 55)) / n, "contrast": F.sqrt(F.greatest(F.lit(0.0), spread(values))), "edges": spread(steps)}

@@ -33,6 +33,15 @@ def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str], version: list
     return first_per(new.join(old.select(*keys).distinct(), keys, "left_anti"), keys, version)
 
 
+def inserted(old: DataFrame, new: DataFrame, key: str, order: list[Column]) -> DataFrame:
+    """new with outcome: 'inserted', 'unique_violation' (the key is held, or an earlier row of new has it) or
+    'not_null_violation'. Rows without a key are told apart before the ranking, so they fill no window."""
+    named = new.where(F.col(key).isNotNull()).withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    held = old.select(F.col(key).alias("_held")).where("_held is not null").distinct()
+    out = named.join(held, F.col(key) == F.col("_held"), "left").withColumn("outcome", F.when((F.col("_k") > 1) | F.col("_held").isNotNull(), "unique_violation").otherwise("inserted"))
+    return out.drop("_k", "_held").unionByName(new.where(F.col(key).isNull()).withColumn("outcome", F.lit("not_null_violation")))
+
+
 def compare_and_set(rows: DataFrame, changes: DataFrame, key: str, version: str, columns: list[str]) -> DataFrame:
     """changes: key, expected version, new values. Per change: key, outcome, new version.
 

@@ -186,10 +186,10 @@ def f14(spark, d):
     return manifest(spark, d).where(~P.marked(["source_manifest", "image_path"], ["harbor", "synth"])).select(F.col("stage177_row_number").alias("row_number"))
 
 
-@core.add("f15_geometry", "SELECT frame_id, capture_time_ms FROM camera_frames WHERE width > 0 AND height > 0 AND CAST(width AS DOUBLE) / height BETWEEN 0.45 AND 1.7 AND least(width, height) >= 480 AND coalesce(size_bytes, 0) BETWEEN 100000 AND 900000")
+@core.add("f15_geometry", "SELECT frame_id, capture_time_ms FROM camera_frames WHERE width > 0 AND height > 0 AND CAST(width AS DOUBLE) / height BETWEEN 0.45 AND 4 AND least(width, height) >= 480 AND coalesce(size_bytes, 0) BETWEEN 100000 AND 900000")
 def f15(spark, d):
     aspect = F.col("width").cast("double") / F.col("height")
-    return frames(spark, d).where((F.col("width") > 0) & (F.col("height") > 0)).where(aspect.between(0.45, 1.7) & (F.least("width", "height") >= 480) & F.coalesce("size_bytes", F.lit(0)).between(100_000, 900_000)).select("frame_id", "capture_time_ms")
+    return frames(spark, d).where((F.col("width") > 0) & (F.col("height") > 0)).where(aspect.between(0.45, 4.0) & (F.least("width", "height") >= 480) & F.coalesce("size_bytes", F.lit(0)).between(100_000, 900_000)).select("frame_id", "capture_time_ms")
 
 
 _GATE = """WITH s AS (SELECT event_id, created_at_ms, CAST(track_id % 40 + 60 AS DOUBLE) AS w, CAST(track_id % 30 + 40 AS DOUBLE) AS h, coalesce(color_confidence, 0) / 20 AS sharp, coalesce(body_type_confidence, 0) AS expo,

@@ -14,6 +14,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as X
+from ..operators.calibration import chosen
 from ..operators import relational as R
 from ..operators import tracks as T
 from ..sources import files
@@ -108,12 +109,47 @@ def x9(spark, d):
     return table(spark, d, "attribute_manifest").select(F.col("stage177_row_number").alias("row_number"), F.round(F.greatest(F.lit(0.01), F.least(F.lit(1.0), w)), 6).alias("weight"))
 
 
+_PICTURE = """v AS (SELECT vec_id, list_transform(embedding, lambda x: least(255.0, greatest(0.0, 70 + 60 * CAST(x AS DOUBLE)))) AS v FROM embeddings),
+  ring AS (SELECT vec_id, v, list_filter(v, lambda x, i: (i - 1) // 8 < 2 OR (i - 1) // 8 >= 6 OR (i - 1) % 8 < 2 OR (i - 1) % 8 >= 6) AS edge, list_transform(list_filter(generate_series(1, 63), lambda i: i % 8 <> 0), lambda i: v[i + 1] - v[i]) AS steps FROM v),
+  st AS (SELECT vec_id, list_avg(v) AS mean, list_median(v) AS median, list_aggregate(v, 'quantile_cont', 0.9) AS p90, list_avg(edge) AS border, len(list_filter(v, lambda x: x < 55)) / 64 AS dark, list_aggregate(v, 'stddev_pop') AS contrast, list_aggregate(steps, 'var_pop') AS edges FROM ring)"""
+
+
+def _pictures(spark, d):
+    """Vectors as pictures of 8 by 8 brightness values, with their statistics."""
+    v = F.transform("embedding", lambda x: F.least(F.lit(255.0), F.greatest(F.lit(0.0), 70 + 60 * x.cast("double"))))
+    p = table(spark, d, "embeddings").select("vec_id", v.alias("v"))
+    return p.select("vec_id", *[c.alias(n) for n, c in X.picture_statistics(F.col("v")).items()])
+
+
 @core.add(
     "x11_low_light",
+    f"""WITH {_PICTURE}, q AS (SELECT *, 0.28 * least(1, greatest(0, (95 - mean) / 65)) + 0.22 * least(1, greatest(0, (90 - median) / 65)) + 0.25 * least(1, greatest(0, (100 - border) / 70)) + 0.15 * least(1, dark / 0.6) + 0.10 * least(1, greatest(0, (165 - p90) / 105)) AS score FROM st)
+    SELECT vec_id, round(score, 6) AS score, score >= 0.62 AND mean <= 88 AND median <= 82 AND border <= 95 AND dark >= 0.3 AS low_light, score >= 0.78 AND mean <= 70 AND median <= 65 AND border <= 80 AND dark >= 0.45 AS night,
+      score <= 0.15 AND mean >= 130 AND median >= 120 AND dark <= 0.1 AS bright FROM q""",
+)
+def x11(spark, d):
+    p = _pictures(spark, d).withColumn("score", X.low_light("mean", "median", "border", "dark", "p90"))
+    flag = lambda text, name: F.expr(text).alias(name)
+    return p.select(
+        "vec_id", F.round("score", 6).alias("score"), flag("score >= 0.62 and mean <= 88 and median <= 82 and border <= 95 and dark >= 0.3", "low_light"),
+        flag("score >= 0.78 and mean <= 70 and median <= 65 and border <= 80 and dark >= 0.45", "night"), flag("score <= 0.15 and mean >= 130 and median >= 120 and dark <= 0.1", "bright"),
+    )
+
+
+@core.add("f15_picture_gate", f"WITH {_PICTURE} SELECT vec_id, CASE WHEN mean NOT BETWEEN 12 AND 245 THEN 'exposure' WHEN contrast < 50 THEN 'contrast' WHEN edges < 2000 THEN 'edges' ELSE 'accepted' END AS reason FROM st")
+def f15_pictures(spark, d):
+    """Pictures by the first test they fail: exposure, contrast (standard deviation), edges (variance of steps to the right)."""
+    from ..functions.predicates import first_reason
+
+    return _pictures(spark, d).select("vec_id", first_reason(("exposure", ~F.col("mean").between(12, 245)), ("contrast", F.col("contrast") < 50), ("edges", F.col("edges") < 2000), otherwise="accepted").alias("reason"))
+
+
+@core.add(
+    "x11_explicit_scene",
     f"""WITH m AS (SELECT stage177_row_number AS row_number, try_cast(stage177_mean_luma AS DOUBLE) AS l, {_yes('night')} AS n, lower(trim(coalesce(stage177_scene_label, ''), ' ')) AS s FROM attribute_manifest)
     SELECT row_number, CASE WHEN l IS NULL THEN 0 ELSE round(greatest(0.0, least(1.0, (110 - l) / 90)), 6) END AS score, CASE WHEN n OR s = 'night' THEN 'night' WHEN s IN ('daylight', 'day') THEN 'day' WHEN l < 55 THEN 'low_light' ELSE 'unknown' END AS scene FROM m""",
 )
-def x11(spark, d):
+def x11_scene(spark, d):
     from ..functions.predicates import first_reason, truthy
 
     luma, s = F.col("stage177_mean_luma").try_cast("double"), F.lower(F.trim(F.coalesce("stage177_scene_label", F.lit(""))))
@@ -405,30 +441,58 @@ def r5(spark, d):
     return T.streamed(_seen(spark, d), ["track"], ["position"], fold, "track long, label string, confidence double, stable boolean, switches int")
 
 
-@core.add("r4_collecting_tracks", f"WITH {OBS}, n AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY pos) AS i FROM obs) SELECT track, count(*) AS collected FROM n WHERE i >= 3 AND i <= 20 GROUP BY track")
+@core.add(
+    "r4_collecting_tracks",
+    f"""WITH {OBS}, n AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY pos) AS i, row_number() OVER (PARTITION BY track, label ORDER BY pos) AS same FROM obs), s AS (SELECT track, min(i) AS stable_at FROM n WHERE label <> 'unknown' AND same >= 5 GROUP BY track)
+    SELECT n.track, pos AS position, CASE WHEN i < 3 THEN 'tentative' WHEN i > coalesce(stable_at, i) THEN 'stable' ELSE 'collected' END AS outcome FROM n LEFT JOIN s ON s.track = n.track""",
+)
 def r4(spark, d):
+    """Only confirmed tracks (from the third observation) collect, until a label was seen five times and the track is stable."""
     w = Window.partitionBy("track").orderBy("pos")
-    return obs(spark, d).withColumn("i", F.row_number().over(w)).where("i between 3 and 20").groupBy("track").agg(F.count("*").alias("collected"))
+    n = obs(spark, d).withColumn("i", F.row_number().over(w)).withColumn("same", F.row_number().over(Window.partitionBy("track", "label").orderBy("pos")))
+    stable = F.min(F.when((F.col("label") != "unknown") & (F.col("same") >= 5), F.col("i"))).over(Window.partitionBy("track"))
+    return n.withColumn("stable_at", stable).select("track", F.col("pos").alias("position"), F.when(F.col("i") < 3, "tentative").when(F.col("i") > F.coalesce("stable_at", F.col("i")), "stable").otherwise("collected").alias("outcome"))
+
+
+_FUSION = {"threshold": (0.3, 0.5), "window": (1, 3, 5), "share": (0.4, 0.6), "margin": (0.05, 0.2)}
 
 
 @core.add("c6_fusion_grid")
 def c6(spark, d):
-    grid = spark.createDataFrame([(w, s) for w in (1, 3, 5) for s in (0.4, 0.6)], "window int, share double")
+    """Every setting of threshold, window, share and margin with the precision and coverage of each track's last label, the
+    stability of what is fused (the share of its leading label), and which setting is chosen: the most coverage at the
+    precision and stability wanted, else the most precise. The truth of a track is its most frequent label."""
+    grid = spark.createDataFrame(list(itertools.product(*_FUSION.values())), "threshold double, window int, share double, margin double")
 
     def fold(seen):
         seen, first = itertools.tee(seen)
-        head = next(first)
-        n = emitted = switches = 0
-        held = None
+        (*_, threshold, window, share, margin) = next(first)
         del first
-        for label in T.fuse_window((r[2:5] for r in seen), int(head[5]), float(head[6]), 0.05):
+        single, kept = 0, {}
+        last, raw, n = "unknown", {}, 0
+
+        def gated():
+            nonlocal single
+            for r in seen:
+                label = r[2] if r[3] >= threshold else "unknown"
+                single += label != "unknown"
+                raw[r[2]] = raw.get(r[2], 0) + 1
+                yield label, r[3], r[4]
+
+        for last in T.fuse_window(gated(), int(window), float(share), float(margin)):
             n += 1
-            if label != "unknown":
-                emitted, switches, held = emitted + 1, switches + (held is not None and label != held), label
-        yield int(head[5]), float(head[6]), n, emitted, switches
+            if last != "unknown":
+                kept[last] = kept.get(last, 0) + 1
+        truth = min((k for k in raw if k != "unknown"), key=lambda k: (-raw[k], k), default="unknown")
+        yield threshold, int(window), share, margin, n, single, sum(kept.values()), max(kept.values(), default=0), int(last != "unknown"), int(last != "unknown" and last == truth)
 
-    each = T.streamed(_seen(spark, d).join(F.broadcast(grid)), ["window", "share", "track"], ["position"], fold, "window int, share double, n long, emitted long, switches long")
-    return each.groupBy("window", "share").agg(F.sum("n").alias("n"), F.sum("emitted").alias("emitted"), F.sum("switches").alias("switches"))
+    names = ["n", "single", "emitted", "leading", "selected", "right"]
+    each = T.streamed(_seen(spark, d).join(F.broadcast(grid)), [*_FUSION, "track"], ["position"], fold, "threshold double, window int, share double, margin double, " + ", ".join(f"{c} long" for c in names))
+    g = each.groupBy(*_FUSION).agg(*[F.sum(c).alias(c) for c in names], F.count("*").alias("tracks"))
+    g = g.select(*_FUSION, X.ratio("right", "selected").alias("precision"), X.ratio("selected", "tracks").alias("coverage"), X.ratio("leading", "emitted").alias("stability"), X.ratio("single", "n").alias("single_coverage"), (1 - X.ratio("emitted", "n")).alias("abstention"))
+    passing = (F.col("coverage") > 0) & (F.col("precision") >= 0.6) & (F.col("stability") >= 0.5)
+    rank = [F.col("coverage"), F.col("single_coverage"), -F.col("abstention"), -F.col("threshold")]
+    return chosen(g, passing, rank, [F.col("precision"), F.col("coverage"), F.col("stability")], [F.col(c) for c in _FUSION])
 
 
 # ---- queues, cadence, budgets
@@ -621,40 +685,79 @@ def t9(spark, d):
 
 @core.add("t11_rarity_split")
 def t11(spark, d):
-    """Groups go, those with the rarest label first, to the split that lacks that label most."""
+    """Videos go, those with the rarest labels first, to the split that lacks most of what they hold and still has room.
+
+    A split's lack of a label is what is missing of its share, in proportion; ties go to the emptier split, then to a
+    stable key. One stream of a row per video, with one number per label and split in memory.
+    """
     from ..functions import normal
+    from ..functions.predicates import BODY_TYPES
 
-    m = table(spark, d, "attribute_manifest").select(F.col("source_dataset").alias("g"), normal.label("body_type").alias("label")).where("label is not null").groupBy("g", "label").agg(F.count("*").alias("n"))
-    # one row per source and label: a table of labels, whatever the number of rows
-    rows = m.collect()
-    return spark.createDataFrame(_rarity({(r["g"], r["label"]): r["n"] for r in rows}), "g string, split string")
-
-
-def _rarity(counts: dict[tuple[str, str], int], shares: tuple = (("train", 0.7), ("validation", 0.15), ("test", 0.15))) -> list[tuple[str, str]]:
-    total: dict[str, int] = {}
-    for (_, label), n in counts.items():
-        total[label] = total.get(label, 0) + n
-    groups = {g: min((total[lab], lab) for (x, lab) in counts if x == g)[1] for g, _ in counts}
-    lack = {(s, lab): share * n for s, share in shares for lab, n in total.items()}
-    out = []
-    for g in sorted(groups, key=lambda g: (total[groups[g]], g)):
-        s = max((name for name, _ in shares), key=lambda name: (lack[name, groups[g]], name))
-        for lab in total:
-            lack[s, lab] -= counts.get((g, lab), 0)
-        out.append((g, s))
-    return out
+    m = table(spark, d, "attribute_manifest").select(normal.key("video_id").alias("g"), normal.label("body_type").alias("label")).where("g is not null").where(F.col("label").isin(*BODY_TYPES))
+    per = m.groupBy("g", "label").agg(F.count("*").alias("n"))
+    total = {r["label"]: r["n"] for r in per.groupBy("label").agg(F.sum("n").alias("n")).collect()}  # a vocabulary
+    per = per.join(F.broadcast(spark.createDataFrame(list(total.items()) or [("", 1)], "label string, total long")), "label")
+    groups = per.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("counts"), F.round(-F.sum(F.col("n") / F.col("total")), 12).alias("rarity")).withColumn("one", F.lit(1)).withColumn("key", F.sha2(F.concat(F.lit("seed:"), F.col("g")), 256))
+    number = groups.count()
+
+    def fold(rows):
+        for g, s in rarest_first(((r[1], r[2]) for r in rows), total, number):
+            yield g, s
+
+    return T.streamed(groups.select("one", "g", "counts", "rarity", "key"), ["one"], ["rarity", "key"], fold, "g string, split string")
+
+
+def rarest_first(groups, total: dict[str, int], number: int, shares: tuple = (("train", 0.7), ("validation", 0.15), ("test", 0.15))):
+    """(group, split) for groups (name, counts per label) that come rarest first; number: how many there are."""
+    import hashlib
+
+    room = {s: int(share * number) for s, share in shares}
+    room[shares[0][0]] += number - sum(room.values())
+    size = dict(room)
+    wanted = {(s, label): n * room[s] / number for s in room for label, n in total.items()}
+    lack = dict(wanted)
+    for g, counts in groups:
+        def score(s, g=g, counts=counts):
+            missing = sum(max(0.0, lack[s, k]) * n / max(wanted[s, k], 1.0) for k, n in counts.items())
+            return missing, room[s] / size[s], hashlib.sha256(f"seed:{g}:{s}".encode()).hexdigest()
+
+        best = max((s for s in room if room[s]), key=score)
+        room[best] -= 1
+        for k, n in counts.items():
+            lack[best, k] -= n
+        yield g, best
 
 
 @core.add("t12_bounded_plan")
 def t12(spark, d):
-    """Scarce strata first, up to a quota each, then the rest in order, within a number of frames and of bytes."""
+    """Per task strata of frames up to a quota each, the scarcest first (available over wanted), then whatever else fits in
+    order, within a number of frames and of bytes."""
     stratum = F.concat_ws("x", F.min("width"), F.min("height")).alias("stratum")
     f = table(spark, d, "camera_frames").where("size_bytes is not null and frame_id is not null").groupBy("task_id", "frame_id").agg(stratum, F.min("size_bytes").alias("size_bytes"))
-    w = Window.partitionBy("task_id", "stratum").orderBy(F.sha2("frame_id", 256))
-    ranked = f.select("task_id", "stratum", "frame_id", "size_bytes", F.row_number().over(w).alias("k"))
-    order = ranked.withColumn("late", (F.col("k") > 40).cast("int"))
-    fold = _picked(lambda rows: T.within_budget((int(r[3]) for r in rows), 20_000_000, 120))
-    return T.streamed(order, ["task_id"], ["late", "k", "stratum", "frame_id"], lambda rows: (r[:3] for r in fold(rows)), "task_id string, stratum string, frame_id string")
+    f = f.withColumn("h", F.sha2("frame_id", 256)).withColumn("scarce", F.count("*").over(Window.partitionBy("task_id", "stratum")) / 40.0)
+    twice = f.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("turn"))
+    first = F.col("turn") == 0
+    order = twice.select("task_id", "stratum", "frame_id", "size_bytes", "turn", F.when(first, F.col("scarce")).otherwise(0.0).alias("scarce"), F.when(first, F.col("stratum")).otherwise("").alias("by"), "h")
+
+    def fold(rows):
+        for task, of, frame in bounded_plan(((r[:3], r[1], int(r[3]), r[4]) for r in rows), 40, 120, 20_000_000):
+            yield task, of, frame
+
+    return T.streamed(order, ["task_id"], ["turn", "scarce", "by", "h"], fold, "task_id string, stratum string, frame_id string")
+
+
+def bounded_plan(offers, quota: int, most: int, budget: int):
+    """What is taken of offers (item, stratum, size, turn): in turn 0 up to `quota` of each stratum, in turn 1 what is left."""
+    taken, used, per = set(), 0, {}
+    for item, stratum, size, turn in offers:
+        if len(taken) == most:
+            return
+        if item in taken or used + size > budget or turn == 0 and per.get(stratum, 0) >= quota:
+            continue
+        taken.add(item)
+        used += size
+        per[stratum] = per.get(stratum, 0) + 1
+        yield item
 
 
 # ---- sources and sinks
@@ -717,10 +820,15 @@ def s8(spark, d):
     return files.track_xml(spark, at).groupBy("sequence", "target", "vehicle_type").agg(F.count("*").alias("n"))
 
 
-@core.add("k1_insert_new", "SELECT DISTINCT event_id FROM security_alert_events WHERE event_id NOT IN (SELECT event_id FROM callback_outbox WHERE event_id IS NOT NULL)")
+@core.add(
+    "k1_insert_new",
+    """WITH n AS (SELECT event_id, created_at_ms, row_number() OVER (PARTITION BY event_id ORDER BY created_at_ms, fingerprint) AS k FROM security_alert_events), held AS (SELECT DISTINCT event_id FROM callback_outbox WHERE event_id IS NOT NULL)
+    SELECT event_id, created_at_ms, CASE WHEN n.event_id IS NULL THEN 'not_null_violation' WHEN k > 1 OR event_id IN (SELECT event_id FROM held) THEN 'unique_violation' ELSE 'inserted' END AS outcome FROM n""",
+)
 def k1(spark, d):
-    new = table(spark, d, "security_alert_events").select("event_id", "created_at_ms")
-    return R.insert_ignore(table(spark, d, "callback_outbox").select("event_id"), new, ["event_id"], [F.asc("created_at_ms")]).select("event_id")
+    """Every row offered with what becomes of it: inserted, or the constraint that it breaks."""
+    new = table(spark, d, "security_alert_events").select("event_id", "created_at_ms", "fingerprint")
+    return R.inserted(table(spark, d, "callback_outbox"), new, "event_id", [F.asc("created_at_ms"), F.asc("fingerprint")]).select("event_id", "created_at_ms", "outcome")
 
 
 @core.add("k5_write_once", "SELECT count(*) AS n, CAST(sum(severity) AS BIGINT) AS severity FROM security_alert_events")
@@ -775,17 +883,16 @@ def s6(spark, d):
     SELECT 'vision_events' AS table_name, count(*) AS n, CAST(sum(c % 1000) AS BIGINT) AS checksum FROM e UNION ALL SELECT 'vehicle_track_results', count(*), CAST(sum(c % 1000) AS BIGINT) FROM e UNION ALL SELECT 'callback_outbox', count(*), CAST(sum(c % 1000) AS BIGINT) FROM e""",
 )
 def k2(spark, d):
-    """Three tables from one written batch: the batch is materialised once, and each table replaces its own folder."""
+    """Three tables from one written batch, which readers see together or not at all."""
     at = _scratch(spark, "batch")
     batch = table(spark, d, "vehicle_track_results").where("event_id is not null").groupBy("event_id").agg(F.min("created_at_ms").alias("c"))
     batch.write.parquet(f"{at}/batch")
     kept = spark.read.schema(batch.schema).parquet(f"{at}/batch")
     names = ("vision_events", "vehicle_track_results", "callback_outbox")
-    for n in names:
-        kept.write.mode("overwrite").parquet(f"{at}/{n}")
+    files.commit_batch({n: kept for n in names}, f"{at}/store", "batch-1")
     out = None
     for n in names:
-        one = spark.read.schema(batch.schema).parquet(f"{at}/{n}").agg(F.count("*").alias("n"), F.sum(F.col("c") % 1000).alias("checksum")).select(F.lit(n).alias("table_name"), "n", "checksum")
+        one = files.committed(spark, f"{at}/store", n, batch.schema).agg(F.count("*").alias("n"), F.sum(F.col("c") % 1000).alias("checksum")).select(F.lit(n).alias("table_name"), "n", "checksum")
         out = one if out is None else out.union(one)
     return out
 
@@ -847,3 +954,31 @@ def s12(spark, d):
     files.acknowledge(m.where("delivered_at_ms - create_time_ms <= 500").select("message_id"), f"{at}/acknowledged")
     pending = files.pending(spark, f"{at}/messages", f"{at}/acknowledged", "message_id")
     return pending.select("message_id", "t", F.row_number().over(Window.orderBy("t", "message_id")).cast("long").alias("place"))  # what is not acknowledged
+
+
+@core.add(
+    "s10_latest_after_cursor",
+    f"WITH {_FRAMES}, u AS (SELECT run_id, s, min(t) AS t FROM f GROUP BY 1, 2), c AS (SELECT run_id, min(s) + 100 AS cursor FROM u GROUP BY 1) SELECT run_id, cursor, max(s) AS s, arg_max(t, s) AS t, max(s) - cursor - 1 AS gap FROM u JOIN c USING (run_id) WHERE s > cursor GROUP BY 1, 2",
+)
+def s10_latest(spark, d):
+    """What a hub that keeps the latest frame only returns to a reader at a cursor: the newest frame after it, if there is
+    one, and how many the reader has missed."""
+    u = _by_run(spark, d)
+    cursors = u.groupBy("run_id").agg((F.min("s") + 100).alias("cursor"))
+    return files.latest_after(u, cursors, "run_id", "s").select("run_id", "cursor", "s", "t", "gap")
+
+
+@core.add(
+    "s11_group_reads",
+    f"""WITH m AS (SELECT message_id, min(create_time_ms) AS t, max(delivered_at_ms) AS delivered, arg_max(worker_consumer, coalesce(delivered_at_ms, 0)) AS held FROM camera_task_commands WHERE message_id IS NOT NULL GROUP BY 1),
+    w AS (SELECT worker_consumer AS worker, row_number() OVER (ORDER BY worker_consumer) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT worker_consumer FROM camera_task_commands WHERE worker_consumer IS NOT NULL)),
+    fresh AS (SELECT message_id, row_number() OVER (ORDER BY t, message_id) AS k FROM m WHERE delivered IS NULL), idle AS (SELECT message_id, 1 + (row_number() OVER (ORDER BY delivered, message_id) - 1) % (SELECT max(n) FROM w) AS k FROM m WHERE delivered IS NOT NULL AND {NOW} - delivered >= 30000)
+    SELECT message_id, worker, 'new' AS how FROM fresh JOIN w USING (k) UNION ALL SELECT message_id, worker, 'reclaimed' FROM idle JOIN w USING (k)""",
+)
+def s11_groups(spark, d):
+    """A consumer group: each worker takes one of the oldest new messages; messages that somebody took and left for half a
+    minute go round the workers, the longest idle first."""
+    c = table(spark, d, "camera_task_commands")
+    m = c.where("message_id is not null").groupBy("message_id").agg(F.min("create_time_ms").alias("t"), F.max("delivered_at_ms").alias("delivered"))
+    workers = c.where("worker_consumer is not null").select(F.col("worker_consumer").alias("worker")).distinct()
+    return files.group_reads(m, workers, F.lit(NOW), 30_000)

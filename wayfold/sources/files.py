@@ -9,10 +9,11 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import remove
+from ..operators.relational import sums_before
+from ..session import read_text, remove, write_text
 
 
 def csv_manifest(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
@@ -99,15 +100,23 @@ def archive_members(spark: SparkSession, path: str, suffixes: tuple[str, ...] =
     return members_of(spark.read.format("binaryFile").load(path).select("path", "content"), suffixes, largest)
 
 
-def members_of(archives: DataFrame, suffixes: tuple[str, ...] = (".csv",), largest: int = 64 << 20) -> DataFrame:
+def members_of(archives: DataFrame, suffixes: tuple[str, ...] = (".csv",), largest: int = 64 << 20, leave_out_larger: bool = False) -> DataFrame:
     """archive, member, content of archives (path, content), for allowed members only.
 
     Allowed are regular files with one of the suffixes, of at most `largest` bytes, whose path is relative and has no
-    '..'. An archive is read by one task, as its format demands.
+    '..'. An archive is read by one task, as its format demands. Raises ValueError for a member that is larger, unless
+    leave_out_larger is set.
     """
 
     def members(name: str, data: bytes) -> Iterator[tuple[str, bytes]]:
-        good = lambda n, size: n.lower().endswith(suffixes) and size <= largest and not n.startswith(("/", "\\")) and ".." not in n.replace("\\", "/").split("/")
+        def good(n: str, size: int) -> bool:
+            if not allowed(n):
+                return False
+            if size > largest and not leave_out_larger:
+                raise ValueError(f"{name}: {n} has {size} bytes, of which {largest} are allowed")
+            return size <= largest
+
+        allowed = lambda n: n.lower().endswith(suffixes) and not n.startswith(("/", "\\")) and ".." not in n.replace("\\", "/").split("/")
         if zipfile.is_zipfile(io.BytesIO(data)):
             with zipfile.ZipFile(io.BytesIO(data)) as z:
                 for m in z.infolist():
@@ -181,3 +190,52 @@ def acknowledge(keys: DataFrame, acknowledged: str) -> None:
 def pending(spark: SparkSession, stream: str, acknowledged: str, key: str) -> DataFrame:
     """The messages of a stream that nobody has acknowledged."""
     return spark.read.parquet(stream).join(spark.read.parquet(acknowledged), key, "left_anti")
+
+
+def commit_batch(tables: dict[str, DataFrame], store: str, batch: str) -> bool:
+    """Writes the rows of a batch to several tables, which readers of committed() see together or not at all.
+
+    Each table gets a folder of its own for the batch; then one file names the batch as committed, by a rename. If any
+    write fails nothing is named and what was written counts for nothing; a batch that is committed is not written again.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    mark = f"{store}/_committed/{batch}"
+    if read_text(spark, mark) is not None:
+        return False
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{store}/{name}/batch={batch}")
+    write_text(spark, mark, ",".join(sorted(tables)))
+    return True
+
+
+def committed(spark: SparkSession, store: str, name: str, schema) -> DataFrame:
+    """The rows of a table from the batches that are committed."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(f"{store}/_committed")
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    batches = [f.getPath().getName() for f in fs.listStatus(where)] if fs.exists(where) else []
+    held = [f"{store}/{name}/batch={b}" for b in batches if name in (read_text(spark, f"{store}/_committed/{b}") or "").split(",")]
+    return spark.read.schema(schema).parquet(*held) if held else spark.createDataFrame([], schema)
+
+
+def latest_after(frames: DataFrame, cursors: DataFrame, key: str, sequence: str) -> DataFrame:
+    """Per reader of a key the newest row after its cursor, with the gap: rows that came between and are not seen."""
+    after = frames.join(cursors, key).where(F.col(sequence) > F.col("cursor"))
+    others = [c for c in frames.columns if c not in (key, sequence)]
+    newest = after.groupBy(key, "cursor").agg(F.max(F.struct(sequence, *others)).alias("_r"))
+    return newest.select(key, "cursor", "_r.*").withColumn("gap", F.col(sequence) - F.col("cursor") - 1)
+
+
+def group_reads(messages: DataFrame, workers: DataFrame, now: Column, idle_ms: int) -> DataFrame:
+    """message_id, worker, how ('new' or 'reclaimed'). messages: message_id, t, delivered (null if nobody has it); workers: worker.
+
+    Only as many new messages are read as there are workers, so their rank is a limit; idle ones go round the workers in
+    order of a bucket of time first, so that no task ranks all of them.
+    """
+    ranked = workers.select("worker", F.row_number().over(Window.orderBy("worker")).alias("k"))  # a few workers
+    n = ranked.count()
+    fresh = messages.where("delivered is null").orderBy("t", "message_id").limit(max(1, n)).select("message_id", F.row_number().over(Window.orderBy("t", "message_id")).alias("k"))
+    idle = messages.where(F.col("delivered").isNotNull() & (now - F.col("delivered") >= idle_ms)).withColumn("all", F.lit(1))
+    turn = sums_before(idle, ["all"], "delivered", [F.col("delivered"), F.col("message_id")], F.lit(1)).select("message_id", (F.col("_before") % max(1, n) + 1).cast("int").alias("k"))
+    of = lambda df, how: df.join(F.broadcast(ranked), "k").select("message_id", "worker", F.lit(how).alias("how"))
+    return of(fresh, "new").union(of(turn, "reclaimed"))
