@@ -230,3 +230,10 @@ def test_plans_by_quota_and_rarity():
     out = dict(rarest_first(iter(groups), {"rare": 4, "common": 80}, 20))
     assert [list(out.values()).count(s) for s in ("train", "validation", "test")] == [14, 3, 3]
     assert {out[f"g{i}"] for i in range(4)} == {"train", "validation", "test"}
+
+
+def test_ranked_caps_do_not_depend_on_how_far_they_look(spark):
+    from wayfold.plans.stateful import t13
+
+    d = "/root/testdata/sf0.01"
+    assert rows(t13(spark, d, 201)) == rows(t13(spark, d, 10**9))

@@ -65,14 +65,15 @@ def split_expired(rows: DataFrame, key: list[str], expires: str, now: Column, li
     return expired, rows.join(expired.select(*key), key, "left_anti")
 
 
-def sums_before(df: DataFrame, keys: list[str], time: str, order: list[Column], value: Column, descending: bool = False, bucket_ms: int = 3_600_000) -> DataFrame:
+def sums_before(df: DataFrame, keys: list[str], time: str, order: list[Column], value: Column, descending: bool = False, bucket_ms: int = 3_600_000, bucket: Column | None = None) -> DataFrame:
     """df with _before, the sum of value over the rows of the group that come earlier in the order, and _total.
 
     The order begins with `time` in milliseconds (descending or not; nulls as Spark puts them) and is total. Groups are cut
     into buckets of time: sums per group and bucket, of which there are few, tell what lies before a bucket, and only
     within a bucket are rows put in order; so a group with a third of all rows is spread over its buckets.
+    bucket: in place of the time any long that rises with the order; then `time` is not looked at.
     """
-    bucket = F.coalesce(F.floor(F.col(time) / bucket_ms).cast("long"), F.lit(-(1 << 62)))
+    bucket = F.coalesce(F.floor(F.col(time) / bucket_ms).cast("long") if bucket is None else bucket, F.lit(-(1 << 62)))
     rows = df.withColumn("_bucket", bucket).withColumn("_value", value)
     group = Window.partitionBy(*[f"_k{i}" for i in range(len(keys))])
     sums = rows.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_bucket").alias("_b")).agg(F.sum("_value").alias("_sum"))
@@ -86,6 +87,13 @@ def sums_before(df: DataFrame, keys: list[str], time: str, order: list[Column],
     return rows.join(sums, same).withColumn("_before", before).drop("_bucket", "_value", "_b", "_ahead", *[f"_k{i}" for i in range(len(keys))])
 
 
+def hash_rank(df: DataFrame, keys: list[str], digest: str, order: list[Column]) -> DataFrame:
+    """df with _rank from 1 by the order, which begins with a hexadecimal digest: its first digits make the buckets, so a
+    label with a third of all rows is put in order in 65,536 parts."""
+    first = F.conv(F.substring(digest, 1, 4), 16, 10).cast("long")
+    return sums_before(df, keys, "", order, F.lit(1), bucket=first).withColumn("_rank", F.col("_before") + 1).drop("_before", "_total")
+
+
 def retention_candidates(frames: DataFrame, policies: DataFrame, now_ms: Column, limit: int | None = None) -> DataFrame:
     """Frames older than their task's retention, or beyond its number of frames, oldest first.
 

@@ -7,6 +7,8 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .relational import hash_rank
+
 
 def hash_order(salt: str, key: Column) -> Column:
     return F.sha2(F.concat(F.lit(salt), key.cast("string")), 256)
@@ -23,7 +25,7 @@ def quotas(rows: DataFrame, label: str, key: str, target: int, salt: str = "quot
     plan = names.withColumn("i", F.row_number().over(n) - 1).withColumn("k", F.count("*").over(Window.partitionBy()))  # one row per label
     plan = plan.withColumn("quota", F.floor(F.lit(target) / F.col("k")).cast("int") + (F.col("i") < F.lit(target) % F.col("k")).cast("int"))
     ranked = rows.join(plan.select(label, "quota"), label).withColumn("h", hash_order(salt, F.col(key)))
-    ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy(label).orderBy("h", key)))
+    ranked = hash_rank(ranked, [label], "h", [F.col("h"), F.col(key)]).withColumnRenamed("_rank", "r")
     first = ranked.where(F.col("r") <= F.col("quota"))
     lacking = plan.agg(F.sum(F.greatest(F.lit(0), F.col("quota") - F.col("held"))).cast("int").alias("n")).first()["n"] or 0
     rest = ranked.where(F.col("r") > F.col("quota")).orderBy("h", key).limit(lacking)
@@ -45,8 +47,8 @@ def seeded_split(groups: list[str], ratios: tuple[float, float] = (0.7, 0.15), s
 def cap_negatives(rows: DataFrame, group: str, positive: Column, key: str, ratio: int, floor: int) -> DataFrame:
     """All positives, and per group at most max(floor, ratio x max(1, positives)) negatives in hash order."""
     n = rows.groupBy(group).agg(F.count_if(positive).alias("n_pos"))
-    w = Window.partitionBy(group, positive).orderBy(hash_order("negative|", F.col(key)), key)
-    ranked = rows.join(n, group).withColumn("r", F.row_number().over(w))
+    told = rows.join(n, group).withColumn("_positive", positive).withColumn("_h", hash_order("negative|", F.col(key)))
+    ranked = hash_rank(told, [group, "_positive"], "_h", [F.col("_h"), F.col(key)]).withColumnRenamed("_rank", "r").drop("_positive", "_h")
     limit = F.greatest(F.lit(floor), F.lit(ratio) * F.greatest(F.lit(1), F.col("n_pos")))
     return ranked.where(positive | (F.col("r") <= limit)).drop("n_pos", "r")
 

@@ -18,6 +18,7 @@ from ..functions import predicates as P
 from ..functions import scalar as X
 from ..operators import calibration as C
 from ..operators import consensus as V
+from ..operators import relational as R
 from ..operators import sampling as S
 from ..operators import similarity as H
 from ..session import Scratch
@@ -478,8 +479,8 @@ def w6(spark, d):
 
 @core.add("w8_fold_assignment", f"SELECT stage177_row_number AS row_number, (row_number() OVER (PARTITION BY coalesce({BODY}, 'none') ORDER BY sha256(image_path), stage177_row_number) - 1) % 5 AS fold FROM attribute_manifest")
 def w8(spark, d):
-    w = Window.partitionBy(F.coalesce(normal.label("body_type"), F.lit("none"))).orderBy(F.sha2("image_path", 256), "row_number")
-    return manifest(spark, d).select("row_number", ((F.row_number().over(w) - 1) % 5).cast("long").alias("fold"))
+    m = manifest(spark, d).select("row_number", F.coalesce(normal.label("body_type"), F.lit("none")).alias("label"), F.sha2("image_path", 256).alias("h"))
+    return R.hash_rank(m, ["label"], "h", [F.col("h"), F.col("row_number")]).select("row_number", ((F.col("_rank") - 1) % 5).cast("long").alias("fold"))
 
 
 @core.add("w9_group_size", "SELECT stage177_row_number AS row_number FROM (SELECT stage177_row_number, count(*) OVER (PARTITION BY video_id) AS n FROM attribute_manifest WHERE video_id IS NOT NULL) WHERE n >= 4")

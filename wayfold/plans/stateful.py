@@ -14,9 +14,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as X
-from ..operators.calibration import chosen
 from ..operators import relational as R
 from ..operators import tracks as T
+from ..operators.calibration import chosen
+from ..session import Scratch
 from ..sources import files
 from ..sources.tables import table
 from .analytics import OBS, obs
@@ -648,7 +649,7 @@ def w4_windows(spark, d):
 
 
 @core.add("t13_ranked_caps")
-def t13(spark, d):
+def t13(spark, d, reach: int = 1600):
     """Rows ranked within a label; the first check that fails names the reason: class cap, source cap, near duplicate."""
     from ..functions import normal
 
@@ -670,7 +671,18 @@ def t13(spark, d):
                 kept.append(int(bits))
             yield int(row), label, reason
 
-    return T.streamed(m, ["label"], ["h", "row_number"], fold, "row_number long, label string, reason string")
+    # Once a label has all it may keep, every later row fails the cap. So only the first rows by rank are folded, more of
+    # them only while some label is not full.
+    scratch = Scratch(spark, "ranked-caps")
+    m = scratch.keep(R.hash_rank(m, ["label"], "h", [F.col("h"), F.col("row_number")]), "ranked")
+    while True:
+        told = scratch.keep(T.streamed(m.where(F.col("_rank") <= reach).select("row_number", "label", "source", "bits", "h"), ["label"], ["h", "row_number"], fold, "row_number long, label string, reason string"), "told")
+        full = told.groupBy("label").agg((F.count_if(F.col("reason") == "kept") >= 200).alias("full")).where("full").select("label")
+        rest = m.where(F.col("_rank") > reach).select("row_number", "label")
+        if rest.join(full, "label", "left_anti").isEmpty():
+            return told.union(rest.select("row_number", "label", F.lit("class_cap")))
+        scratch.drop(told)
+        reach *= 4
 
 
 @core.add("t9_seeded_split")
