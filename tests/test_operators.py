@@ -237,3 +237,13 @@ def test_ranked_caps_do_not_depend_on_how_far_they_look(spark):
 
     d = "/root/testdata/sf0.01"
     assert rows(t13(spark, d, 201)) == rows(t13(spark, d, 10**9))
+
+
+def test_hmac_is_that_of_the_library(spark):
+    import hashlib
+    import hmac
+
+    d = spark.createDataFrame([("1", "body"), ("2", ""), (None, "x"), ("3", "größer 路口")], "t string, b string")
+    for secret in ("k", "s" * 64, "long " * 30):
+        want = [None if t is None else hmac.new(secret.encode(), f"{t}\n{b}".encode(), hashlib.sha256).hexdigest() for t, b in (("1", "body"), ("2", ""), (None, "x"), ("3", "größer 路口"))]
+        assert [r[0] for r in d.select(X.hmac_sha256(secret)(F.col("t"), F.col("b"))).collect()] == want

